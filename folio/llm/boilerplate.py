@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from folio.llm import linear, quickfix
 from folio.llm.pagetext import blocks
-from folio.llm.patterns import FILLER, PLACEHOLDER
+from folio.llm.patterns import FILLER, MESSAGE, mask
 
 #: Bound on the pages, drawn by hash of their id, the classifier is fitted on ...
 SAMPLE_PAGES = 3000
@@ -39,6 +39,11 @@ _HIGH = re.compile(r"[^\x00-\x7f]")
 _CJK = re.compile("[\u3040-\u9fff]")
 
 
+def _stands_in(s: str) -> bool:
+    """Whether a line looks like a message in place of the content, which is no boilerplate. A weak label only."""
+    return bool("\x02" in s or FILLER.search(s) or MESSAGE.search(s))
+
+
 def _key(s: str) -> str:
     return _JUNK.sub("", s).lower()
 
@@ -63,10 +68,10 @@ def page_lines(html: str | None, text: str, host: str | None) -> list[Line]:
     for no, raw in enumerate(text.split("\n"), 1):
         if not raw.strip():
             continue
-        s = " ".join(raw.split())
+        s = raw.strip(" \t\r\u3000")
         if fix:
             s = quickfix.fix(s)
-        s = s.lower()
+        s = " ".join(s.split()).lower()
         x = Line()
         x.no = no
         own = by_key.get(_key(raw))
@@ -81,7 +86,7 @@ def page_lines(html: str | None, text: str, host: str | None) -> list[Line]:
         has_host = bool(host_l) and host_l in s
         if has_host:
             s = s.replace(host_l, "\x01")
-        x.text = s = PLACEHOLDER.sub("\x02", s)
+        x.text = s = mask(s)
         n = len(s)
         d = [0.0] * DENSE
         d[0] = b is None
@@ -126,7 +131,7 @@ def weak_labels(pages: list[tuple[str | None, list[Line]]]) -> list[tuple[Line,
         for x in lines:
             k = seen[host][x.text]
             often = k >= 4 and 12 * k >= n_pages[host] and len(x.text) > 4
-            if x.heading or BYLINE.search(x.text) or (x.told != 1 and x.link < 0.5 and ("\x02" in x.text or FILLER.search(x.text))):
+            if x.heading or BYLINE.search(x.text) or (x.told != 1 and x.link < 0.5 and _stands_in(x.text)):
                 out.append((x, 0))
             elif x.told == 1 or x.link >= 0.9 or often:
                 out.append((x, 1))
@@ -140,7 +145,7 @@ def fit(pages: list[tuple[str | None, list[Line]]]) -> linear.Logistic:
     pos = [x for x, y in labelled if y][:: max(1, sum(y for _, y in labelled) // SAMPLE_LINES)][:SAMPLE_LINES]
     heads = [x for x, y in labelled if not y and (x.heading or BYLINE.search(x.text))]
     rest = [x for x, y in labelled if not y and not (x.heading or BYLINE.search(x.text))]
-    odd = [x for x in heads if "\x02" in x.text or FILLER.search(x.text)][:SAMPLE_LINES // 4]
+    odd = [x for x in heads if _stands_in(x.text)][:SAMPLE_LINES // 4]
     heads = odd + heads[:: max(1, len(heads) // (SAMPLE_LINES // 4))][: SAMPLE_LINES // 4]
     rest = rest[:: max(1, len(rest) // SAMPLE_LINES)][:SAMPLE_LINES]
     # messages in place of the content are rare among the headings: all of them

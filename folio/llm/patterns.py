@@ -16,8 +16,8 @@ PLACEHOLDER = re.compile(
     re.I | re.M,
 )
 FILLER = re.compile(
-    r"lorem ipsum|dolor sit amet|\b(?:asdf\s*){2,}|\b(?:tbd\s+){2,}|dummy (?:text|paragraph)|placeholder text|(?:story )?text will appear|sample text"
-    r"|测试测试|占位|示例文字|texte d.exemple|texto de exemplo|пример текста|текст[- ]заполнитель|サンプルテキスト|ダミー|見本の文",
+    r"lorem ipsum|dolor sit amet|(?:\b(?:dolore?|eiusmod|tempor|incididunt|labore|magna|aliqua|minim|veniam|nostrud|ullamco|laboris|nisi|commodo|velit|esse|cillum|fugiat|nulla|excepteur|sint|occaecat|cupidatat|proident|culpa|officia|deserunt|mollit|anim|laborum|irure|sed|sit|quis|ut)\b\W*){4}|\b(?:asdf\s*){2,}|\b(?:tbd\s+){2,}|dummy (?:text|paragraph)|placeholder text|(?:story )?text will appear|sample text"
+    r"|测试测试|占位|待补|示例文字|texte d.exemple|texto de exemplo|пример текста|текст[- ]заполнитель|サンプルテキスト|ダミー|見本の文",
     re.I,
 )
 MESSAGE = re.compile(
@@ -30,3 +30,10 @@ MESSAGE = re.compile(
     r"|見つかりませんでした。|アクセスが拒否|内部エラー|javascriptを有効|スクリプトが無効|アクセスが集中|ブラウザを確認",
     re.I,
 )
+
+_MAY = re.compile(r"[{%\[@<]|__|null|undefined|nan /", re.I)
+
+
+def mask(s: str) -> str:
+    """The text with every placeholder as U+0002."""
+    return PLACEHOLDER.sub("\x02", s) if _MAY.search(s) else s

@@ -12,7 +12,7 @@ from functools import lru_cache
 
 from folio.llm.encoding_repair import MULTI, SINGLE, _utf8_runs, candidates
 
-_ODD = re.compile("[\x80-\x9f�]|[\xa0-\xff]{3}")
+_ODD = re.compile("[\x80-\x9f�ㄛ﹝偟傪]|[\xa0-\xff]{3}")
 _GB_UTF8 = re.compile(rb"(?:[\xe2-\xef][\x80-\xbf]{2}|[\xd0\xd1][\x80-\xbf]){3}")
 _CJK = re.compile("[぀-鿿]")
 _KOI = re.compile("[а-я][А-Я]{2}")
@@ -20,15 +20,19 @@ _COMMON = re.compile("[、-〠぀-ヿ！-？一-鿿а-яёà-öø-ü‘’“”
 _HIGH = re.compile(r"[^\x00-\x7f]")
 
 
+_RUN = re.compile(r"[^\x00-\x7f]+")
+
+
 def damaged(text: str) -> bool:
-    """Whether any line may be damaged; cheap, and never false for a line that fix() changes alone."""
+    """Whether any line may be damaged; cheap, and hardly ever false for a line that fix() changes alone."""
     if text.isascii():
         return False
-    if _ODD.search(text):
+    high = " ".join(_RUN.findall(text))
+    if _ODD.search(high):
         return True
-    if _CJK.search(text):
-        return bool(_GB_UTF8.search(text.encode("gb18030", "ignore")))
-    return bool(_KOI.search(text)) or any(_utf8_runs(n).search(text) for n in SINGLE[:4] if n != "latin-1")
+    if _CJK.search(high):
+        return bool(_GB_UTF8.search(high.encode("gb18030", "ignore")))
+    return bool(_KOI.search(high)) or any(_utf8_runs(n).search(high) for n in ("cp1252", "cp1251", "mac_roman"))
 
 
 @lru_cache(20_000)
@@ -41,6 +45,8 @@ def fix(line: str) -> str:
     for r, chain in candidates(line, 2):
         k, n = _share(r), len(_HIGH.findall(r))
         utf8 = "utf-8" in chain
+        if chain.startswith(("cp1251", "koi8_r")) and not chain.endswith(("utf-8", "utf-8*", "koi8_r", "cp1251")):
+            continue  # any Cyrillic word is also pairs of bytes of some East Asian encoding
         # bytes of a multi-byte encoding that happen to be strict UTF-8 are hardly chance in four characters
         sure = utf8 and chain.split(">")[0] in MULTI and chain.endswith("utf-8") and high >= 4 and " " not in chain
         if k > key + 0.05 or (utf8 and k >= key - 0.2 and n < 0.8 * fewest) or (sure and best is line):
