@@ -97,8 +97,22 @@ _WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
 _CYRILLIC_ONLY = re.compile("[Ѐ-ԯ]")
 
 
+_KANA = {v: k for k, v in LOOKALIKES.items() if "ァ" <= k <= "ー"}
+_NEAR_KANA = re.compile(f"[{''.join(_KANA)}](?=[\u3099\u309aァ-ー])|(?<=[\u3099\u309aァ-ー])[{''.join(_KANA)}]")
+
+
 def display(form: str) -> str:
-    """Give words of a Cyrillic title their own letters back; a function of the form alone, so equal forms stay equal."""
+    """Give words of a Cyrillic title and Katakana words their own letters back.
+
+    A function of the form alone, and one that can be undone: equal forms stay
+    equal and others stay different.
+    """
+    if _NEAR_KANA.search(form):
+        last = None
+        while last != form:
+            last = form
+            form = _NEAR_KANA.sub(lambda m: _KANA[m.group()], form)
+        form = unicodedata.normalize("NFC", form)
     if not _CYRILLIC_ONLY.search(form):
         return form
     d = unicodedata.normalize("NFD", form)

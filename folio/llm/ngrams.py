@@ -14,6 +14,8 @@ BIGRAMS = 1 << 20
 UNIGRAMS = 1 << 16
 #: Weight of the unigram prior in a bigram's smoothed probability.
 PRIOR = 2.0
+#: Taken off every bigram's count.
+DISCOUNT = 1.5
 
 
 def points(s: str) -> np.ndarray:
@@ -49,7 +51,8 @@ class Model:
         self.log_prior = np.log(PRIOR * p_uni).astype(np.float32)
         self.p_prior = (PRIOR * p_uni).astype(np.float32)
         self.log_den = np.log(uni + PRIOR).astype(np.float32)
-        self.bi = bi.astype(np.float32)
+        # a bigram seen once proves nothing: records that only look clean would vouch for themselves
+        self.bi = np.maximum(bi - DISCOUNT, 0).astype(np.float32)
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.log(self.bi[bi_index(a, b)] + self.p_prior[uni_index(b)]) - self.log_den[uni_index(a)]

@@ -16,7 +16,8 @@ _ODD = re.compile("[\x80-\x9f�ㄛ﹝偟傪]|[\xa0-\xff]{3}")
 _GB_UTF8 = re.compile(rb"(?:[\xe2-\xef][\x80-\xbf]{2}|[\xd0\xd1][\x80-\xbf]){3}")
 _CJK = re.compile("[぀-鿿]")
 _KOI = re.compile("[а-я][А-Я]{2}")
-_COMMON = re.compile("[、-〠぀-ヿ！-？一-鿿а-яёà-öø-ü‘’“”–—…«»·À-É]")
+_COMMON = re.compile("[、-〠぀-ヿ！-？一-鿿А-яёà-öø-ü‘’“”–—…«»·À-É]")
+_CYRILLIC = re.compile("[Ѐ-ӿ]")
 _HIGH = re.compile(r"[^\x00-\x7f]")
 
 
@@ -41,11 +42,12 @@ def fix(line: str) -> str:
     high = len(_HIGH.findall(line))
     if not high:
         return line
+    cyrillic = 2 * len(_CYRILLIC.findall(line)) > high
     best, key, fewest = line, _share(line), high
     for r, chain in candidates(line, 2):
         k, n = _share(r), len(_HIGH.findall(r))
         utf8 = "utf-8" in chain
-        if chain.startswith(("cp1251", "koi8_r")) and not chain.endswith(("utf-8", "utf-8*", "koi8_r", "cp1251")):
+        if cyrillic and not chain.endswith(("utf-8", "utf-8*", "koi8_r", "cp1251")):
             continue  # any Cyrillic word is also pairs of bytes of some East Asian encoding
         # bytes of a multi-byte encoding that happen to be strict UTF-8 are hardly chance in four characters
         sure = utf8 and chain.split(">")[0] in MULTI and chain.endswith("utf-8") and high >= 4 and " " not in chain
