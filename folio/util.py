@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 HEAVY_FRACTION = 1.0 / 1024
 
 
-def build_session(app: str = "folio", master: str | None = None, partitions: int | None = None) -> SparkSession:
+def build_session(app: str = "folio", master: str | None = None, partitions: int | None = None, conf: dict[str, str] | None = None) -> SparkSession:
     """A session with the settings the operators are designed for (AQE, UTC, Arrow)."""
     b = (
         SparkSession.builder.appName(app)
@@ -28,6 +28,8 @@ def build_session(app: str = "folio", master: str | None = None, partitions: int
         b = b.master(master)
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
+    for k, v in (conf or {}).items():
+        b = b.config(k, v)
     return b.getOrCreate()
 
 
@@ -36,15 +38,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only a local session may fall back to a folder of its own."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder all executors share: spark.checkpoint.dir; only a local session without it falls back to a temporary folder."""
+    d = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    d = os.path.join(tempfile.gettempdir(), f"folio-{os.getpid()}")
-    spark.conf.set("spark.checkpoint.dir", d)
-    return d
+    return os.path.join(tempfile.gettempdir(), f"folio-{os.getpid()}")
 
 
 def materialize(df: DataFrame) -> DataFrame:
