@@ -60,7 +60,7 @@ class Logistic:
         return s + dense @ self.d + self.b
 
 
-def fit(lines: list[str], dense: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-3, steps: int = 80, rate: float = 0.15) -> Logistic:
+def fit(lines: list[str], dense: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-3, steps: int = 60, rate: float = 0.2) -> Logistic:
     """Full-batch Adam on the L2-regularized log loss; deterministic."""
     f, r = ngrams(lines)
     n = len(lines)
