@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter, deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ SAMPLE_LINES = 6000
 SAME_HOLDER, OTHER_HOLDER, NEXT_IN_HOLDER = 0.35, 0.1, 0.15
 #: Log odds that a telling tag (nav, aside, footer) adds, and that a message in place of the content takes off.
 TOLD = 3.0
-STANDS_IN = 4.0
+STANDS_IN = 8.0
 
 # Phrases of a byline, which belongs to the main body. A weak label only.
 BYLINE = re.compile(r"posted by|written by|publié par|publicad[oa] p|опубликован|整理发布|发布者|投稿者", re.I)
@@ -42,6 +43,7 @@ _HIGH = re.compile(r"[^\x00-\x7f]")
 _CJK = re.compile("[\u3040-\u9fff]")
 
 
+@lru_cache(50_000)
 def _stands_in(s: str) -> bool:
     """Whether a line looks like a message in place of the content, which is no boilerplate. A weak label only."""
     return bool("\x02" in s or FILLER.search(s) or MESSAGE.search(s) or WAY_OUT.search(s))
@@ -263,7 +265,7 @@ def label(model: linear.Logistic, pages: list[list[Line]]) -> list[list[bool]]:
         return [[] for _ in pages]
     z = model.logits([x.text for x in flat], np.array([x.dense for x in flat], dtype=float))
     z = np.clip(z, -8, 8) + TOLD * np.array([x.told == 1 for x in flat])
-    z -= STANDS_IN * np.array([x.told != 1 and x.link < 0.5 and _stands_in(x.text) for x in flat])
+    z -= STANDS_IN * np.array([v > -1 and x.told != 1 and x.link < 0.5 and _stands_in(x.text) for x, v in zip(flat, z.tolist(), strict=True)])
     out, at = [], 0
     for p in pages:
         out.append(min_cut(z[at: at + len(p)].tolist(), edges(p)))
