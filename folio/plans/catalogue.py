@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import charset, textclean, titles, urls
-from folio.operators import catalog, chapters, content, dom, evaluate, graph, metadata, navigation, profiles
+from folio.operators import catalog, chapters, content, dom, evaluate, graph, metadata, navigation, profiles, walks
 from folio.plans import pipeline
 from folio.sources import captures, export
 from folio.util import materialize, table
@@ -366,6 +366,35 @@ def page_walks(s: SparkSession, d: str) -> DataFrame:
     return graph.walk_pages(_kept(s, d).select(F.col("norm_url").alias("page")).distinct(), st)
 
 
+def _walk_inputs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    p = _pages(s, d)
+    dm = materialize(dom.dom(p))
+    return p, dm, materialize(navigation.best_links(navigation.link_scores(dom.anchors(dm), p)))
+
+
+def chapter_page_merge(s: SparkSession, d: str) -> DataFrame:
+    p, dm, links = _walk_inputs(s, d)
+    steps = walks.chapter_steps(links, p, metadata.page_title(dm))
+    m = walks.merge_pages(p, steps, table(s, d, "content_extractions"))
+    return m.select("start", "n_pages", F.length("text").alias("n_chars"), "repeats")
+
+
+def catalog_page_find(s: SparkSession, d: str) -> DataFrame:
+    p, dm, _ = _walk_inputs(s, d)
+    a = dom.anchors(dm)
+    return walks.explore(a, p, content.page_types(content.page_features(dm, content.pick_content(dm))), catalog.detect(a))
+
+
+def chapter_traversal(s: SparkSession, d: str) -> DataFrame:
+    p, _, links = _walk_inputs(s, d)
+    return walks.traverse(links, p)
+
+
+def reciprocal_links(s: SparkSession, d: str) -> DataFrame:
+    p, _, links = _walk_inputs(s, d)
+    return walks.reciprocal(links, p)
+
+
 def queries() -> dict[str, Query]:
     k = lambda f: lambda s, d: f(_kept(s, d))
     return {
@@ -382,7 +411,8 @@ def queries() -> dict[str, Query]:
         "content_pick": content_pick, "content_deep": content_deep, "page_type_scores": page_type_scores, "metadata_extract": metadata_extract, "nav_best": nav_best,
         "catalog_cluster": catalog_cluster, "collapsed_lists": collapsed_lists, "analyze_pages": analyze_pages, "book_chapters": book_chapters, "exported_books": exported_books,
         "book_diagnostics": book_diagnostics, "export_bodies": export_bodies, "capture_requests": capture_requests, "captures_latest": captures_latest,
-        "capture_incomplete": capture_incomplete, "table_violations": table_violations, "page_walks": page_walks,
+        "capture_incomplete": capture_incomplete, "table_violations": table_violations, "page_walks": page_walks, "chapter_page_merge": chapter_page_merge,
+        "catalog_page_find": catalog_page_find, "chapter_traversal": chapter_traversal, "reciprocal_links": reciprocal_links,
     }
 
 
