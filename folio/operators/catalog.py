@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folio.functions import urls
 from folio.functions.titles import parse_title
 from folio.operators.content import strong_title
+from folio.util import with_previous
 
 MIN_CLUSTER = 5
 
@@ -68,8 +69,8 @@ def numbered(entries: DataFrame) -> DataFrame:
 
 def direction(entries: DataFrame) -> DataFrame:
     """(book_id, n_numbered, inc, dec, flat, direction, confidence) from neighbours in list order."""
-    w = Window.partitionBy("book_id").orderBy("dom_index", "entry_id")
-    e = numbered(entries).where("p.order_token IS NOT NULL").select("book_id", F.col("p.order_token").alias("t"), F.lag("p.order_token").over(w).alias("b"))
+    n = numbered(entries).select("book_id", "dom_index", "entry_id", F.col("p.order_token").alias("t")).where("t IS NOT NULL")
+    e = with_previous(n, ["book_id"], ["dom_index", "entry_id"], ["t"]).select("book_id", "t", F.col("prev.t").alias("b"))
     g = e.groupBy("book_id").agg(F.count("*").alias("n_numbered"), F.count_if(F.col("t") > F.col("b")).alias("inc"), F.count_if(F.col("t") < F.col("b")).alias("dec"), F.count_if(F.col("t") == F.col("b")).alias("flat"))
     strict = F.col("inc") + F.col("dec")
     ratio = F.greatest("inc", "dec") / F.nullif(strict, F.lit(0))
@@ -112,8 +113,7 @@ def rotate(entries: DataFrame) -> DataFrame:
 def gaps(entries: DataFrame) -> DataFrame:
     """(book_id, lo, hi): runs of missing chapter numbers between a book's least and greatest, found from neighbours without listing them."""
     t = numbered(entries).select("book_id", F.floor("p.order_token").cast("bigint").alias("n")).where("n >= 1").distinct()
-    w = Window.partitionBy("book_id").orderBy("n")
-    return t.select("book_id", (F.lag("n").over(w) + 1).alias("lo"), (F.col("n") - 1).alias("hi")).where("lo <= hi")
+    return with_previous(t, ["book_id"], ["n"], ["n"]).select("book_id", (F.col("prev.n") + 1).alias("lo"), (F.col("n") - 1).alias("hi")).where("lo <= hi")
 
 
 def splice(entries: DataFrame, expansions: DataFrame) -> DataFrame:

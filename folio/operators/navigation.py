@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions import urls
+from folio.util import with_previous
 
 # Words of links, by relation.
 NEXT_CHAPTER = ("下一章", "下一节", "下一回", "下一话", "next chapter", "next")
@@ -159,6 +160,5 @@ def relation(nav: Column, reciprocal: Column, catalog: Column, number: Column, s
 
 def neighbours(df: DataFrame, keys: list[str], order: list[str], cols: list[str]) -> DataFrame:
     """Each row as struct a with its predecessor's as struct b by key and order: pairs grow with the rows, not with their square."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    s = F.struct(*cols)
-    return df.select(*keys, s.alias("b"), F.lag(s).over(w).alias("a")).where("a IS NOT NULL")
+    d = with_previous(df, keys, order, cols, "a")
+    return d.select(*keys, F.struct(*cols).alias("b"), "a").where("a IS NOT NULL")

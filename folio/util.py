@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -45,7 +47,22 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return os.path.join(tempfile.gettempdir(), f"folio-{os.getpid()}")
+    own = os.path.join(tempfile.gettempdir(), f"folio-{os.getpid()}")
+    atexit.register(shutil.rmtree, own, True)
+    return own
+
+
+_made: list[str] = []
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete the tables that materialize() wrote, once their results are no longer read; returns their number."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_made)
+    while _made:
+        p = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        p.getFileSystem(conf).delete(p, True)
+    return n
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -57,6 +74,7 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/folio-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -88,3 +106,23 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) ->
         cond = c if cond is None else cond & c
     out = left.join(r, cond, how)
     return out.drop(*[f"__r_{k}" for k in keys]) if how == "inner" else out
+
+
+def with_previous(df: DataFrame, keys: list[str], order: list[str], cols: list[str], name: str = "prev") -> DataFrame:
+    """Each row with the row before it (a struct of ``cols``, null for a key's first row) by key and order.
+
+    As lag() over keys, but a key may hold a third of all rows: rows are
+    range-partitioned by key and order, so a hot key spans many tasks; within a
+    task a window finds the predecessor, and the first row of a task's share
+    takes the last one of the share before it, from one summary row per share.
+    """
+    from pyspark.sql import Window
+
+    s = F.struct(*cols)
+    r = materialize(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
+    share = Window.partitionBy(*keys, "__part").orderBy(*order)
+    last = r.groupBy(*keys, "__part").agg(F.max_by(s, F.struct(*order)).alias("__last"))
+    before = last.select(*keys, "__part", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__part")).alias("__before"))
+    rows = r.withColumn("__lag", F.lag(s).over(share)).withColumn("__first", F.row_number().over(share) == 1)
+    j = _null_safe(rows, before, [*keys, "__part"], "inner")
+    return j.withColumn(name, F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__lag"))).drop("__part", "__lag", "__first", "__before")
