@@ -12,7 +12,7 @@ from folio.functions.textclean import clean_text
 from folio.operators import catalog, chapters, content, dom, graph, metadata, navigation
 from folio.sources import captures as cap
 from folio.sources import export
-from folio.util import build_session, materialize, table
+from folio.util import build_session, materialize, ship, table
 
 
 def analyze(pages: DataFrame, preview: int = 300) -> DataFrame:
@@ -89,6 +89,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--out", required=True)
     a = p.parse_args(argv)
     spark = build_session("folio")
+    ship(spark)
     pages = table(spark, a.tables, "fetched_pages")
     if a.command == "analyze":
         analyze(pages).write.mode("overwrite").parquet(a.out)
