@@ -100,6 +100,11 @@ u AS (SELECT d.doc_id, d.source, CAST(coalesce(strlen(d.text), 0) AS BIGINT) AS
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": _LINES + "SELECT DISTINCT page_id, line_no FROM nb JOIN r USING (host, n)",
+        "p3_removed": _LINES + """, occ AS (SELECT DISTINCT page_id, line_no FROM nb JOIN r USING (host, n)), c AS (SELECT DISTINCT page_id, text FROM content_extractions),
+x AS (SELECT page_id, text AS t0, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM c WHERE text IS NOT NULL),
+k AS (SELECT x.page_id, t0, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (occ.line_no IS NULL), '') AS kept FROM x LEFT JOIN occ ON occ.page_id = x.page_id AND occ.line_no = x.i GROUP BY x.page_id, t0),
+n AS (SELECT page_id, CAST(count(*) AS INT) AS n FROM occ GROUP BY page_id)
+SELECT c.page_id, k.kept AS text, coalesce(n.n, 0) AS n_removed FROM c LEFT JOIN k ON k.page_id = c.page_id AND k.t0 = c.text LEFT JOIN n ON n.page_id = c.page_id""",
         "p4_found": _COPIES + "SELECT DISTINCT keep_id, entry_id AS copy_id FROM g WHERE entry_id <> keep_id",
         "p4_records": _COPIES + "SELECT entry_id, copies FROM g WHERE entry_id = keep_id",
         "p7_found": "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) > (SELECT tokens FROM size_limits WHERE limit_name = 'container_capacity')",
