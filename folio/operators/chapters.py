@@ -55,6 +55,16 @@ def duplicate_texts(pages: DataFrame, key: str, page: str, text: str, least: int
     return p.select("key", F.md5("t").alias("hash"), "page").groupBy("key", "hash").agg(F.countDistinct("page").alias("n_pages"), F.min("page").alias("first_page")).where("n_pages > 1")
 
 
+def part_runs(chapters: DataFrame, book: str = "book_id") -> DataFrame:
+    """Chapters with the number, from 1, of the run of parts they belong to; see merge_parts."""
+    w = Window.partitionBy(book).orderBy("pos")
+    n = F.floor("number")
+    prev, prev_sub = F.lag(n).over(w), F.lag("sub_number").over(w)
+    goes_on = F.col("sub_number").isNotNull() & prev_sub.isNotNull() & (n == prev) & (F.col("sub_number") > prev_sub)
+    c = chapters.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
+    return c.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+
+
 def merge_parts(chapters: DataFrame, book: str = "book_id") -> DataFrame:
     """(book, first_pos, n_parts, title, merged): runs of parts of one chapter as one row.
 
@@ -62,12 +72,7 @@ def merge_parts(chapters: DataFrame, book: str = "book_id") -> DataFrame:
     number and these ascend strictly; others stay alone. Input: book, pos,
     title, number, sub_number.
     """
-    w = Window.partitionBy(book).orderBy("pos")
-    n = F.floor("number")
-    prev, prev_sub = F.lag(n).over(w), F.lag("sub_number").over(w)
-    goes_on = F.col("sub_number").isNotNull() & prev_sub.isNotNull() & (n == prev) & (F.col("sub_number") > prev_sub)
-    c = chapters.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
-    c = c.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    c = part_runs(chapters, book)
     return c.groupBy(book, "run").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n_parts"), F.min_by("title", "pos").alias("title")).select(book, "first_pos", "n_parts", "title", (F.col("n_parts") > 1).alias("merged"))
 
 

@@ -86,12 +86,17 @@ def explore(anchors: DataFrame, pages: DataFrame, types: DataFrame, entries: Dat
     return find_catalog(anchors, pages, types, entries, EXPLORE_WORDS, budget)
 
 
-def traverse(links: DataFrame, pages: DataFrame) -> DataFrame:
-    """(key, head, rank, broken): chapters of books without a list, by next links and, reversed, previous links; both of a pair that agree weigh more."""
+def chapter_edges(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """(src, dst, confidence): chapter pages to the next, by next links and, reversed, previous links; both of a pair that agree weigh more."""
     x = by_url(links.where(F.col("relation").isin("NEXT_CHAPTER", "PREVIOUS_CHAPTER") & (F.col("score") >= navigation.MIN_CONFIDENCE)), pages).where("to_id IS NOT NULL AND to_id <> page_id")
     nxt = F.col("relation") == "NEXT_CHAPTER"
     e = x.select(F.when(nxt, F.col("page_id")).otherwise(F.col("to_id")).alias("src"), F.when(nxt, F.col("to_id")).otherwise(F.col("page_id")).alias("dst"), "score")
-    e = e.groupBy("src", "dst").agg((F.max("score") + 0.1 * (F.count("*") - 1)).alias("confidence"))
+    return e.groupBy("src", "dst").agg((F.max("score") + 0.1 * (F.count("*") - 1)).alias("confidence"))
+
+
+def traverse(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """(key, head, rank, broken): chapters of books without a list, in the order of chapter_edges."""
+    e = chapter_edges(links, pages)
     n = e.select(F.col("src").alias("key")).union(e.select(F.col("dst").alias("key"))).distinct()
     return graph.reading_order(n, e)
 
@@ -107,21 +112,27 @@ def reciprocal(links: DataFrame, pages: DataFrame) -> DataFrame:
 def fill_gaps(ordered: DataFrame, links: DataFrame, pages: DataFrame, titles: DataFrame, most: int = MAX_GAP_STEPS) -> DataFrame:
     """(book_id, after_pos, step, page_id, title): captured pages that lead over a gap of numbers from one entry to the next.
 
-    Input entries: book_id, pos, norm_url, number. A walk counts if every page on
-    it has a number that goes on and stays below the far end, and the far end is reached.
+    Input entries: book_id, pos, norm_url, number. Next-chapter links come first, next-page
+    links are tried where there is none. A walk counts if every page on it has a number that
+    does not fall and stays below the far end, and the far end is reached; pages that repeat
+    the number before them are later pages of that chapter and no entries.
     """
     w = Window.partitionBy("book_id").orderBy("pos")
     gap = ordered.where("number IS NOT NULL").select("book_id", "pos", "norm_url", F.floor("number").alias("lo"), F.lead("norm_url").over(w).alias("far_url"), F.floor(F.lead("number").over(w)).alias("hi")).where("hi - lo >= 2")
     ids = pages.where("url IS NOT NULL").groupBy(urls.normalize_url(F.col("url")).alias("norm_url")).agg(F.max("page_id").alias("page"))
     g = gap.join(ids, "norm_url").join(ids.select(F.col("norm_url").alias("far_url"), F.col("page").alias("far")), "far_url")
-    nxt = by_url(links.where((F.col("relation") == "NEXT_CHAPTER") & (F.col("score") >= navigation.MIN_CONFIDENCE)), pages).where("to_id IS NOT NULL").select(F.col("page_id").alias("src"), F.col("to_id").alias("dst"))
+    hop = by_url(links.where(F.col("relation").isin("NEXT_CHAPTER", "NEXT_PAGE") & (F.col("score") >= navigation.MIN_CONFIDENCE)), pages).where("to_id IS NOT NULL AND to_id <> page_id")
+    nxt = hop.groupBy(F.col("page_id").alias("src")).agg(F.max_by("to_id", F.struct((F.col("relation") == "NEXT_CHAPTER").cast("int"), "score")).alias("dst"))
     walk = graph.walk_pages(g.select("page").distinct(), nxt, most)
     no = titles.select(F.col("page_id").alias("p"), "page_title", F.floor(parse_title(F.col("page_title"))["order_token"]).alias("no"))
     j = g.join(walk.withColumnRenamed("pos", "k").withColumnRenamed("page", "p"), F.col("page") == F.col("start")).where("k > 1").join(no, "p", "left")
     end = j.where("p = far").groupBy("book_id", "pos").agg(F.min("k").alias("end"))
     inside = j.join(end, ["book_id", "pos"]).where("k < end")
-    chain = inside.groupBy("book_id", "pos").agg(F.count_if(F.col("no").isNull() | (F.col("no") <= F.col("lo")) | (F.col("no") >= F.col("hi"))).alias("bad"), F.countDistinct("no").alias("d"), F.count("*").alias("n")).where("bad = 0 AND d = n")
-    return inside.join(chain.select("book_id", "pos"), ["book_id", "pos"]).select("book_id", F.col("pos").alias("after_pos"), (F.col("k") - 1).alias("step"), F.col("p").alias("page_id"), F.col("page_title").alias("title"))
+    inside = inside.withColumn("before", F.coalesce(F.lag("no").over(Window.partitionBy("book_id", "pos").orderBy("k")), F.col("lo")))
+    wrong = F.col("no").isNull() | (F.col("no") < F.col("before")) | (F.col("no") >= F.col("hi"))
+    chain = inside.groupBy("book_id", "pos").agg(F.count_if(wrong).alias("bad")).where("bad = 0")
+    new = inside.where("no > before").join(chain.select("book_id", "pos"), ["book_id", "pos"])
+    return new.select("book_id", F.col("pos").alias("after_pos"), F.row_number().over(Window.partitionBy("book_id", "pos").orderBy("k")).alias("step"), F.col("p").alias("page_id"), F.col("page_title").alias("title"))
 
 
 # -- lists behind scripts --------------------------------------------------------------------------

@@ -320,12 +320,12 @@ def analyze_pages(s: SparkSession, d: str) -> DataFrame:
 
 
 def book_chapters(s: SparkSession, d: str) -> DataFrame:
-    c = pipeline.book_chapters(table(s, d, "catalog_entries"), _pages(s, d), table(s, d, "content_extractions"))
+    c = pipeline.finished_chapters(table(s, d, "catalog_entries"), _pages(s, d), table(s, d, "content_extractions"))
     return c.select("book_id", "pos", "title", "page_id", "status", "confidence")
 
 
 def exported_books(s: SparkSession, d: str) -> DataFrame:
-    c = pipeline.book_chapters(table(s, d, "catalog_entries"), _pages(s, d), table(s, d, "content_extractions"))
+    c = pipeline.finished_chapters(table(s, d, "catalog_entries"), _pages(s, d), table(s, d, "content_extractions"))
     return pipeline.export_books(c)
 
 

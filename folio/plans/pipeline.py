@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from folio.functions import urls
 from folio.functions.textclean import clean_text
-from folio.operators import catalog, chapters, content, dom, graph, metadata, navigation
+from folio.functions.titles import has_page_marker, parse_title, strip_sub_number
+from folio.operators import catalog, chapters, content, dom, graph, metadata, navigation, walks
 from folio.sources import captures as cap
 from folio.sources import export
 from folio.util import build_session, materialize, ship, table
@@ -41,27 +42,141 @@ def ordered_entries(entries: DataFrame) -> DataFrame:
     return chapters.in_order(j.withColumn("k", key), "book_id", ["k", "entry_id"]).select("book_id", "entry_id", "title", "url", "norm_url", "direction", "pos")
 
 
+def expanded_entries(entries: DataFrame, d: DataFrame, pages: DataFrame) -> DataFrame:
+    """Entries with those behind the folds of their list pages in place, read from captured payloads."""
+    own = entries.select("entry_id", "book_id", "title", "url", "dom_index")
+    if "source_page_url" not in entries.columns:
+        return own
+    x = walks.expand(catalog.collapsed_markers(d), pages, pages.select("url", F.col("html").alias("text")))
+    at = x.join(pages.select("page_id", F.col("url").alias("list_url"), "norm_url"), "page_id")
+    lists = entries.where("book_id IS NOT NULL").select("book_id", urls.normalize_url(F.col("source_page_url")).alias("norm_url")).distinct()
+    put = materialize(at.join(lists, "norm_url").select("book_id", urls.resolve(F.col("list_url"), F.col("after_href")).alias("after_url"), urls.resolve(F.col("list_url"), F.col("before_href")).alias("before_url"), "seq", "title", "url"))
+    books = put.select("book_id").distinct()
+    spliced = catalog.splice(own.join(books, "book_id", "left_semi"), put)
+    spliced = spliced.select(F.col("pos").cast("bigint").alias("entry_id"), "book_id", "title", "url", F.col("pos").alias("dom_index"))
+    return own.join(books, "book_id", "left_anti").unionByName(spliced)
+
+
+def filled_entries(ordered: DataFrame, links: DataFrame, pages: DataFrame, titles: DataFrame) -> DataFrame:
+    """(book_id, pos, title, url, norm_url): ordered entries with the captured chapters that lead over gaps of their numbers."""
+    e = ordered.select("book_id", "pos", "title", "url", "norm_url")
+    f = walks.fill_gaps(e.withColumn("number", parse_title(F.col("title"))["order_token"]), links, pages, titles)
+    new = materialize(f.join(pages.select("page_id", "url", "norm_url"), "page_id").select("book_id", F.col("after_pos").alias("pos"), "step", F.coalesce("title", "url").alias("title"), "url", "norm_url"))
+    # a way over entries the list already has is no gap's
+    known = new.join(e.select("book_id", "norm_url"), ["book_id", "norm_url"], "left_semi").select("book_id", "pos").distinct()
+    u = e.withColumn("step", F.lit(0).cast("int")).unionByName(new.join(known, ["book_id", "pos"], "left_anti"))
+    return chapters.in_order(u.withColumnRenamed("pos", "p0"), "book_id", ["p0", "step"]).select("book_id", "pos", "title", "url", "norm_url")
+
+
+def walked_entries(listed: DataFrame, steps: DataFrame, links: DataFrame, pages: DataFrame, titles: DataFrame, types: DataFrame) -> DataFrame:
+    """(book_id, pos, title, url, norm_url): chapters of books without a list, by their chapter links; book_id is the negative id of the first page.
+
+    Pages of lists, links to other hosts and chains that touch a listed book do
+    not count; later pages of a chapter stand for its first. Chains that run in
+    a circle have no first page and are no books.
+    """
+    n = steps.select(F.col("src").alias("key")).union(steps.select(F.col("dst").alias("key"))).distinct()
+    first = materialize(graph.reading_order(n, steps.select("src", "dst", F.lit(1.0).alias("confidence"))).where("head IS NOT NULL").select("key", "head"))
+    ok = pages.select("page_id", urls.authority(F.col("url")).alias("host")).join(types.where("page_type = 'CATALOG_PAGE'").select("page_id"), "page_id", "left_anti")
+    x = walks.chapter_edges(links, pages)
+    x = x.join(ok.select(F.col("page_id").alias("src"), F.col("host").alias("h1")), "src").join(ok.select(F.col("page_id").alias("dst"), F.col("host").alias("h2")), "dst").where("h1 = h2")
+    x = x.join(first.select(F.col("key").alias("src"), F.col("head").alias("s1")), "src", "left").join(first.select(F.col("key").alias("dst"), F.col("head").alias("d1")), "dst", "left")
+    x = materialize(x.select(F.coalesce("s1", "src").alias("src"), F.coalesce("d1", "dst").alias("dst"), "confidence").where("src <> dst").groupBy("src", "dst").agg(F.max("confidence").alias("confidence")))
+    o = materialize(graph.reading_order(x.select(F.col("src").alias("key")).union(x.select(F.col("dst").alias("key"))).distinct(), x).where("head IS NOT NULL"))
+    own = listed.join(pages.select("page_id", "norm_url"), "norm_url").select(F.col("page_id").alias("key")).distinct()
+    taken = o.join(own.join(first, "key", "left").select(F.coalesce("head", "key").alias("key")).distinct(), "key", "left_semi").select("head").distinct()
+    several = o.where("rank >= 1").select("head").distinct()
+    c = o.join(taken, "head", "left_anti").join(several, "head", "left_semi").join(pages.select(F.col("page_id").alias("key"), "url", "norm_url"), "key").join(titles.withColumnRenamed("page_id", "key"), "key", "left")
+    return c.select((-F.col("head")).alias("book_id"), (F.col("rank") + 1).cast("int").alias("pos"), F.coalesce("page_title", F.concat(F.lit("第"), (F.col("rank") + 1).cast("string"), F.lit("章"))).alias("title"), "url", "norm_url")
+
+
+def merged_parts(chs: DataFrame) -> DataFrame:
+    """Chapters with the parts of one chapter as one row: texts in order, a line in place of each part without one, the first bad status, the least confidence."""
+    p = parse_title(F.col("title"))
+    key = chs.select("book_id", "pos", "title", p.alias("p"))
+    whole = (F.col("p.chapter_type") == "normal") & (F.col("p.chapter_number") == F.floor("p.chapter_number"))
+    runs = materialize(chapters.part_runs(key.select("book_id", "pos", F.when(whole, F.col("p.chapter_number")).alias("number"), "p.sub_number")).select("book_id", "pos", "run"))
+    several = runs.groupBy("book_id", "run").agg(F.count("*").alias("n")).where("n > 1").select("book_id", "run", F.lit(True).alias("several"))
+    j = materialize(chs.join(runs, ["book_id", "pos"]).join(several, ["book_id", "run"], "left"))
+    cols = ["title", "url", "page_id", "status", "confidence", "content"]
+    g = j.where("several").groupBy("book_id", "run").agg(F.array_sort(F.collect_list(F.struct("pos", *cols))).alias("s"))
+    part = lambda x: F.when(x["status"] == "CONTENT_OK", F.coalesce(x["content"], F.lit(""))).otherwise(F.concat(F.lit("【"), F.coalesce(x["title"], F.lit("")), F.lit(" 未能提取："), x["status"], F.lit("】")))
+    bad = F.try_element_at(F.filter("s", lambda x: x["status"] != "CONTENT_OK"), F.lit(1))["status"]
+    one = F.col("s")[0]
+    m = g.select(
+        "book_id", F.col("run").alias("pos"), strip_sub_number(one["title"]).alias("title"), one["url"].alias("url"), F.try_element_at(F.filter(F.transform("s", lambda x: x["page_id"]), lambda x: x.isNotNull()), F.lit(1)).alias("page_id"), F.coalesce(bad, F.lit("CONTENT_OK")).alias("status"),
+        F.array_min(F.transform("s", lambda x: x["confidence"])).alias("confidence"), F.array_join(F.transform("s", part), "\n\n").alias("content"),
+    )
+    return j.where("several IS NULL").select("book_id", F.col("run").alias("pos"), *cols).unionByName(m).withColumn("pos", F.col("pos").cast("int"))
+
+
+def without_recurrent(chs: DataFrame) -> DataFrame:
+    """Chapters without their book's recurrent blocks; one that is empty without them is UNKNOWN_FAILURE."""
+    c = chs.withColumn("doc", F.concat_ws(":", F.col("book_id").cast("string"), F.col("pos").cast("string")))
+    r = chapters.remove_recurrent(c.withColumn("content", F.coalesce("content", F.lit(""))), "book_id", "doc", "content").select("doc", F.col("text").alias("kept"), "emptied")
+    lost = F.col("emptied") & (F.col("status") == "CONTENT_OK")
+    j = c.join(r, "doc")
+    return j.select(
+        "book_id", "pos", "title", "url", "page_id", F.when(lost, "UNKNOWN_FAILURE").otherwise(F.col("status")).alias("status"),
+        F.when(lost, F.least("confidence", F.lit(0.2))).otherwise(F.col("confidence")).alias("confidence"), F.when(F.col("content").isNotNull(), F.col("kept")).alias("content"),
+    )
+
+
+def page_extractions(d: DataFrame, picked: DataFrame, texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(page_id, text, confidence, judged): each wanted page's extraction, from the page itself where the table has none; confidence re-judged if below 0.6."""
+    has = texts.where("text IS NOT NULL").withColumn("c", F.col("confidence").cast("double") if "confidence" in texts.columns else F.lit(None).cast("double"))
+    t = has.groupBy("page_id").agg(F.max_by(F.struct("text", "c"), F.length("text")).alias("t"))
+    p = picked.withColumnRenamed("text", "own").withColumnRenamed("confidence", "own_c")
+    j = wanted.join(t, "page_id", "left").join(p, "page_id", "left")
+    j = j.withColumn("text", F.coalesce("t.text", "own")).withColumn("confidence", F.when(F.col("t").isNull(), F.col("own_c")).otherwise(F.coalesce("t.c", "own_c", F.lit(0.8))))
+    deep = content.deep_confidence(j.where("score IS NOT NULL")).withColumnRenamed("confidence", "deep_c")
+    return j.select("page_id", "text", "confidence").join(deep, "page_id", "left").select("page_id", "text", F.coalesce("deep_c", "confidence").alias("confidence"), F.col("text").alias("judged"))
+
+
 def book_chapters(entries: DataFrame, pages: DataFrame, texts: DataFrame) -> DataFrame:
     """Chapters of every book in order: (book_id, pos, title, url, page_id, status, confidence, content).
 
+    Entries behind folds are put in place, the list is ordered, gaps of its
+    numbers are filled over next links, and books without a list are walked.
     Entries are answered from captures; a chapter without one is NOT_CAPTURED
-    and stays in the list. Texts are judged against the running median of their book.
+    and stays in the list. A chapter's later pages are merged into it, its text
+    is cleaned and judged against the running median of its book; then parts of
+    one chapter become one. What recurs across a book is left to finished_chapters.
     """
-    e = ordered_entries(entries)
-    c = cap.latest(pages.select("page_id", "url", "status_code", "html", "headers", "received_at", "captured_at")).select("norm_url", "page_id", "status_code", "html", "headers")
-    t = texts.where("text IS NOT NULL").groupBy("page_id").agg(F.max_by("text", F.length("text")).alias("text"))
-    j = materialize(e.join(c, "norm_url", "left").join(t, "page_id", "left"))
-    med = chapters.running_median(j.select("book_id", "entry_id", "pos", F.length(F.coalesce("text", F.lit(""))).alias("n")).withColumnRenamed("pos", "p0"), "book_id", ["p0"], "n", F.col("n") >= 200).select("book_id", F.col("pos"), "median_prev")
+    c = materialize(cap.latest(pages.select("page_id", "url", "status_code", "html", "headers", "received_at", "captured_at")).select("norm_url", "page_id", "url", "status_code", "html", "headers"))
+    d = materialize(dom.dom(c))
+    picked = materialize(content.pick_content(d))
+    links = materialize(navigation.best_links(navigation.link_scores(dom.anchors(d), c)))
+    titles = materialize(metadata.page_title(d))
+    steps = materialize(walks.chapter_steps(links, c, titles))
+    e = materialize(filled_entries(materialize(ordered_entries(expanded_entries(entries, d, c))), links, c, titles))
+    e = e.unionByName(walked_entries(e, steps, links, c, titles, content.page_types(content.page_features(d, picked))))
+    e = materialize(e.join(c.select("norm_url", "page_id"), "norm_url", "left"))
+    starts = e.where("page_id IS NOT NULL").select("page_id").distinct()
+    x = materialize(page_extractions(d, picked, texts, starts.union(steps.select(F.col("dst").alias("page_id"))).distinct()))
+    m = walks.merge_pages(starts, steps, x).select(F.col("start").alias("page_id"), F.col("text").alias("raw"), "repeats")
+    j = e.join(m, "page_id", "left").join(x.select("page_id", "judged", F.col("confidence").alias("own")), "page_id", "left").join(titles, "page_id", "left").join(c.select("page_id", "status_code", "html", "headers"), "page_id", "left")
+    marked = has_page_marker(F.col("page_title")) & F.col("title").isNotNull()
+    j = j.withColumn("title", F.when(F.coalesce(marked, F.lit(False)), F.col("title")).when(content.strong_title(F.col("page_title")), F.col("page_title")).otherwise(F.coalesce("title", "page_title")))
+    j = materialize(j.withColumn("content", clean_text(F.col("raw"), F.col("title"))))
+    med = chapters.running_median(j.select("book_id", "pos", F.length(F.coalesce("content", F.lit(""))).alias("n")).withColumnRenamed("pos", "p0"), "book_id", ["p0"], "n", F.col("n") >= 200).select("book_id", F.col("pos"), "median_prev")
     j = j.join(med, ["book_id", "pos"], "left")
+    own = F.coalesce("own", F.lit(0.0))
     st = content.access_status(
         F.coalesce("status_code", F.lit(200)), F.try_element_at(F.coalesce("headers", F.create_map().cast("map<string,string>")), F.lit("server")), F.coalesce("html", F.lit("")),
-        F.coalesce("html", F.lit("")), F.coalesce("text", F.lit("")), F.lit(0.8), F.col("median_prev"),
+        F.coalesce("html", F.lit("")), F.coalesce("judged", F.lit("")), own, F.col("median_prev"),
     )
-    s = j.withColumn("st", st)
-    return s.select(
-        "book_id", "pos", "title", "url", "page_id", F.when(F.col("page_id").isNull(), "NOT_CAPTURED").otherwise(F.col("st.status")).alias("status"),
-        F.when(F.col("page_id").isNull(), 0.0).otherwise(F.col("st.confidence")).alias("confidence"), F.col("text").alias("content"),
+    none, twice = F.col("page_id").isNull(), F.coalesce("repeats", F.lit(False))
+    s = j.withColumn("st", st).select(
+        "book_id", "pos", "title", "url", "page_id", F.when(none, "NOT_CAPTURED").when(twice, "UNKNOWN_FAILURE").otherwise(F.col("st.status")).alias("status"),
+        F.when(none, 0.0).otherwise(F.least("st.confidence", own, F.when(twice, F.lit(0.2)))).alias("confidence"), "content",
     )
+    return merged_parts(materialize(s))
+
+
+def finished_chapters(entries: DataFrame, pages: DataFrame, texts: DataFrame) -> DataFrame:
+    """The whole of a download: book_chapters without the blocks that recur across a book."""
+    return without_recurrent(materialize(book_chapters(entries, pages, texts)))
 
 
 def export_books(chs: DataFrame) -> DataFrame:
@@ -98,7 +213,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "inspect":
         diagnose(entries).write.mode("overwrite").parquet(a.out)
         return 0
-    chs = materialize(book_chapters(entries, pages, table(spark, a.tables, "content_extractions")))
+    chs = materialize(finished_chapters(entries, pages, table(spark, a.tables, "content_extractions")))
     export.write_books(export_books(chs), a.out)
     return int(bool(chs.where("status <> 'CONTENT_OK'").limit(1).count()))
 

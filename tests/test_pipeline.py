@@ -61,3 +61,32 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) from windows").select(F.col("sum(n)")).first()[0] == 20
+
+
+def test_book_stages(spark):
+    """Pages of one chapter, a gap, a fold, parts, a recurring block and a book without a list."""
+    t0 = dt.datetime(2025, 1, 1)
+    story = "他走进镇子，看见灯火。" * 40
+    note = "本站所有内容由会员上传，" * 8
+    link = lambda *xs: "".join(f"<a href='{h}'>{t}</a>" for t, h in xs)
+    page = lambda title, text, *xs: f"<h1>{title}</h1><div><p>{text}</p></div>" + link(*xs)
+    fold = "<script>function load(id){ get('/d/' + id + '.js') }</script><a href='/b/5.html'>第5章</a><a href='javascript:;' onclick=\"load('7')\">展开全部</a><a href='/b/7_1.html'>第7章 1</a>"
+    html = {
+        "/b/1.html": page("第1章（第1页）", "甲" + story, ("下一页", "1_2.html")), "/b/1_2.html": page("第1章（第2页）", "乙" + story, ("下一章", "2.html")),
+        "/b/2.html": page("第2章", story, ("下一章", "3.html")), "/b/3.html": page("第3章", "丙" + story, ("下一章", "4.html")), "/b/4.html": page("第4章", story, ("下一章", "5.html")), "/b/5.html": page("第5章", story),
+        "/d/7.js": "cb({\"h\":\"<a href='/b/6.html'>第6章</a>\"})", "/b/6.html": page("第6章", "丁" + story), "/b/7_1.html": page("第7章 1", "戊" + story), "/b/7_2.html": page("第7章 2", "己" + story), "/b/toc": fold,
+        "/w/1": page("第1章", "庚" + story, ("下一章", "/w/2")), "/w/2": page("第2章", "辛" + story, ("上一章", "/w/1")),
+    }
+    ids = {u: i for i, u in enumerate(html, 1)}
+    pages = spark.createDataFrame([(ids[u], f"http://h{u}", 200, h, None, t0, t0) for u, h in html.items()], "page_id bigint, url string, status_code int, html string, headers map<string,string>, received_at timestamp, captured_at timestamp")
+    listed = [("第1章", "/b/1.html"), ("第2章", "/b/2.html"), ("第4章", "/b/4.html"), ("第5章", "/b/5.html"), ("第7章 1", "/b/7_1.html"), ("第7章 2", "/b/7_2.html")]
+    entries = spark.createDataFrame([(i, 7, t, f"http://h{u}", "http://h/b/toc", i) for i, (t, u) in enumerate(listed)], "entry_id bigint, book_id bigint, title string, url string, source_page_url string, dom_index int")
+    first = {"/b/1.html": "甲", "/b/1_2.html": "乙", "/b/3.html": "丙", "/b/6.html": "丁", "/b/7_1.html": "戊", "/b/7_2.html": "己"}
+    texts = spark.createDataFrame([(ids[u], f"{first.get(u, '')}{story}{u}\n\n{note}") for u in html if u.startswith("/b/") and u != "/b/toc"], "page_id bigint, text string")
+    rows = pipeline.finished_chapters(entries, pages, texts).collect()
+    c = {r["pos"]: r for r in rows if r["book_id"] == 7}
+    assert [c[i]["title"] for i in sorted(c)] == ["第1章", "第2章", "第3章", "第4章", "第5章", "第6章", "第7章"]
+    assert "甲" in c[1]["content"] and "乙" in c[1]["content"] and "丙" in c[3]["content"] and "丁" in c[6]["content"] and "戊" in c[7]["content"] and "己" in c[7]["content"]
+    assert not any(note in r["content"] for r in rows) and {r["status"] for r in rows} == {"CONTENT_OK"}
+    w = {r["pos"]: r for r in rows if r["book_id"] == -ids["/w/1"]}
+    assert "庚" in w[1]["content"] and "辛" in w[2]["content"] and len(rows) == 9
