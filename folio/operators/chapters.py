@@ -8,15 +8,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A book is read up to so many chapters; it bounds every ordered frame of a book.
-MAX_CHAPTERS = 2000
+from folio.util import materialize, running_sum, with_previous
+
 MAX_FAILURES = 5
 MIN_BLOCK = 60
+#: Positions of a book that one task keeps ranks over.
+SHARE = 200_000
 
 
-def in_order(df: DataFrame, key: str, order: list[str], most: int = MAX_CHAPTERS) -> DataFrame:
-    """Rows with their position from 1 by key, up to ``most``: the limit of a book is part of the operator."""
-    return df.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("pos") <= most)
+def in_order(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Rows with their position from 1 by key."""
+    return running_sum(df, key, order, F.lit(1), "pos")
 
 
 def blocks(text: Column) -> Column:
@@ -57,12 +59,9 @@ def duplicate_texts(pages: DataFrame, key: str, page: str, text: str, least: int
 
 def part_runs(chapters: DataFrame, book: str = "book_id") -> DataFrame:
     """Chapters with the number, from 1, of the run of parts they belong to; see merge_parts."""
-    w = Window.partitionBy(book).orderBy("pos")
-    n = F.floor("number")
-    prev, prev_sub = F.lag(n).over(w), F.lag("sub_number").over(w)
-    goes_on = F.col("sub_number").isNotNull() & prev_sub.isNotNull() & (n == prev) & (F.col("sub_number") > prev_sub)
-    c = chapters.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
-    return c.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+    c = with_previous(chapters.withColumn("__n", F.floor("number")), [book], ["pos"], ["__n", "sub_number"])
+    goes_on = F.col("sub_number").isNotNull() & F.col("prev.sub_number").isNotNull() & (F.col("__n") == F.col("prev.__n")) & (F.col("sub_number") > F.col("prev.sub_number"))
+    return running_sum(c, book, ["pos"], F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1), "run").drop("prev", "__n")
 
 
 def merge_parts(chapters: DataFrame, book: str = "book_id") -> DataFrame:
@@ -76,14 +75,63 @@ def merge_parts(chapters: DataFrame, book: str = "book_id") -> DataFrame:
     return c.groupBy(book, "run").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n_parts"), F.min_by("title", "pos").alias("title")).select(book, "first_pos", "n_parts", "title", (F.col("n_parts") > 1).alias("merged"))
 
 
+class Ranks:
+    """Counts of whole numbers from 0, by their leading bits; as large as the numbers are different."""
+
+    BITS = 40
+
+    def __init__(self) -> None:
+        self.n, self.at = 0, [{} for _ in range(self.BITS + 1)]
+
+    def add(self, v: int, n: int = 1) -> None:
+        self.n += n
+        for b in range(self.BITS + 1):
+            self.at[b][v >> b] = self.at[b].get(v >> b, 0) + n
+
+    def nth(self, k: int) -> int:
+        """The k-th smallest, from 1."""
+        v = 0
+        for b in range(self.BITS - 1, -1, -1):
+            v <<= 1
+            low = self.at[b].get(v, 0)
+            if k > low:
+                k, v = k - low, v + 1
+        return v
+
+    def median(self) -> int | None:
+        return (self.nth((self.n + 1) // 2) + self.nth(self.n // 2 + 1)) // 2 if self.n else None
+
+
 def running_median(chapters: DataFrame, book: str, order: list[str], length: str, ok: Column) -> DataFrame:
-    """(book, pos, length, ok, median_prev): whole median of the lengths of good chapters before each one, up to MAX_CHAPTERS a book."""
-    c = in_order(chapters.withColumn("ok", ok), book, order)
-    w = Window.partitionBy(book).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    s = F.array_sort(F.collect_list(F.when(F.col("ok"), F.col(length))).over(w))
-    k = F.size("s")
-    mid = F.when(k > 0, F.floor((F.try_element_at(F.col("s"), F.floor((k + 1) / 2).cast("int")) + F.try_element_at(F.col("s"), F.floor(k / 2).cast("int") + 1)) / 2))
-    return c.withColumn("s", s).select(book, "pos", length, "ok", mid.cast("bigint").alias("median_prev"))
+    """(book, pos, length, ok, median_prev): whole median of the lengths of good chapters before each one.
+
+    A book's rows are parted into shares of consecutive positions; each share
+    begins with the counts of the lengths before it and keeps ranks, no lists.
+    """
+    c = in_order(chapters.withColumn("ok", ok), book, order).select(book, "pos", length, "ok")
+    c = materialize(c.withColumn("__share", F.floor((F.col("pos") - 1) / SHARE).cast("int")))
+    counts = c.where("ok").groupBy(book, "__share", length).agg(F.count("*").alias("__k"))
+    shares = c.where("__share > 0").select(book, "__share").distinct().withColumnRenamed("__share", "__to")
+    own = counts.withColumnRenamed(book, "__book")
+    past = own.join(shares, own["__book"].eqNullSafe(shares[book]) & (F.col("__share") < F.col("__to"))).groupBy(book, F.col("__to").alias("__share"), length).agg(F.sum("__k").alias("__k"))
+    rows = c.withColumn("__k", F.lit(None).cast("bigint")).unionByName(past.select(book, F.lit(0).alias("pos"), length, F.lit(True).alias("ok"), "__share", "__k"))
+    kind = {x: rows.schema[x].dataType.simpleString() for x in (book, length)}
+    src = rows.repartition(book, "__share").sortWithinPartitions(book, "__share", "pos").select(book, "__share", "pos", length, "ok", "__k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cur, ranks = None, Ranks()
+        for b in batches:
+            med: list[int | None] = []
+            for k, share, v, good, n in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4, 5)), strict=True):
+                if (k, share) != cur:
+                    cur, ranks = (k, share), Ranks()
+                med.append(ranks.median() if n is None else None)
+                if good and v is not None:
+                    ranks.add(int(v), 1 if n is None else n)
+            out = pa.RecordBatch.from_arrays([*(b.column(i) for i in (0, 2, 3, 4)), pa.array(med, pa.int64())], names=["b", "pos", "v", "ok", "m"])
+            yield out.filter(b.column(5).is_null())
+
+    return src.mapInArrow(run, f"b {kind[book]}, pos int, v {kind[length]}, ok boolean, m bigint").select(F.col("b").alias(book), "pos", F.col("v").alias(length), "ok", F.col("m").alias("median_prev"))
 
 
 def failure_cut(rows: DataFrame, key: str, order: list[str], bad: Column, most: int = MAX_FAILURES) -> DataFrame:

@@ -191,9 +191,13 @@ def page_types(features: DataFrame) -> DataFrame:
     return s.select("page_id", "chapter", "catalog", "book", F.when(unsure, F.lit("UNKNOWN")).otherwise(F.col("o")[0]["t"]).alias("page_type"), F.col("o")[0]["s"].alias("confidence"))
 
 
+def trimmed_length(text: Column) -> Column:
+    return F.length(F.btrim(text, F.lit(" \t\r\n　")))
+
+
 def access_status(status_code: Column, server: Column, html: Column, page_text: Column, content: Column, content_conf: Column, neighbours: Column) -> Column:
     """Struct (status, confidence): HTTP verdict, then phrases of short pages, then length, also against the neighbours' median."""
-    n = F.length(F.btrim(content, F.lit(" \t\r\n　")))
+    n = trimmed_length(content)
     low = F.lower(html)
     bot = F.lower(F.coalesce(server, F.lit(""))).contains("cloudflare") | contains_any(low, BOT_MARKS)
     starved = F.coalesce((neighbours >= 1000) & (n < 0.2 * neighbours), F.lit(False))

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.util import materialize
+from folio.util import materialize, with_previous
 
 MAX_ROUNDS = 40
 
 
 def consecutive_edges(chapters: DataFrame, book: str, key: str, ascending: Column) -> DataFrame:
     """(book, src, dst, confidence): each chapter to the next; 0.9 in a list known to ascend, else 0.6. Input has pos."""
-    w = Window.partitionBy(book).orderBy("pos")
-    e = chapters.select(book, F.col(key).alias("src"), F.lead(key).over(w).alias("dst"), F.when(ascending, 0.9).otherwise(0.6).alias("confidence"))
-    return e.where("dst IS NOT NULL AND src <> dst")
+    e = with_previous(chapters.select(book, "pos", F.col(key).alias("dst"), ascending.alias("up")), [book], ["pos"], ["dst", "up"])
+    return e.select(book, F.col("prev.dst").alias("src"), "dst", F.when(F.col("prev.up"), 0.9).otherwise(0.6).alias("confidence")).where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
 
 
 def strongest(edges: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from folio.functions.titles import has_page_marker, parse_title, strip_sub_numbe
 from folio.operators import catalog, chapters, content, dom, graph, metadata, navigation, walks
 from folio.sources import captures as cap
 from folio.sources import export
-from folio.util import build_session, materialize, ship, table
+from folio.util import build_session, discard, materialize, ship, table
 
 
 def analyze(pages: DataFrame, preview: int = 300) -> DataFrame:
@@ -123,17 +124,17 @@ def without_recurrent(chs: DataFrame) -> DataFrame:
 
 
 def page_extractions(d: DataFrame, picked: DataFrame, texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(page_id, text, confidence, judged): each wanted page's extraction, from the page itself where the table has none; confidence re-judged if below 0.6."""
+    """(page_id, text, confidence, judged): each wanted page's extraction, from the page itself where the table has none; confidence re-judged if below 0.6; judged: the length a status goes by."""
     has = texts.where("text IS NOT NULL").withColumn("c", F.col("confidence").cast("double") if "confidence" in texts.columns else F.lit(None).cast("double"))
     t = has.groupBy("page_id").agg(F.max_by(F.struct("text", "c"), F.length("text")).alias("t"))
     p = picked.withColumnRenamed("text", "own").withColumnRenamed("confidence", "own_c")
     j = wanted.join(t, "page_id", "left").join(p, "page_id", "left")
     j = j.withColumn("text", F.coalesce("t.text", "own")).withColumn("confidence", F.when(F.col("t").isNull(), F.col("own_c")).otherwise(F.coalesce("t.c", "own_c", F.lit(0.8))))
     deep = content.deep_confidence(j.where("score IS NOT NULL")).withColumnRenamed("confidence", "deep_c")
-    return j.select("page_id", "text", "confidence").join(deep, "page_id", "left").select("page_id", "text", F.coalesce("deep_c", "confidence").alias("confidence"), F.col("text").alias("judged"))
+    return j.select("page_id", "text", "confidence").join(deep, "page_id", "left").select("page_id", "text", F.coalesce("deep_c", "confidence").alias("confidence"), content.trimmed_length(F.col("text")).alias("judged"))
 
 
-def book_chapters(entries: DataFrame, pages: DataFrame, texts: DataFrame) -> DataFrame:
+def book_chapters(entries: DataFrame, pages: DataFrame, texts: DataFrame, max_chapters: int | None = None) -> DataFrame:
     """Chapters of every book in order: (book_id, pos, title, url, page_id, status, confidence, content).
 
     Entries behind folds are put in place, the list is ordered, gaps of its
@@ -141,7 +142,8 @@ def book_chapters(entries: DataFrame, pages: DataFrame, texts: DataFrame) -> Dat
     Entries are answered from captures; a chapter without one is NOT_CAPTURED
     and stays in the list. A chapter's later pages are merged into it, its text
     is cleaned and judged against the running median of its book; then parts of
-    one chapter become one. What recurs across a book is left to finished_chapters.
+    one chapter become one. With max_chapters only so many chapters of a book are
+    read, and what is left out is warned of. What recurs across a book is left to finished_chapters.
     """
     c = materialize(cap.latest(pages.select("page_id", "url", "status_code", "html", "headers", "received_at", "captured_at")).select("norm_url", "page_id", "url", "status_code", "html", "headers"))
     d = materialize(dom.dom(c))
@@ -152,19 +154,26 @@ def book_chapters(entries: DataFrame, pages: DataFrame, texts: DataFrame) -> Dat
     e = materialize(filled_entries(materialize(ordered_entries(expanded_entries(entries, d, c))), links, c, titles))
     e = e.unionByName(walked_entries(e, steps, links, c, titles, content.page_types(content.page_features(d, picked))))
     e = materialize(e.join(c.select("norm_url", "page_id"), "norm_url", "left"))
+    if max_chapters:
+        n = e.where(F.col("pos") > max_chapters).agg(F.count("*"), F.countDistinct("book_id")).first()
+        if n[0]:
+            warnings.warn(f"stopped at max_chapters={max_chapters}: {n[0]} chapters of {n[1]} books are left out", stacklevel=2)
+        e = e.where(F.col("pos") <= max_chapters)
     starts = e.where("page_id IS NOT NULL").select("page_id").distinct()
     x = materialize(page_extractions(d, picked, texts, starts.union(steps.select(F.col("dst").alias("page_id"))).distinct()))
+    discard(d)
+    discard(picked)
     m = walks.merge_pages(starts, steps, x).select(F.col("start").alias("page_id"), F.col("text").alias("raw"), "repeats")
-    j = e.join(m, "page_id", "left").join(x.select("page_id", "judged", F.col("confidence").alias("own")), "page_id", "left").join(titles, "page_id", "left").join(c.select("page_id", "status_code", "html", "headers"), "page_id", "left")
+    j = e.join(m, "page_id", "left").join(x.select("page_id", "judged", F.col("confidence").alias("own")), "page_id", "left").join(titles, "page_id", "left")
     marked = has_page_marker(F.col("page_title")) & F.col("title").isNotNull()
     j = j.withColumn("title", F.when(F.coalesce(marked, F.lit(False)), F.col("title")).when(content.strong_title(F.col("page_title")), F.col("page_title")).otherwise(F.coalesce("title", "page_title")))
-    j = materialize(j.withColumn("content", clean_text(F.col("raw"), F.col("title"))))
+    j = materialize(j.select("book_id", "pos", "title", "url", "page_id", "repeats", "judged", "own", clean_text(F.col("raw"), F.col("title")).alias("content")))
     med = chapters.running_median(j.select("book_id", "pos", F.length(F.coalesce("content", F.lit(""))).alias("n")).withColumnRenamed("pos", "p0"), "book_id", ["p0"], "n", F.col("n") >= 200).select("book_id", F.col("pos"), "median_prev")
-    j = j.join(med, ["book_id", "pos"], "left")
+    j = j.join(med, ["book_id", "pos"], "left").join(c.select("page_id", "status_code", "html", "headers"), "page_id", "left")
     own = F.coalesce("own", F.lit(0.0))
     st = content.access_status(
         F.coalesce("status_code", F.lit(200)), F.try_element_at(F.coalesce("headers", F.create_map().cast("map<string,string>")), F.lit("server")), F.coalesce("html", F.lit("")),
-        F.coalesce("html", F.lit("")), F.coalesce("judged", F.lit("")), own, F.col("median_prev"),
+        F.coalesce("html", F.lit("")), F.repeat(F.lit("x"), F.coalesce("judged", F.lit(0))), own, F.col("median_prev"),
     )
     none, twice = F.col("page_id").isNull(), F.coalesce("repeats", F.lit(False))
     s = j.withColumn("st", st).select(
@@ -174,9 +183,9 @@ def book_chapters(entries: DataFrame, pages: DataFrame, texts: DataFrame) -> Dat
     return merged_parts(materialize(s))
 
 
-def finished_chapters(entries: DataFrame, pages: DataFrame, texts: DataFrame) -> DataFrame:
+def finished_chapters(entries: DataFrame, pages: DataFrame, texts: DataFrame, max_chapters: int | None = None) -> DataFrame:
     """The whole of a download: book_chapters without the blocks that recur across a book."""
-    return without_recurrent(materialize(book_chapters(entries, pages, texts)))
+    return without_recurrent(materialize(book_chapters(entries, pages, texts, max_chapters)))
 
 
 def export_books(chs: DataFrame) -> DataFrame:
@@ -202,6 +211,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("command", choices=("analyze", "download", "inspect"))
     p.add_argument("tables", help="folder with fetched_pages, content_extractions and catalog_entries")
     p.add_argument("--out", required=True)
+    p.add_argument("--max-chapters", type=int, help="read a book only so far, with a warning; else all of it")
     a = p.parse_args(argv)
     spark = build_session("folio")
     ship(spark)
@@ -213,7 +223,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "inspect":
         diagnose(entries).write.mode("overwrite").parquet(a.out)
         return 0
-    chs = materialize(finished_chapters(entries, pages, table(spark, a.tables, "content_extractions")))
+    chs = materialize(finished_chapters(entries, pages, table(spark, a.tables, "content_extractions"), a.max_chapters))
     export.write_books(export_books(chs), a.out)
     return int(bool(chs.where("status <> 'CONTENT_OK'").limit(1).count()))
 

@@ -9,7 +9,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key that holds at least this fraction of all rows counts as heavy; at most
@@ -98,7 +98,17 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/folio-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folio_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of materialize() that no plan reads any more."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    _made.remove(df._folio_path)
+    p = jvm.org.apache.hadoop.fs.Path(df._folio_path)
+    p.getFileSystem(conf).delete(p, True)
 
 
 def skew_safe_join(rows: DataFrame, groups: DataFrame, keys: list[str], count_col: str, total: int) -> DataFrame:
@@ -149,3 +159,19 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], cols: list[s
     rows = r.withColumn("__lag", F.lag(s).over(share)).withColumn("__first", F.row_number().over(share) == 1)
     j = _null_safe(rows, before, [*keys, "__part"], "inner")
     return j.withColumn(name, F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__lag"))).drop("__part", "__lag", "__first", "__before")
+
+
+def running_sum(df: DataFrame, key: str, order: list[str], value: Column, name: str) -> DataFrame:
+    """Each row with the sum of a whole number over the rows of its key up to it.
+
+    As a running window, but a key may hold a third of all rows: rows are
+    range-partitioned by key and order, and a task's share adds the sum of the
+    shares of its key before it, from one summary row per share.
+    """
+    from pyspark.sql import Window
+
+    r = materialize(df.withColumn("__v", value).repartitionByRange(key, *order).withColumn("__part", F.spark_partition_id()))
+    earlier = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = r.groupBy(key, "__part").agg(F.sum("__v").alias("__s")).select(key, "__part", F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__before"))
+    here = F.sum("__v").over(Window.partitionBy(key, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return _null_safe(r.withColumn(name, here), before, [key, "__part"], "inner").withColumn(name, (F.col(name) + F.col("__before")).cast("int")).drop("__v", "__part", "__before")

@@ -258,3 +258,23 @@ def test_export(spark, tmp_path):
     assert export.write_epub(b, str(tmp_path / "b.epub"), "书") == 3
     export.write_books(export.merged(b), str(tmp_path / "books"))
     assert {(r["status"], r["n"]) for r in export.summary(b).collect()} == {("CONTENT_OK", 1), ("PAYWALL", 1), ("NOT_FOUND", 1)}
+
+
+def test_long_books_are_whole(spark, monkeypatch):
+    import random
+    import statistics
+
+    monkeypatch.setattr(chapters, "SHARE", 500)
+    rnd = random.Random(1)
+    rows = [("k", i, rnd.choice([5, rnd.randrange(300, 9000)])) for i in range(2100)] + [("j", 0, 400), ("j", 1, 1)]
+    df = spark.createDataFrame(rows, "k string, i int, n bigint")
+    assert {r["k"]: (r["c"], r["m"]) for r in chapters.in_order(df, "k", ["i"]).groupBy("k").agg(F.count("*").alias("c"), F.max("pos").alias("m")).collect()} == {"k": (2100, 2100), "j": (2, 2)}
+    got = {(r["k"], r["pos"]): r["median_prev"] for r in chapters.running_median(df, "k", ["i"], "n", F.col("n") >= 200).collect()}
+    assert len(got) == 2102 and got["j", 2] == 400
+    for p in (1, 2, 500, 501, 1500, 2050, 2100):
+        before = [n for k, i, n in rows if k == "k" and i < p - 1 and n >= 200]
+        assert got["k", p] == (int(statistics.median(before)) if before else None)
+    parts = spark.createDataFrame([(1, i + 1, f"第{i // 2}章", float(i // 2), i % 2 + 1) for i in range(2100)], "book_id bigint, pos int, title string, number double, sub_number int")
+    assert chapters.merge_parts(parts).where("merged").count() == 1050
+    nodes = parts.select("book_id", "pos", F.col("pos").alias("key"))
+    assert graph.consecutive_edges(nodes, "book_id", "key", F.lit(True)).count() == 2099
