@@ -6,6 +6,7 @@ import codecs
 import re
 
 import pandas as pd
+from charset_normalizer import from_bytes
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,16 +65,11 @@ def decide(raw: bytes | None, http_label: str | None) -> tuple[str, str, float,
         return meta, "meta_charset", 0.85, False
     if equiv:
         return equiv, "meta_http_equiv", 0.80, False
-    try:
-        from charset_normalizer import from_bytes
-
-        best = from_bytes(raw[:65536]).best()
-        if best is not None and best.encoding:
-            found = normalize_charset(best.encoding)
-            if found:
-                return found, "statistical", 0.70, False
-    except ImportError:
-        pass
+    best = from_bytes(raw).best()
+    if best is not None and best.encoding:
+        found = normalize_charset(best.encoding)
+        if found:
+            return found, "statistical", 0.70, False
     return "utf-8", "utf8_fallback", 0.30, False
 
 

@@ -91,3 +91,11 @@ def test_decode_captures(spark):
     d = spark.createDataFrame([(1, bytearray("好".encode("gb18030")), "text/html; charset=GBK"), (2, None, None)], "page_id bigint, raw_bytes binary, content_type string")
     got = {r["page_id"]: r for r in charset.decode_captures(d).collect()}
     assert got[1]["text"] == "好" and got[1]["encoding"] == "gb18030" and got[2]["text"] is None
+
+
+def test_charset_sees_the_whole_page():
+    story = "他走进镇子，看见灯火，听见远处的钟声。" * 200
+    raw = b"<script>" + b"var a = 1;\n" * 6500 + b"</script>" + story.encode()
+    assert len(raw) > 65536 + 10000
+    text, name, source = charset.decode_page(raw, None)[:3]
+    assert source == "statistical" and name == "utf-8" and "\ufffd" not in text and story in text
