@@ -12,6 +12,8 @@ from pyspark.sql.types import DoubleType
 from folio.functions.titles import let, parse_title
 
 STRONG = 0.85
+#: The re-scan ends with so many containers of a page, as in the reference.
+RESCANNED = 33
 # Words of the page-type features.
 PREV_NEXT_WORDS = ("上一章", "下一章", "上一页", "下一页", "上一节", "下一节")
 CATALOG_WORD = "目录"
@@ -73,11 +75,13 @@ def _explain(n: Column, ratio: Column) -> tuple[Column, Column]:
 
 
 def pick_content(d: DataFrame) -> DataFrame:
-    """(page_id, node_id, tag, text, score, confidence, link_ratio, anchored, positives, penalties) of each page's content.
+    """(page_id, node_id, tag, text, score, confidence, link_ratio, anchored, positives, penalties, deep) of each page's content.
 
     The deepest container of a chapter title with prose wins; else the densest
     candidate, a deeper one among the next five within 0.02; else the whole body
     at confidence 0.35; a page without text has an empty text at confidence 0.
+    deep is the densest of the first containers over looser thresholds, null if there
+    is none; its text is null if it is the picked node.
     """
     s = scored_nodes(d)
     cand = F.filter("scored", lambda x: x["n"]["tag"].isin("div", "article", "main", "section") & (x["n"]["text_len"] >= 50) & (x["score"] > 0.15))
@@ -92,7 +96,9 @@ def pick_content(d: DataFrame) -> DataFrame:
         lambda acc, y: F.when((F.try_element_at(F.col("ranked"), F.lit(1))["a"] - y["a"] <= 0.02) & (y["x"]["depth"] > acc["depth"]), y["x"]).otherwise(acc),
     )
     body = F.try_element_at(F.filter("scored", lambda x: x["n"]["tag"].isin("body", "#root")), F.lit(1))
-    s = s.withColumn("best", F.coalesce("by_depth", near, body)).withColumn("fallback", F.size("cand") == 0)
+    loose = F.slice(F.filter("scored", lambda x: x["n"]["tag"].isin("div", "article", "main", "section") & (x["n"]["text_len"] >= 30) & (x["score"] > 0.05)), 1, RESCANNED)
+    again = F.array_max(F.transform(loose, lambda x: F.struct(x["score"].alias("a"), x["order"].alias("b"), x.alias("x"))))["x"]
+    s = s.withColumn("again", again).withColumn("best", F.coalesce("by_depth", near, body)).withColumn("fallback", F.size("cand") == 0)
     n, ratio = F.col("best.n"), F.col("best.link_ratio")
     good, bad = _explain(n, ratio)
     empty = F.coalesce(n["text_len"], F.lit(0)) == 0
@@ -100,14 +106,21 @@ def pick_content(d: DataFrame) -> DataFrame:
         "page_id", n["node_id"].alias("node_id"), n["tag"].alias("tag"), F.coalesce(F.array_join(n["lines"], "\n"), F.lit("")).alias("text"), F.col("best.score").alias("score"),
         F.when(empty, 0.0).when(F.col("fallback"), 0.35).otherwise(0.40 + 0.55 * F.col("best.score")).alias("confidence"), ratio.alias("link_ratio"),
         F.col("by_depth").isNotNull().alias("anchored"), good.alias("positives"), bad.alias("penalties"), n["sibling_len"].alias("sibling_len"), n["near_h1"].alias("near_h1"), n["text_len"].alias("text_len"),
+        F.when(F.col("again").isNotNull(), F.struct(
+            F.col("again.n.tag").alias("tag"), F.when(F.col("again.n.node_id") != n["node_id"], F.array_join(F.col("again.n.lines"), "\n")).alias("text"), F.col("again.score").alias("score"),
+            F.col("again.n.sibling_len").alias("sibling_len"), F.col("again.n.near_h1").alias("near_h1"), F.col("again.n.text_len").alias("text_len"),
+        )).alias("deep"),
     )
 
 
 def deep_confidence(picked: DataFrame) -> DataFrame:
-    """(page_id, confidence) re-judged for weak picks: competing siblings and closeness to the heading."""
-    adjust = F.when(F.col("sibling_len") >= F.greatest(F.lit(200), 0.5 * F.col("text_len")), -0.10).otherwise(0.0) + F.when(F.col("near_h1"), 0.08).otherwise(0.0)
-    again = F.greatest(F.lit(0.2), F.least(F.lit(0.95), 0.35 + 0.5 * F.col("score") + adjust))
-    return picked.select("page_id", F.when(F.col("confidence") < 0.60, again).otherwise(F.col("confidence")).alias("confidence"))
+    """(page_id, confidence, tag, text): weak picks give way to the best container of the re-scan, judged by competing siblings and closeness to the heading; without one they stay."""
+    x = F.col("deep")
+    near = F.when(x["near_h1"], F.least(F.lit(0.95), 0.35 + 0.5 * x["score"] + 0.08)).otherwise(0.35 + 0.5 * x["score"])
+    rivals = x["sibling_len"] >= F.greatest(F.lit(200), 0.5 * x["text_len"])
+    again = F.greatest(F.lit(0.2), F.least(F.lit(0.95), F.when(rivals, F.greatest(F.lit(0.3), near - 0.10)).otherwise(near)))
+    weak = (F.col("confidence") < 0.60) & x.isNotNull()
+    return picked.select("page_id", F.when(weak, again).otherwise(F.col("confidence")).alias("confidence"), F.when(weak, x["tag"]).otherwise(F.col("tag")).alias("tag"), F.when(weak, F.coalesce(x["text"], F.col("text"))).otherwise(F.col("text")).alias("text"))
 
 
 @F.pandas_udf(DoubleType())

@@ -130,8 +130,9 @@ def page_extractions(d: DataFrame, picked: DataFrame, texts: DataFrame, wanted:
     p = picked.withColumnRenamed("text", "own").withColumnRenamed("confidence", "own_c")
     j = wanted.join(t, "page_id", "left").join(p, "page_id", "left")
     j = j.withColumn("text", F.coalesce("t.text", "own")).withColumn("confidence", F.when(F.col("t").isNull(), F.col("own_c")).otherwise(F.coalesce("t.c", "own_c", F.lit(0.8))))
-    deep = content.deep_confidence(j.where("score IS NOT NULL")).withColumnRenamed("confidence", "deep_c")
-    return j.select("page_id", "text", "confidence").join(deep, "page_id", "left").select("page_id", "text", F.coalesce("deep_c", "confidence").alias("confidence"), content.trimmed_length(F.col("text")).alias("judged"))
+    weak = j.where("confidence < 0.6 AND deep IS NOT NULL").select("page_id", "confidence", "tag", F.col("own").alias("text"), "deep")
+    deep = content.deep_confidence(weak).select("page_id", F.col("confidence").alias("deep_c"), content.trimmed_length(F.col("text")).alias("deep_n"))
+    return j.select("page_id", "text", "confidence").join(deep, "page_id", "left").select("page_id", "text", F.coalesce("deep_c", "confidence").alias("confidence"), F.coalesce("deep_n", content.trimmed_length(F.col("text"))).alias("judged"))
 
 
 def book_chapters(entries: DataFrame, pages: DataFrame, texts: DataFrame, max_chapters: int | None = None) -> DataFrame:

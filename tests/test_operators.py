@@ -278,3 +278,13 @@ def test_long_books_are_whole(spark, monkeypatch):
     assert chapters.merge_parts(parts).where("merged").count() == 1050
     nodes = parts.select("book_id", "pos", F.col("pos").alias("key"))
     assert graph.consecutive_edges(nodes, "book_id", "key", F.lit(True)).count() == 2099
+
+
+def test_deep_rescans(spark):
+    menu = "".join(f"<p><a href='/{i}'>频道{i}</a></p>" for i in range(9))
+    story = "他走进镇子，看见灯火，听见远处的钟声。雪落在屋顶上，没有人说话。"
+    assert 30 <= len(story) < 50
+    df = spark.createDataFrame([(1, f"<body>{menu}<div>{story}</div></body>"), (2, f"<body>{menu}</body>")], "page_id bigint, html string")
+    got = {r["page_id"]: r for r in content.deep_confidence(content.pick_content(dom.dom(df))).collect()}
+    assert (got[1]["tag"], got[1]["text"]) == ("div", story) and got[1]["confidence"] > 0.35
+    assert got[2]["tag"] == "body" and got[2]["confidence"] == 0.35
