@@ -230,11 +230,6 @@ def graph_reading_order(s: SparkSession, d: str) -> DataFrame:
     return graph.reading_order(k, e)
 
 
-def graph_cycles(s: SparkSession, d: str) -> DataFrame:
-    li = table(s, d, "lineitem").select(F.col("l_partkey").alias("src"), F.pmod(F.col("l_orderkey"), F.lit(2000)).alias("dst"), F.col("l_quantity").alias("confidence"))
-    return graph.on_cycles(li)
-
-
 def catalog_precision_recall(s: SparkSession, d: str) -> DataFrame:
     return evaluate.precision_recall(table(s, d, "chapter_title_matches").where("book_id IS NOT NULL"), table(s, d, "catalog_entries").where("book_id IS NOT NULL"), ["book_id", "title"])
 
@@ -390,6 +385,11 @@ def chapter_traversal(s: SparkSession, d: str) -> DataFrame:
     return walks.traverse(links, p)
 
 
+def graph_cycles(s: SparkSession, d: str) -> DataFrame:
+    p, _, links = _walk_inputs(s, d)
+    return graph.on_cycles(walks.chapter_edges(links, p))
+
+
 def reciprocal_links(s: SparkSession, d: str) -> DataFrame:
     p, _, links = _walk_inputs(s, d)
     return walks.reciprocal(links, p)

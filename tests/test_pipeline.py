@@ -90,3 +90,9 @@ def test_book_stages(spark):
     assert not any(note in r["content"] for r in rows) and {r["status"] for r in rows} == {"CONTENT_OK"}
     w = {r["pos"]: r for r in rows if r["book_id"] == -ids["/w/1"]}
     assert "庚" in w[1]["content"] and "辛" in w[2]["content"] and len(rows) == 9
+
+
+def test_graph_cycles_of_captured_links(spark, tmp_path):
+    p = [(i, f"http://h/{i}", f"<h1>第{i}章</h1><a href='/{n}'>下一章</a>") for i, n in ((1, 2), (2, 3), (3, 2), (4, 5))]
+    spark.createDataFrame(p, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "fetched_pages.parquet"))
+    assert {r["key"] for r in catalogue.graph_cycles(spark, str(tmp_path)).collect()} == {2, 3}
