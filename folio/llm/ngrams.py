@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Hashed bigram and unigram tables: their sizes bound what is collected and broadcast, whatever the corpus.
@@ -17,6 +17,8 @@ PRIOR = 2.0
 #: Taken off every bigram's count.
 DISCOUNT = 1.5
 
+Counts = tuple[np.ndarray, np.ndarray]
+
 
 def points(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -58,40 +60,39 @@ class Model:
         return np.log(self.bi[bi_index(a, b)] + self.p_prior[uni_index(b)]) - self.log_den[uni_index(a)]
 
 
-def train(df: DataFrame, text_col: str, clean) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of bigrams with at least one character beyond ASCII, and of all first characters, over every clean text.
+def train(df: DataFrame, text_col: str, clean, held: Column) -> tuple[Counts, Counts]:
+    """Counts of bigrams with at least one character beyond ASCII, and of all first characters, over every clean text: of those not held out, and of those held out.
 
-    Each task sums dense tables over all its texts; tasks are few (see below), so
-    what is shuffled grows with the cluster's cores and not with the corpus.
+    Each task sums tables over all its texts and emits what is not 0; the engine
+    adds the tasks' sums up, so what is shuffled is a small share of the input
+    and what is collected is bounded by the tables.
     ``clean``: text -> text to count, or None to leave the record out.
     """
-    spark = df.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bi, uni = np.zeros(BIGRAMS, np.int64), np.zeros(UNIGRAMS, np.int64)
+        sums = np.zeros((2, BIGRAMS + UNIGRAMS), np.int64)
         for b in batches:
-            texts = [t for t in (clean(x) for x in b.column(0).to_pylist() if x) if t]
-            if not texts:
-                continue
-            a = classes(points("\n" + "\n".join(texts) + "\n"))
-            keep = (a[:-1] > 127) | (a[1:] > 127)
-            f, s = a[:-1][keep], a[1:][keep]
-            bi += np.bincount(bi_index(f, s), minlength=BIGRAMS)
-            uni += np.bincount(uni_index(f), minlength=UNIGRAMS)
-        n = 4096
-        whole = np.concatenate([bi, uni]).astype(np.int64).reshape(-1, n)
-        some = np.flatnonzero(whole.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([whole[i].tobytes() for i in some], pa.binary())], names=["block", "counts"])
-
-    def add(key: tuple, t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in t.column("counts").to_pylist())
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    tasks = max(4, 2 * spark.sparkContext.defaultParallelism)
-    parts = df.select(F.col(text_col)).coalesce(tasks).mapInArrow(count, "block int, counts binary")
-    out = np.zeros(BIGRAMS + UNIGRAMS, np.int64).reshape(-1, 4096)
-    # at most (BIGRAMS + UNIGRAMS) / 4096 rows
-    for r in parts.groupBy("block").applyInArrow(add, "block int, counts binary").collect():
-        out[r["block"]] = np.frombuffer(bytes(r["counts"]), np.int64)
-    flat = out.reshape(-1)
-    return flat[:BIGRAMS], flat[BIGRAMS:]
+            flags = b.column(1).to_pylist()
+            texts: tuple[list[str], list[str]] = ([], [])
+            for x, flag in zip(b.column(0).to_pylist(), flags, strict=True):
+                if x and (t := clean(x)):
+                    texts[bool(flag)].append(t)
+            for side in (0, 1):
+                if not texts[side]:
+                    continue
+                a = classes(points("\n" + "\n".join(texts[side]) + "\n"))
+                keep = (a[:-1] > 127) | (a[1:] > 127)
+                f, s = a[:-1][keep], a[1:][keep]
+                sums[side, :BIGRAMS] += np.bincount(bi_index(f, s), minlength=BIGRAMS)
+                sums[side, BIGRAMS:] += np.bincount(uni_index(f), minlength=UNIGRAMS)
+        for side in (0, 1):
+            some = np.flatnonzero(sums[side])
+            yield pa.RecordBatch.from_arrays([pa.array(some + side * (BIGRAMS + UNIGRAMS), pa.int32()), pa.array(sums[side, some], pa.int64())], names=["i", "n"])
+
+    parts = df.select(F.col(text_col), F.coalesce(held, F.lit(False))).mapInArrow(count, "i int, n bigint")
+    # at most 2 * (BIGRAMS + UNIGRAMS) rows
+    t = parts.groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(2 * (BIGRAMS + UNIGRAMS), np.int64)
+    out[t.column("i").to_numpy()] = t.column("n").to_numpy()
+    two = out.reshape(2, -1)
+    return (two[0, :BIGRAMS], two[0, BIGRAMS:]), (two[1, :BIGRAMS], two[1, BIGRAMS:])

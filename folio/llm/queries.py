@@ -36,6 +36,7 @@ def queries() -> dict[str, Query]:
         "p1_found": lambda s, d: encoding_repair.found(t(s, d, "fetched_pages")),
         "p1_restored": lambda s, d: encoding_repair.restore(t(s, d, "fetched_pages"), t(s, d, "raw_captures")),
         "p1_texts": lambda s, d: encoding_repair.repair(t(s, d, "content_extractions"), "text").drop("chains").distinct(),
+        "p1_validation": lambda s, d: encoding_repair.validation(t(s, d, "fetched_pages")),
         "p2_found": lambda s, d: boilerplate.found(t(s, d, "content_extractions"), t(s, d, "fetched_pages")),
         "p2_main_text": lambda s, d: boilerplate.main_text(t(s, d, "content_extractions"), t(s, d, "fetched_pages")),
         "p3_found": lambda s, d: repeated_lines.found(t(s, d, "content_extractions"), t(s, d, "fetched_pages")),
