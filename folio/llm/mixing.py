@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.util import materialize
+
+#: Beyond so many target sources their rates are joined by a shuffle with salt, not a broadcast.
+BROADCAST_SOURCES = 100_000
+SALTS = 64
 SEED = "mix-1"
 
 
@@ -43,26 +48,39 @@ def unit_hash(id_col: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def uses(docs: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
-    """(doc_id, source, tokens, n_uses): floor(rate) uses and one more with the fraction's probability.
+def _with_rates(docs: DataFrame, r: DataFrame, broadcast_sources: int) -> DataFrame:
+    """Documents with their source's rate, null without one. A source may hold a third of all documents."""
+    if r.count() <= broadcast_sources:
+        return docs.join(F.broadcast(r), docs["source"] == r["r_source"], "left")
+    salted = r.withColumn("r_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    d = docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return d.join(salted, (d["source"] == salted["r_source"]) & (d["salt"] == salted["r_salt"]), "left")
 
-    Documents of sources without a target (or with a null source) get 0 uses.
-    n_uses never exceeds max_repeats.
-    """
-    r = rates(docs, targets).select(F.col("source").alias("r_source"), "rate")
+
+def _used(docs: DataFrame, r: DataFrame, seed: str, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
     d = docs.select("doc_id", "source", tokens(F.col("text")).alias("tokens"))
-    # one row per target source: the planner broadcasts it or, if there are too many sources, shuffles
-    j = d.join(r, d["source"] == r["r_source"], "left")
+    j = _with_rates(d, r.select(F.col("source").alias("r_source"), "rate"), broadcast_sources)
     rate = F.coalesce("rate", F.lit(0.0))
     extra = (unit_hash(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("int")
     return j.select("doc_id", "source", "tokens", (F.floor(rate) + F.coalesce(extra, F.lit(0))).cast("int").alias("n_uses"))
 
 
+def uses(docs: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
+    """(doc_id, source, tokens, n_uses): floor(rate) uses and one more with the fraction's probability.
+
+    Documents of sources without a target (or with a null source) get 0 uses.
+    n_uses never exceeds max_repeats. The texts are read twice: for the tokens of
+    the sources, which are written, and for the draw.
+    """
+    return _used(docs, materialize(rates(docs, targets)), seed)
+
+
 def report(docs: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
     """(source, target_share, actual_share, used_tokens, short): shares of the mixture that was drawn."""
-    u = uses(docs, targets, seed).groupBy("source").agg(F.sum(F.col("tokens") * F.col("n_uses")).cast("bigint").alias("used_tokens"))
+    known = materialize(rates(docs, targets))
+    u = materialize(_used(docs, known, seed).groupBy("source").agg(F.sum(F.col("tokens") * F.col("n_uses")).cast("bigint").alias("used_tokens")))
     all_used = u.agg(F.sum("used_tokens").cast("bigint").alias("all_used"))
-    r = rates(docs, targets).join(u, "source", "left").crossJoin(F.broadcast(all_used))  # one row
+    r = known.join(u, "source", "left").crossJoin(F.broadcast(all_used))  # one row
     used = F.coalesce("used_tokens", F.lit(0)).cast("bigint")
     return r.select("source", "target_share", (used / F.nullif(F.col("all_used"), F.lit(0))).alias("actual_share"), used.alias("used_tokens"), "short")
 

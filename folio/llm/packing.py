@@ -15,12 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.splitting import as_bytes, running_ends
 from folio.util import materialize
 
 #: Open windows of a task: about as many as an Arrow batch fills. A window takes a few hundred bytes of memory.
 OPEN_WINDOWS = 4096
 #: Windows that one task of a merge round takes in.
 MERGE_ROWS = 200_000
+#: Rounds that window ids have room for (bits 58 to 62); each but the last merges something.
+MOST_ROUNDS = 31
 
 
 class Windows:
@@ -57,11 +60,10 @@ def _pieces(df: DataFrame, capacity: int, id_col: str, text_col: str) -> DataFra
     small = t.where(n <= capacity).select(
         "doc_id", F.lit(1).alias("piece_no"), F.lit(0).alias("start_token"), n.alias("n_tokens")
     )
-    latin = F.decode(F.encode("__t", "UTF-8"), "ISO-8859-1")  # one character a token
+    latin = as_bytes(F.col("__t"))  # one character a token
     parts = F.regexp_extract_all(latin, F.lit(rf"(?s).{{1,{capacity}}}(?![\x80-\xBF])"), F.lit(0))
-    lengths = F.transform(parts, lambda x: F.length(x))
-    ends = F.aggregate(lengths, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
-    large = t.where(n > capacity).select("doc_id", F.posexplode(F.arrays_zip(ends.alias("e"), lengths.alias("l"))).alias("i", "p")).select(
+    t_large = t.where(n > capacity).select("doc_id", F.transform(parts, lambda x: F.length(x)).alias("l"))
+    large = t_large.select("doc_id", F.posexplode_outer(F.arrays_zip(running_ends(F.col("l")).alias("e"), "l")).alias("i", "p")).select(
         "doc_id", (F.col("i") + 1).alias("piece_no"), (F.col("p.e") - F.col("p.l")).alias("start_token"), F.col("p.l").alias("n_tokens")
     )
     return small.unionByName(large)
@@ -104,32 +106,39 @@ def pack(df: DataFrame, capacity: int, id_col: str = "doc_id", text_col: str = "
         raise ValueError("a container must hold at least one character: 4 tokens")
     cols = ["doc_id", "piece_no", "start_token", "n_tokens"]
     placed = materialize(_round(_pieces(df, capacity, id_col, text_col), capacity, windows, cols, "n_tokens", 0))
-    fills = materialize(placed.groupBy("window").agg(F.sum("n_tokens").cast("int").alias("fill")))
-    full = capacity - capacity // 64  # a window as full as this is left as it is
-    left = fills.where(F.col("fill") < full)
-    n, step = left.count(), 1
-    if n < 2:
-        return placed.withColumnRenamed("window", "container")
-    moves = None  # window -> container, over all rounds
-    current = left.select("window", "fill")
+    current = materialize(placed.groupBy("window").agg(F.sum("n_tokens").cast("int").alias("fill")))
+    moves, step = None, 1  # window -> container, over all rounds
     while True:
-        tasks = max(1, -(-n // MERGE_ROWS))
-        # range partitioning by fill would give one task all the full ones; a hash of the id mixes them
-        spread = current.repartition(tasks, F.xxhash64("window")) if tasks > 1 else current.coalesce(1)
-        merged = materialize(_merge(spread, capacity, max(windows, min(n, MERGE_ROWS)), step))
-        moves = merged.select("window", F.col("target").alias("container")) if moves is None else moves.join(
-            merged.select(F.col("window").alias("container"), "target"), "container", "left"
-        ).select("window", F.coalesce("target", "container").alias("container"))
-        if tasks == 1 or step >= 8:
+        least = current.agg(F.min("fill")).first()[0]
+        if least is None:
+            break
+        # a window that has no room for the least filled one can't be merged with any
+        open_ = current.where(F.col("fill") + least <= capacity)
+        n = open_.count()
+        if n < 2:
             break
-        current = materialize(merged.groupBy(F.col("target").alias("window")).agg(F.sum("fill").cast("int").alias("fill"))).where(F.col("fill") < full)
-        m = current.count()
-        if m < 2 or m > 0.9 * n:  # nothing more to win
+        tasks = -(-n // MERGE_ROWS)
+        # range partitioning by fill would give one task all the full ones; a hash of the id and round mixes them
+        spread = open_.repartition(tasks, F.xxhash64("window", F.lit(step))) if tasks > 1 else open_.coalesce(1)
+        merged = materialize(_merge(spread, capacity, max(windows, min(n, MERGE_ROWS)), step))
+        moves = merged.select("window", F.col("target").alias("container")) if moves is None else _chained(moves, merged)
+        current = materialize(merged.groupBy(F.col("target").alias("window")).agg(F.sum("fill").cast("int").alias("fill")))
+        if tasks == 1 or current.count() == n:  # all windows met in one task, or none found another
             break
-        n, step = m, step + 1
+        step += 1
+        if step > MOST_ROUNDS:
+            raise RuntimeError("windows still merge after as many rounds as ids have room for")
+    if moves is None:
+        return placed.withColumnRenamed("window", "container")
     return placed.join(moves, "window", "left").select(*cols, F.coalesce("container", "window").alias("container"))
 
 
+def _chained(moves: DataFrame, merged: DataFrame) -> DataFrame:
+    """Moves of the rounds so far, led on by those of one more round."""
+    nxt = merged.select(F.col("window").alias("container"), "target")
+    return moves.join(nxt, "container", "left").select("window", F.coalesce("target", "container").alias("container"))
+
+
 def _merge(items: DataFrame, capacity: int, windows: int, step: int) -> DataFrame:
     """(window, fill, target): windows placed as items into windows of the next round, larger ones first."""
 
@@ -150,7 +159,21 @@ def _merge(items: DataFrame, capacity: int, windows: int, step: int) -> DataFram
     return items.select("window", "fill").mapInArrow(run, "window bigint, fill int, target bigint")
 
 
-def oversized(df: DataFrame, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id): the texts the packing splits."""
-    p = _pieces(df, capacity, id_col, text_col)
-    return p.where("piece_no = 2").select("doc_id").distinct()
+def oversized(packed: DataFrame) -> DataFrame:
+    """(doc_id): of packed texts those that were split over several containers."""
+    return packed.where("piece_no = 2").select("doc_id").distinct()
+
+
+def fill(packed: DataFrame, capacity: int) -> DataFrame:
+    """One row on packed texts: (tokens, unsplit, split, containers_over, bound_kept).
+
+    containers_over: containers with more than the capacity; bound_kept: there are
+    at most twice as many containers as the tokens fill, and one, as where no two
+    containers fit into one.
+    """
+    c = packed.groupBy("container").agg(F.sum("n_tokens").alias("t"), F.count_if(F.col("piece_no") == 1).alias("first"), F.count_if(F.col("piece_no") == 2).alias("second"))
+    return c.agg(
+        F.coalesce(F.sum("t"), F.lit(0)).cast("bigint").alias("tokens"),
+        F.coalesce(F.sum("first") - F.sum("second"), F.lit(0)).cast("bigint").alias("unsplit"), F.coalesce(F.sum("second"), F.lit(0)).cast("bigint").alias("split"),
+        F.count_if(F.col("t") > capacity).alias("containers_over"), (F.count("*") <= 2 * F.ceil(F.coalesce(F.sum("t"), F.lit(0)) / capacity) + 1).alias("bound_kept"),
+    )

@@ -48,8 +48,9 @@ def queries() -> dict[str, Query]:
         "p5_kept": lambda s, d: residue.kept(t(s, d, "fetched_pages")),
         "p6_found": lambda s, d: lookalikes.pairs(t(s, d, "catalog_entries"), t(s, d, "chapter_title_matches")),
         "p6_forms": lambda s, d: lookalikes.forms(t(s, d, "catalog_entries"), t(s, d, "chapter_title_matches")),
-        "p7_found": lambda s, d: packing.oversized(t(s, d, "documents"), _lim(s, d)["container_capacity"]),
+        "p7_found": lambda s, d: packing.oversized(p7_containers(s, d)),
         "p7_containers": p7_containers,
+        "p7_fill": lambda s, d: packing.fill(p7_containers(s, d), _lim(s, d)["container_capacity"]),
         "p8_found": lambda s, d: mixing.rates(t(s, d, "documents"), t(s, d, "mix_targets")).where("short").select("source"),
         "p8_uses": lambda s, d: mixing.uses(t(s, d, "documents"), t(s, d, "mix_targets")),
         "p8_shares": lambda s, d: mixing.report(t(s, d, "documents"), t(s, d, "mix_targets")).select(
@@ -109,6 +110,9 @@ SELECT c.page_id, k.kept AS text, coalesce(n.n, 0) AS n_removed FROM c LEFT JOIN
         "p4_found": _COPIES + "SELECT DISTINCT keep_id, entry_id AS copy_id FROM g WHERE entry_id <> keep_id",
         "p4_records": _COPIES + "SELECT entry_id, copies FROM g WHERE entry_id = keep_id",
         "p7_found": "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) > (SELECT tokens FROM size_limits WHERE limit_name = 'container_capacity')",
+        "p7_fill": """WITH c AS (SELECT tokens AS cap FROM size_limits WHERE limit_name = 'container_capacity')
+SELECT CAST(sum(coalesce(strlen(text), 0)) AS BIGINT) AS tokens, count(*) FILTER (coalesce(strlen(text), 0) <= cap) AS unsplit, count(*) FILTER (strlen(text) > cap) AS split,
+  CAST(0 AS BIGINT) AS containers_over, true AS bound_kept FROM documents, c""",
         "p8_found": _RATES + "SELECT source FROM r WHERE max_repeats * tokens < wanted",
         "p8_uses": _RATES + "SELECT doc_id, source, tokens, CAST(n_uses AS INT) AS n_uses FROM u",
         "p8_shares": _RATES + """SELECT r.source, target_share, round(CAST(coalesce(s.used_tokens, 0) AS DOUBLE) / a.all_used, 9) AS actual_share,

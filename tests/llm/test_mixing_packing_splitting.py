@@ -1,6 +1,9 @@
+import itertools
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from folio.llm import mixing, packing, splitting
 
@@ -30,6 +33,14 @@ def test_uses_follow_rates(spark):
     assert mixing.mixture(d, t).count() == sum(r["n_uses"] for r in u.values())
 
 
+def test_many_sources_are_joined_with_salt(spark):
+    d = docs(spark, [(i, "x" * (i % 50), f"s{i % 3}" if i % 4 else None) for i in range(400)])
+    t = spark.createDataFrame([("s0", 0.5, 3), ("s1", 0.5, 2)], "source string, target_share double, max_repeats int")
+    r = mixing.rates(d, t)
+    same = [sorted(tuple(x) for x in mixing._used(d, r, mixing.SEED, n).collect()) for n in (0, 10)]
+    assert same[0] == same[1] and len(same[0]) == 400
+
+
 def test_mixing_empty(spark):
     t = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
     e = docs(spark, [])
@@ -76,7 +87,10 @@ def test_pack_few_windows_and_rounds(spark, monkeypatch):
 
 def test_pack_empty_and_bad(spark):
     assert packing.pack(docs(spark, []), 100).count() == 0
-    assert packing.oversized(docs(spark, [(1, "a" * 101, "s"), (2, "a" * 100, "s"), (1, "a" * 101, "s")]), 100).collect()[0]["doc_id"] == 1
+    p = packing.pack(docs(spark, [(1, "a" * 101, "s"), (2, "a" * 100, "s"), (1, "a" * 101, "s")]), 100)
+    assert [r["doc_id"] for r in packing.oversized(p).collect()] == [1]
+    assert tuple(packing.fill(p, 100).first()) == (302, 1, 2, 0, True)
+    assert tuple(packing.fill(p.limit(0), 100).first()) == (0, 0, 0, 0, True)
     with pytest.raises(ValueError):
         packing.pack(docs(spark, []), 3)
 
@@ -131,3 +145,20 @@ def test_split_leaves_short_null_and_empty(spark):
 
 def test_split_very_long(spark):
     assert len(pieces_of(spark, "word and more. " * 60_000, 4096, 256)) > 200
+
+
+def test_work_grows_with_the_text(spark):
+    """Millions of tokens in one text: minutes if pieces were cut from the text's start each time."""
+    t = time.time()
+    d = spark.range(1).select(F.lit(1).alias("doc_id"), F.repeat(F.concat(F.lit("word and more. "), F.substring(F.col("id").cast("string"), 1, 0)), 1_000_000).alias("text"))
+    r = splitting.split_long(d, 4096, 256).agg(F.sum(F.col("n_tokens") - F.col("overlap_tokens")), F.max("n_tokens"), F.sum(F.octet_length("piece")), F.sum("n_tokens")).first()
+    assert r[0] == 15_000_000 and r[1] <= 4096 and r[2] == r[3]
+    assert packing._pieces(d, 8192, "doc_id", "text").agg(F.sum("n_tokens")).first()[0] == 15_000_000
+    assert time.time() - t < 60
+
+
+def test_running_ends(spark):
+    for n in (0, 1, 255, 256, 257, 1000):
+        df = spark.createDataFrame([([i % 7 for i in range(n)],)], "l array<int>")
+        got = df.select(splitting.running_ends(F.col("l"))).first()[0]
+        assert got == list(itertools.accumulate(i % 7 for i in range(n)))
