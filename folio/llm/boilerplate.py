@@ -11,31 +11,32 @@ from __future__ import annotations
 import re
 from collections import Counter, deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm import linear, quickfix
 from folio.llm.pagetext import blocks
 from folio.llm.patterns import FILLER, MESSAGE, mask
+from folio.util import materialize
 
 #: Bound on the pages, drawn by hash of their id, the classifier is fitted on ...
 SAMPLE_PAGES = 3000
-#: ... and on the labelled lines of each class.
-SAMPLE_LINES = 6000
+#: ... on the labelled lines of each class, and on their characters: what reaches the driver is bounded by both.
+SAMPLE_LINES, LINE_LENGTH = 9000, 2000
 #: Capacities of smoothness edges: consecutive lines of one holder, of different ones, next lines of a holder that others part.
 SAME_HOLDER, OTHER_HOLDER, NEXT_IN_HOLDER = 0.35, 0.1, 0.15
-#: Log odds that a telling tag (nav, aside, footer) adds, and that a message in place of the content takes off.
+#: Log odds that a telling tag (nav, aside, footer) adds.
 TOLD = 3.0
-STANDS_IN = 8.0
+#: A page with less text than this, links and headings left out, may hold a message in place of the content.
+LITTLE = 250
+#: Weight of a line like a message, which is rare, when the classifier is fitted.
+ODD_WEIGHT = 4.0
 
 # Phrases of a byline, which belongs to the main body. A weak label only.
 BYLINE = re.compile(r"posted by|written by|publié par|publicad[oa] p|опубликован|整理发布|发布者|投稿者", re.I)
-# Ways out that a message offers.
-WAY_OUT = re.compile(r"^return to where you were|^返回上一级", re.I)
 SEPARATORS = re.compile(r"\s[|/·>┃]\s|[|｜┃←→、]")
 _JUNK = re.compile(r"[\W_]+")
 DENSE = 22
@@ -43,10 +44,9 @@ _HIGH = re.compile(r"[^\x00-\x7f]")
 _CJK = re.compile("[\u3040-\u9fff]")
 
 
-@lru_cache(50_000)
-def _stands_in(s: str) -> bool:
+def stands_in(s: str) -> bool:
     """Whether a line looks like a message in place of the content, which is no boilerplate. A weak label only."""
-    return bool("\x02" in s or FILLER.search(s) or MESSAGE.search(s) or WAY_OUT.search(s))
+    return bool("\x02" in s or FILLER.search(s) or MESSAGE.search(s))
 
 
 def _key(s: str) -> str:
@@ -112,61 +112,83 @@ def page_lines(html: str | None, text: str, host: str | None) -> list[Line]:
         x.dense = d
         out.append(x)
         after_heading = x.heading
+    little = sum(len(x.text) for x in out if x.link < 0.5 and x.told != 1 and not x.heading) < LITTLE
     for i, x in enumerate(reversed(out)):
         x.dense[19] = i == 0
         x.dense[20] = i < 3
+        x.dense[21] = little
     return out
 
 
 # -- classifier -----------------------------------------------------------------------------------
 
 
-def weak_labels(pages: list[tuple[str | None, list[Line]]]) -> list[tuple[Line, int]]:
-    """Boilerplate (1): told so by a tag, link text, or repeated within its host; content (0): in the main holder and unlike others."""
-    seen: dict[str | None, Counter] = {}
-    n_pages: Counter = Counter()
-    everywhere: Counter = Counter()
-    for host, lines in pages:
-        n_pages[host] += 1
-        distinct = {x.text for x in lines}
-        seen.setdefault(host, Counter()).update(distinct)
-        everywhere.update(distinct)
-    out = []
-    for host, lines in pages:
-        for x in lines:
-            k = seen[host][x.text]
-            often = k >= 4 and 12 * k >= n_pages[host] and len(x.text) > 4
-            if x.heading or BYLINE.search(x.text) or (x.told != 1 and x.link < 0.5 and _stands_in(x.text)):
-                out.append((x, 0))
-            elif x.told == 1 or x.link >= 0.9 or often:
-                out.append((x, 1))
-            elif (x.told == 2 or x.share >= 0.4) and x.link < 0.3 and k <= 2:
-                out.append((x, 0))
-    return out
+LINE = "page_id bigint, host string, no int, text string, told int, link double, heading boolean, share double, byline boolean, stands boolean, dense array<double>"
+
+
+def sampled_lines(content: DataFrame, pages: DataFrame) -> DataFrame:
+    """The lines of at most about SAMPLE_PAGES pages as rows of LINE; pages are read and parsed by the tasks."""
+    every = max(1, -(-pages.count() // SAMPLE_PAGES))
+    pick = F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0
+    c = content.where(pick).where("page_id IS NOT NULL").groupBy("page_id").agg(F.max("text").alias("text"))
+    p = pages.where(pick).where("page_id IS NOT NULL").groupBy("page_id").agg(F.max_by(F.struct("host", "html"), F.struct(F.length("html"), "host")).alias("p"))
+    j = c.where("text IS NOT NULL").join(p, "page_id", "left").select("page_id", "p.host", "p.html", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols: list[list] = [[] for _ in range(11)]
+            for pid, host, html, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                for x in page_lines(html, text, host):
+                    row = (pid, host, x.no, x.text, x.told, x.link, x.heading, x.share, bool(BYLINE.search(x.text)), stands_in(x.text), [float(v) for v in x.dense])
+                    for col, v in zip(cols, row, strict=True):
+                        col.append(v)
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.bool_(), pa.float64(), pa.bool_(), pa.bool_(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in LINE.split(", ")])
 
+    # a set number of tasks: the sample is small in rows but parsing it is not
+    return j.repartition(16, "page_id").mapInArrow(run, LINE)
 
-def fit(pages: list[tuple[str | None, list[Line]]]) -> linear.Logistic:
-    labelled = weak_labels(pages)
-    pos = [x for x, y in labelled if y][:: max(1, sum(y for _, y in labelled) // SAMPLE_LINES)][:SAMPLE_LINES]
-    heads = [x for x, y in labelled if not y and (x.heading or BYLINE.search(x.text))]
-    rest = [x for x, y in labelled if not y and not (x.heading or BYLINE.search(x.text))]
-    odd = [x for x in heads if _stands_in(x.text)][:SAMPLE_LINES // 4]
-    heads = odd + heads[:: max(1, len(heads) // (SAMPLE_LINES // 4))][: SAMPLE_LINES // 4]
-    rest = rest[:: max(1, len(rest) // SAMPLE_LINES)][:SAMPLE_LINES]
-    # messages in place of the content are rare among the headings: all of them
-    rows = [(x, 1.0) for x in pos] + [(x, 0.0) for x in heads + rest]
-    if not pos or len(rows) == len(pos):
+
+def weak_labels(lines: DataFrame) -> DataFrame:
+    """Labelled lines (page_id, no, text, dense, kind).
+
+    Boilerplate ("pos"): told so by a tag, link text, or repeated within its
+    host. Content: headings and bylines ("head"), lines like messages in place of
+    the content ("odd"), and lines in the main holder that are unlike others ("rest").
+    """
+    n = lines.groupBy("host").agg(F.countDistinct("page_id").alias("n"))
+    k = lines.select("host", "text", "page_id").distinct().groupBy("host", "text").agg(F.count("*").alias("k"))
+    j = lines.join(k.select(F.col("host").alias("h1"), F.col("text").alias("t1"), "k"), F.col("host").eqNullSafe(F.col("h1")) & (F.col("text") == F.col("t1")))
+    j = j.join(F.broadcast(n.select(F.col("host").alias("h2"), "n")), F.col("host").eqNullSafe(F.col("h2")))  # hosts of the sample: at most SAMPLE_PAGES
+    often = (F.col("k") >= 4) & (12 * F.col("k") >= F.col("n")) & (F.length("text") > 4)
+    kind = (
+        F.when(F.col("stands") & (F.col("told") != 1) & (F.col("link") < 0.5), "odd").when(F.col("heading") | F.col("byline"), "head")
+        .when((F.col("told") == 1) | (F.col("link") >= 0.9) | often, "pos").when(((F.col("told") == 2) | (F.col("share") >= 0.4)) & (F.col("link") < 0.3) & (F.col("k") <= 2), "rest")
+    )
+    return j.select("page_id", "no", "text", "dense", kind.alias("kind")).where("kind IS NOT NULL")
+
+
+def fit(lines: DataFrame) -> linear.Logistic:
+    """The classifier of labelled lines; of each kind a bounded hash sample reaches the driver."""
+    bound = F.when(F.col("kind").isin("odd", "head"), SAMPLE_LINES // 4).otherwise(SAMPLE_LINES)
+    draw = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("page_id", "no"), "page_id", "no"))
+    rows = lines.where(F.length("text") <= LINE_LENGTH).withColumn("r", draw).where(F.col("r") <= SAMPLE_LINES).where(F.col("r") <= bound).select("kind", "text", "dense").toArrow()
+    kinds, texts = rows.column("kind").to_pylist(), rows.column("text").to_pylist()
+    if len(set(kinds)) < 2 or "pos" not in kinds:
         return linear.Logistic(np.zeros(linear.DIM), np.zeros(DENSE), -1.0)
-    dense = np.array([x.dense for x, _ in rows])
+    order = sorted(range(len(kinds)), key=lambda i: (kinds[i], texts[i]))
+    d = rows.column("dense").to_pylist()
+    kinds, texts, dense = [kinds[i] for i in order], [texts[i] for i in order], np.array([d[i] for i in order])
+    y = np.array([k == "pos" for k in kinds], float)
     # every other line loses what its block tells, so that the text must do without
-    hide = np.arange(len(rows)) % 2 == 1
+    hide = np.arange(len(kinds)) % 2 == 1
     dense[hide, 0] = 1
     dense[np.ix_(hide, [1, 2, 3, 4, 5])] = 0
-    texts, y = [x.text for x, _ in rows], np.array([y for _, y in rows])
     # lines whose letters beyond ASCII were lost count as what they were: a copy of some shows how they look
     lost = [i for i, t in enumerate(texts) if i % 3 == 0 and len(t) < 200 and not t.isascii() and not _CJK.search(t)]
+    weight = np.array([ODD_WEIGHT if k == "odd" else 1.0 for k in kinds])
     texts += [_HIGH.sub("�", texts[i]) for i in lost]
-    return linear.fit(texts, np.concatenate([dense, dense[lost]]), np.concatenate([y, y[lost]]))
+    return linear.fit(texts, np.concatenate([dense, dense[lost]]), np.concatenate([y, y[lost]]), np.concatenate([weight, weight[lost]]))
 
 
 # -- minimum cut ------------------------------------------------------------------------------------
@@ -223,37 +245,76 @@ def min_cut(z: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
 
 
 def _max_flow(free: list[int], z: list[float], near: list, side: list) -> list[bool]:
-    """Shortest augmenting paths; the source side is what the residual graph reaches from the source."""
-    s, t = -1, -2
-    cap: dict[int, dict[int, float]] = {i: {} for i in (*free, s, t)}
-    for i in free:
+    """Blocking flows over levels; the source side is what the residual graph reaches from the source."""
+    number = {i: k for k, i in enumerate(free)}
+    s, t = len(free), len(free) + 1
+    head: list[list[int]] = [[] for _ in range(t + 1)]
+    to: list[int] = []
+    cap: list[float] = []
+
+    def arc(a: int, b: int, forth: float, back: float) -> None:
+        head[a].append(len(to))
+        to.append(b)
+        cap.append(forth)
+        head[b].append(len(to))
+        to.append(a)
+        cap.append(back)
+
+    for k, i in enumerate(free):
         if z[i] > 0:
-            cap[s][i] = z[i]
-            cap[i].setdefault(s, 0.0)
-        else:
-            cap[i][t] = -z[i]
-            cap[t].setdefault(i, 0.0)
+            arc(s, k, z[i], 0.0)
+        elif z[i] < 0:
+            arc(k, t, -z[i], 0.0)
         for j, w in near[i]:
-            if side[j] is None:
-                cap[i][j] = cap[i].get(j, 0.0) + w
+            if side[j] is None and j > i:
+                arc(k, number[j], w, w)
+    eps = 1e-9
     while True:
-        back, q = {s: s}, deque([s])
-        while q and t not in back:
-            u = q.popleft()
-            for v, c in cap[u].items():
-                if c > 1e-9 and v not in back:
-                    back[v] = u
-                    q.append(v)
-        if t not in back:
-            return [i in back for i in free]
-        path, v = [], t
-        while v != s:
-            path.append((back[v], v))
-            v = back[v]
-        f = min(cap[u][v] for u, v in path)
-        for u, v in path:
-            cap[u][v] -= f
-            cap[v][u] = cap[v].get(u, 0.0) + f
+        level = [-1] * (t + 1)
+        level[t], q = 0, deque([t])
+        while q:  # distances to the sink over arcs with room
+            v = q.popleft()
+            for e in head[v]:
+                if level[to[e]] < 0 and cap[e ^ 1] > eps:
+                    level[to[e]] = level[v] + 1
+                    q.append(to[e])
+        if level[s] < 0:
+            break
+        nxt = [0] * (t + 1)
+        path: list[int] = []
+        v = s
+        while True:
+            if v == t:
+                f = min(cap[e] for e in path)
+                for e in path:
+                    cap[e] -= f
+                    cap[e ^ 1] += f
+                at = next(k for k, e in enumerate(path) if cap[e] <= eps)
+                v = to[path[at] ^ 1]
+                del path[at:]
+                continue
+            arcs = head[v]
+            while nxt[v] < len(arcs):
+                e = arcs[nxt[v]]
+                if cap[e] > eps and level[to[e]] == level[v] - 1:
+                    break
+                nxt[v] += 1
+            if nxt[v] < len(arcs):
+                path.append(arcs[nxt[v]])
+                v = to[path[-1]]
+            elif path:
+                v = to[path.pop() ^ 1]
+                nxt[v] += 1
+            else:
+                break
+    reached, todo = {s}, [s]
+    while todo:
+        v = todo.pop()
+        for e in head[v]:
+            if cap[e] > eps and to[e] not in reached:
+                reached.add(to[e])
+                todo.append(to[e])
+    return [k in reached for k in range(len(free))]
 
 
 # -- the operator -----------------------------------------------------------------------------------
@@ -264,8 +325,7 @@ def label(model: linear.Logistic, pages: list[list[Line]]) -> list[list[bool]]:
     if not flat:
         return [[] for _ in pages]
     z = model.logits([x.text for x in flat], np.array([x.dense for x in flat], dtype=float))
-    z = np.clip(z, -8, 8) + TOLD * np.array([x.told == 1 for x in flat])
-    z -= STANDS_IN * np.array([v > -1 and x.told != 1 and x.link < 0.5 and _stands_in(x.text) for x, v in zip(flat, z.tolist(), strict=True)])
+    z = z + TOLD * np.array([x.told == 1 for x in flat])
     out, at = [], 0
     for p in pages:
         out.append(min_cut(z[at: at + len(p)].tolist(), edges(p)))
@@ -280,12 +340,7 @@ def _joined(content: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def train(content: DataFrame, pages: DataFrame) -> linear.Logistic:
-    n = pages.count()
-    every = max(1, -(-n // SAMPLE_PAGES))
-    pick = F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0
-    rows = _joined(content.where(pick), pages.where(pick)).dropDuplicates(["page_id"]).limit(2 * SAMPLE_PAGES).collect()
-    rows.sort(key=lambda r: r["page_id"])
-    return fit([(r["host"], page_lines(r["html"], r["text"], r["host"])) for r in rows])
+    return fit(weak_labels(materialize(sampled_lines(content, pages))))
 
 
 def _labelled(content: DataFrame, pages: DataFrame, schema: str, make) -> DataFrame:  # noqa: ANN001

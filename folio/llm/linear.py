@@ -60,23 +60,29 @@ class Logistic:
         return s + dense @ self.d + self.b
 
 
-def fit(lines: list[str], dense: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-3, steps: int = 60, rate: float = 0.2) -> Logistic:
+def fit(lines: list[str], dense: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-3, steps: int = 80, rate: float = 0.15) -> Logistic:
     """Full-batch Adam on the L2-regularized log loss; deterministic."""
     f, r = ngrams(lines)
     n = len(lines)
     scale = 1 / np.sqrt(np.maximum(np.bincount(r, minlength=n), 1))
-    v = scale[r].astype(np.float32)
+    # only features that occur have weights to fit: the others stay 0
+    used, f = np.unique(f, return_inverse=True)
+    order = np.argsort(r, kind="stable")
+    f, r = f[order], r[order]
+    v = scale[r]
     c = np.ones(n) if weight is None else weight
     c = c / c.sum()
-    theta = np.zeros(DIM + dense.shape[1] + 1)
+    u, k = len(used), dense.shape[1]
+    theta = np.zeros(u + k + 1)
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    k = dense.shape[1]
     for t in range(1, steps + 1):
-        z = np.bincount(r, weights=theta[f] * v, minlength=n) + dense @ theta[DIM:DIM + k] + theta[-1]
+        z = np.bincount(r, weights=theta[f] * v, minlength=n) + dense @ theta[u:u + k] + theta[-1]
         e = c * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        g = np.concatenate([np.bincount(f, weights=(e[r] * v), minlength=DIM), dense.T @ e, [e.sum()]])
+        g = np.concatenate([np.bincount(f, weights=e[r] * v, minlength=u), dense.T @ e, [e.sum()]])
         g[:-1] += l2 / n * theta[:-1]
         m1 = 0.9 * m1 + 0.1 * g
         m2 = 0.99 * m2 + 0.01 * g * g
         theta -= rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-9)
-    return Logistic(theta[:DIM], theta[DIM:DIM + k], theta[-1])
+    w = np.zeros(DIM)
+    w[used] = theta[:u]
+    return Logistic(w, theta[u:u + k], theta[-1])

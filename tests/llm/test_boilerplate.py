@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 from folio.llm import boilerplate as bp
 from folio.llm import repeated_lines as rl
@@ -83,6 +84,26 @@ def test_min_cut_long_chain():
     assert len(bp.min_cut(z, [(i, i + 1, 0.3) for i in range(4999)])) == 5000
 
 
+def test_min_cut_of_many_undecided_lines():
+    rng = random.Random(4)
+    n = 3000
+    z = [rng.uniform(-0.4, 0.4) for _ in range(n)]
+    edges = [(i, i + 1, 0.35) for i in range(n - 1)] + [(i, i + rng.randint(2, 9), 0.15) for i in range(n - 9)]
+    t = time.time()
+    side = bp._max_flow(list(range(n)), z, near(n, edges), [None] * n)
+    assert time.time() - t < 1
+    flips = [cut_value(z, edges, [v if i != k else not v for i, v in enumerate(side)]) for k in range(0, n, 100)]
+    assert cut_value(z, edges, side) <= min(flips) + 1e-6
+
+
+def near(n, edges):
+    out = [[] for _ in range(n)]
+    for a, b, w in edges:
+        out[a].append((b, w))
+        out[b].append((a, w))
+    return out
+
+
 # -- repeated lines --------------------------------------------------------------------------------
 
 
