@@ -1,9 +1,9 @@
 """Records that differ only in formatting (problem 4).
 
-Progressive partition refinement: a class of records is first told apart by
-cheap keys that no formatting change can alter (number of letters and figures
-of title and url, and a hash of their letter histogram); only inside classes
-with several members are the costlier canonical keys built and compared.
+Progressive partition refinement in three steps, each inside the classes of the
+one before that have several members: how often each figure stands in the title
+and url, counted without patterns; then the lengths and a hash of the letter
+histograms of what formatting can't change; then the canonical keys themselves.
 """
 
 from __future__ import annotations
@@ -47,6 +47,26 @@ def url_key(url: Column) -> Column:
     return F.concat_ws("\u001e", fold(path), _sorted_fields(query, "[&;]"), fold(fragment))
 
 
+def figures_key(title: Column, url: Column) -> Column:
+    """How often each figure stands in title and url: the same for any formatting, order of fields and letter case, and cheap."""
+    def counts(c: Column) -> list[Column]:
+        return [F.octet_length(c) - F.octet_length(F.replace(c, F.lit(d), F.lit(""))) for d in "0123456789"]
+
+    return F.xxhash64(*counts(url), F.coalesce(F.octet_length(title) - F.octet_length(F.translate(title, "0123456789", "")), F.lit(-1)), url.isNull())
+
+
+def stripped_key(title: Column, url: Column) -> Column:
+    """Lengths and letter histograms of what formatting can't change."""
+    t, u = fold(title), fold(url)
+    return F.xxhash64(F.coalesce(F.length(t), F.lit(-1)), F.coalesce(F.length(u), F.lit(-1)), F.coalesce(histogram_key(t), F.lit(0)), F.coalesce(histogram_key(u), F.lit(0)))
+
+
+def _several(rows: DataFrame, key: str, total: int) -> DataFrame:
+    """Rows of the classes with several members; a class may hold a third of all rows."""
+    classes = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+    return skew_safe_join(rows, classes, [key], "n", total).drop(key)
+
+
 def refine(df: DataFrame, id_col: str = "entry_id", title_col: str = "title", url_col: str = "url") -> tuple[DataFrame, DataFrame, int]:
     """Members (id, k_title, k_url) of classes that may have several, the groups with several, and the number of members.
 
@@ -55,21 +75,13 @@ def refine(df: DataFrame, id_col: str = "entry_id", title_col: str = "title", ur
     null are no records. Other columns may have any name; they are not read.
     """
     base = df.select(F.col(id_col).alias("id"), F.col(title_col).alias("t"), F.col(url_col).alias("u")).where("id IS NOT NULL")
-    cheap = base.withColumn("ft", fold(F.col("t"))).withColumn("fu", fold(F.col("u"))).select(
-        "id", "t", "u",
-        F.xxhash64(
-            F.coalesce(F.length("ft"), F.lit(-1)), F.coalesce(F.length("fu"), F.lit(-1)),
-            F.coalesce(histogram_key(F.col("ft")), F.lit(0)), F.coalesce(histogram_key(F.col("fu")), F.lit(0)),
-        ).alias("cheap"),
-    )
-    cheap = materialize(cheap)
-    total = cheap.count()
-    classes = cheap.groupBy("cheap").agg(F.count("*").alias("n")).where("n > 1")
-    several = skew_safe_join(cheap, classes, ["cheap"], "n", total)
-    keyed = materialize(several.select("id", title_key(F.col("t")).alias("k_title"), url_key(F.col("u")).alias("k_url")))
-    members = keyed.count()
+    # the first key is so cheap that it is computed again rather than written
+    first = _several(base.withColumn("figures", figures_key(F.col("t"), F.col("u"))), "figures", base.count())
+    second = materialize(first.withColumn("stripped", stripped_key(F.col("t"), F.col("u"))))
+    third = _several(second, "stripped", second.count())
+    keyed = materialize(third.select("id", title_key(F.col("t")).alias("k_title"), url_key(F.col("u")).alias("k_url")))
     groups = keyed.groupBy("k_title", "k_url").agg(F.min("id").alias("keep_id"), F.count("*").alias("copies")).where("copies > 1")
-    return keyed, groups, members
+    return keyed, groups, keyed.count()
 
 
 def copies(df: DataFrame, **cols: str) -> DataFrame:
