@@ -41,6 +41,7 @@ def queries() -> dict[str, Query]:
         "p2_main_text": lambda s, d: boilerplate.main_text(t(s, d, "content_extractions"), t(s, d, "fetched_pages")),
         "p3_found": lambda s, d: repeated_lines.found(t(s, d, "content_extractions"), t(s, d, "fetched_pages")),
         "p3_blocks": lambda s, d: repeated_lines.blocks(t(s, d, "content_extractions"), t(s, d, "fetched_pages"))[0],
+        "p3_block_sizes": lambda s, d: repeated_lines.block_sizes(t(s, d, "content_extractions"), t(s, d, "fetched_pages")),
         "p3_removed": lambda s, d: repeated_lines.removed(t(s, d, "content_extractions"), t(s, d, "fetched_pages")),
         "p4_found": lambda s, d: format_duplicates.copies(t(s, d, "catalog_entries")),
         "p4_records": lambda s, d: format_duplicates.collapse(t(s, d, "catalog_entries")),
@@ -58,6 +59,7 @@ def queries() -> dict[str, Query]:
         ),
         "p9_found": p9_found,
         "p9_pieces": p9_pieces,
+        "p9_rebuilt": lambda s, d: splitting.rebuilt(p9_pieces(s, d)).select("doc_id", "n_tokens", "text_md5", (F.col("most") <= _lim(s, d)["piece_limit"]).alias("kept_to_limit")),
     }
 
 
@@ -102,6 +104,15 @@ u AS (SELECT d.doc_id, d.source, CAST(coalesce(strlen(d.text), 0) AS BIGINT) AS
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": _LINES + "SELECT DISTINCT page_id, line_no FROM nb JOIN r USING (host, n)",
+        "p3_block_sizes": _LINES.replace("WITH", "WITH RECURSIVE", 1) + """, s AS (SELECT DISTINCT l.page_id, l.host, l.n, row_number() OVER (PARTITION BY page_id, text_no ORDER BY line_no) AS seq FROM
+    (SELECT DISTINCT nb.*, dense_rank() OVER (ORDER BY t.text) AS text_no FROM nb JOIN (SELECT DISTINCT page_id, text FROM content_extractions WHERE text IS NOT NULL) t USING (page_id)) l),
+h AS (SELECT s.* FROM s JOIN r USING (host, n)),
+e0 AS (SELECT a.host, a.n AS a, b.n AS b FROM h a JOIN h b ON a.page_id = b.page_id AND b.seq = a.seq + 1 GROUP BY a.host, a.n, b.n HAVING count(*) >= 5),
+e AS (SELECT host, a, b FROM e0 UNION SELECT host, b, a FROM e0 UNION SELECT host, n, n FROM r),
+reach AS (SELECT host, a, b FROM e UNION SELECT x.host, x.a, e.b FROM reach x JOIN e ON e.host = x.host AND e.a = x.b),
+c AS (SELECT host, a, min(b) AS root FROM reach GROUP BY host, a),
+z AS (SELECT host, root, count(*) AS n_lines FROM c GROUP BY host, root)
+SELECT host, n_lines, count(*) AS n_blocks FROM z GROUP BY host, n_lines""",
         "p3_removed": _LINES + """, occ AS (SELECT DISTINCT page_id, line_no FROM nb JOIN r USING (host, n)), c AS (SELECT DISTINCT page_id, text FROM content_extractions),
 x AS (SELECT page_id, text AS t0, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM c WHERE text IS NOT NULL),
 k AS (SELECT x.page_id, t0, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (occ.line_no IS NULL), '') AS kept FROM x LEFT JOIN occ ON occ.page_id = x.page_id AND occ.line_no = x.i GROUP BY x.page_id, t0),
@@ -119,5 +130,6 @@ SELECT CAST(sum(coalesce(strlen(text), 0)) AS BIGINT) AS tokens, count(*) FILTER
   coalesce(s.used_tokens, 0) AS used_tokens, max_repeats * tokens < wanted AS short
   FROM r LEFT JOIN (SELECT source, CAST(sum(tokens * n_uses) AS BIGINT) AS used_tokens FROM u GROUP BY source) s USING (source)
   CROSS JOIN (SELECT CAST(sum(tokens * n_uses) AS BIGINT) AS all_used FROM u) a""",
+        "p9_rebuilt": "SELECT doc_id, CAST(strlen(text) AS INT) AS n_tokens, md5(text) AS text_md5, true AS kept_to_limit FROM documents WHERE strlen(text) > (SELECT tokens FROM size_limits WHERE limit_name = 'piece_limit')",
         "p9_found": "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) > (SELECT tokens FROM size_limits WHERE limit_name = 'piece_limit')",
     }

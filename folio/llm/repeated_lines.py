@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.util import materialize
+from folio.util import materialize, skew_safe_join
 
 #: A line is repeated if it stands on this many distinct pages of the host ...
 MIN_PAGES = 5
@@ -79,12 +79,10 @@ def _components(edges: pd.DataFrame) -> pd.DataFrame:
 
 
 def _join_nodes(lines: DataFrame, nodes: DataFrame, n_nodes: int) -> DataFrame:
-    """Lines that are nodes. Beyond the checked bound the nodes are salted, for a line may stand on a tenth of a host and more."""
+    """Lines that are nodes. Beyond the checked bound for a broadcast only lines of a great share of all rows are broadcast; the rest is shuffled."""
     if n_nodes <= BROADCAST_NODES:
-        return lines.join(F.broadcast(nodes), ["host", "h1", "h2"])
-    salts = 32
-    salted = nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return lines.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")).join(salted, ["host", "h1", "h2", "salt"]).drop("salt")
+        return lines.join(F.broadcast(nodes.drop("n_pages")), ["host", "h1", "h2"])
+    return skew_safe_join(lines, nodes, ["host", "h1", "h2"], "n_pages", lines.count())
 
 
 def blocks(content: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -94,7 +92,7 @@ def blocks(content: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     n_nodes = nodes.count()
     key = ["host", "h1", "h2"]
     exploded = paged.select("page_id", "host", F.posexplode("lines").alias("seq", "x")).select("page_id", "host", "seq", "x.line_no", "x.h1", "x.h2")
-    hits = materialize(_join_nodes(exploded, nodes.select(*key), n_nodes))
+    hits = materialize(_join_nodes(exploded, nodes.select(*key, "n_pages"), n_nodes))
     # consecutive repeated lines of a page, pre-aggregated to weighted edges
     runs = hits.groupBy("page_id", "host").agg(F.array_sort(F.collect_set(F.struct("seq", "h1", "h2"))).alias("s"))
     steps = F.filter(F.zip_with("s", F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["b"]["seq"] == x["a"]["seq"] + 1)
@@ -104,7 +102,13 @@ def blocks(content: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     loops = nodes.select("host", "h1", "h2", F.col("h1").alias("g1"), F.col("h2").alias("g2"))
     comp = edges.unionByName(loops).groupBy("host").applyInPandas(_components, "host string, h1 bigint, h2 bigint, block bigint")
     known = materialize(nodes.join(comp, key))
-    return known, _join_nodes(hits, known.select(*key, "block"), n_nodes).select("page_id", "line_no", "block")
+    return known, _join_nodes(hits, known.select(*key, "block", "n_pages"), n_nodes).select("page_id", "line_no", "block")
+
+
+def block_sizes(content: DataFrame, pages: DataFrame) -> DataFrame:
+    """(host, n_lines, n_blocks): how many blocks of each host have so many lines."""
+    b = blocks(content, pages)[0].groupBy("host", "block").agg(F.count("*").alias("n_lines"))
+    return b.groupBy("host", "n_lines").agg(F.count("*").alias("n_blocks"))
 
 
 def found(content: DataFrame, pages: DataFrame) -> DataFrame:
