@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folio.functions import urls
 from folio.functions.titles import parse_title
 from folio.operators.content import strong_title
-from folio.util import with_previous
+from folio.util import materialize, running, with_previous
 
 MIN_CLUSTER = 5
 
@@ -28,15 +28,7 @@ def clusters(anchors: DataFrame) -> DataFrame:
     Levels 1 to 3: anchors are grouped by the parent of that ancestor; the first
     level whose largest group has MIN_CLUSTER members counts, else all are one.
     """
-    c = chapter_anchors(anchors).select("page_id", "idx", urls.directory(F.col("href")).alias("dir"), "p2", "p3", "p4")
-    levels = None
-    for lv, col in ((1, "p2"), (2, "p3"), (3, "p4")):
-        g = c.groupBy("page_id", F.col(col).alias("g")).agg(F.count("*").alias("n")).where(F.col("n") >= MIN_CLUSTER).select("page_id", F.lit(lv).alias("lv"))
-        levels = g if levels is None else levels.unionByName(g)
-    chosen = levels.groupBy("page_id").agg(F.min("lv").alias("lv"))
-    key = F.when(F.col("lv") == 1, F.col("p2")).when(F.col("lv") == 2, F.col("p3")).when(F.col("lv") == 3, F.col("p4")).otherwise(F.lit(-1))
-    k = c.join(chosen, "page_id", "left").select("page_id", "idx", "dir", key.alias("cluster"))
-    by_dir = k.groupBy("page_id", "cluster", "dir").agg(F.count("*").alias("n"), F.min("idx").alias("first"))
+    by_dir = clustered(anchors).groupBy("page_id", "cluster", "dir").agg(F.count("*").alias("n"), F.min("idx").alias("first"))
     out = by_dir.groupBy("page_id", "cluster").agg(
         F.sum("n").alias("size"), F.max_by(F.struct("dir", "n"), F.struct("n", -F.col("first"))).alias("d"), F.min("first").alias("first_idx")
     )
@@ -46,14 +38,26 @@ def clusters(anchors: DataFrame) -> DataFrame:
     )
 
 
+def clustered(anchors: DataFrame) -> DataFrame:
+    """(page_id, idx, text, href, dir, cluster): chapter anchors, each with its cluster, see clusters."""
+    c = chapter_anchors(anchors).select("page_id", "idx", "text", "href", urls.directory(F.col("href")).alias("dir"), "p2", "p3", "p4")
+    levels = None
+    for lv, col in ((1, "p2"), (2, "p3"), (3, "p4")):
+        g = c.groupBy("page_id", F.col(col).alias("g")).agg(F.count("*").alias("n")).where(F.col("n") >= MIN_CLUSTER).select("page_id", F.lit(lv).alias("lv"))
+        levels = g if levels is None else levels.unionByName(g)
+    chosen = levels.groupBy("page_id").agg(F.min("lv").alias("lv"))
+    key = F.when(F.col("lv") == 1, F.col("p2")).when(F.col("lv") == 2, F.col("p3")).when(F.col("lv") == 3, F.col("p4")).otherwise(F.lit(-1))
+    return c.join(chosen, "page_id", "left").select("page_id", "idx", "text", "href", "dir", key.alias("cluster"))
+
+
 def detect(anchors: DataFrame) -> DataFrame:
     """(page_id, idx, text, href, confidence): entries of each page's table of contents in document order; none below five."""
     cl = clusters(anchors)
     best = cl.groupBy("page_id").agg(F.max_by(F.struct("score", "dominant_dir"), F.struct("score", "size", -F.col("first_idx"))).alias("b"))
-    kept = cl.join(best, "page_id").where((F.col("score") >= 0.20) & (F.col("dominant_dir") == F.col("b.dominant_dir"))).groupBy("page_id").agg(F.sum("size").alias("n"), F.max("b.score").alias("best"), F.collect_set("cluster").alias("cl"))
-    a = chapter_anchors(anchors).join(kept.where(F.col("n") >= MIN_CLUSTER), "page_id")
-    inside = F.array_contains("cl", F.col("p2")) | F.array_contains("cl", F.col("p3")) | F.array_contains("cl", F.col("p4")) | F.array_contains("cl", F.lit(-1))
-    return a.where(inside).select("page_id", "idx", "text", "href", F.least(F.lit(0.95), F.col("best") + 0.15).alias("confidence"))
+    kept = cl.join(best, "page_id").where((F.col("score") >= 0.20) & (F.col("dominant_dir") == F.col("b.dominant_dir"))).select("page_id", "cluster", "size", F.col("b.score").alias("best"))
+    enough = kept.groupBy("page_id").agg(F.sum("size").alias("n")).where(F.col("n") >= MIN_CLUSTER)
+    a = clustered(anchors).join(kept.join(enough, "page_id"), ["page_id", "cluster"])
+    return a.select("page_id", "idx", "text", "href", F.least(F.lit(0.95), F.col("best") + 0.15).alias("confidence"))
 
 
 def keep_last(entries: DataFrame) -> DataFrame:
@@ -85,18 +89,15 @@ def rotate(entries: DataFrame) -> DataFrame:
     """(book_id, entry_id, pos, seam, new_pos): a list that begins with its later part is turned; others keep their order.
 
     The seam is the first drop of at least 3 with two near-monotone runs on either
-    side, the second wholly below the first. Running and reverse windows, no lists.
+    side, the second wholly below the first.
     """
-    base = Window.partitionBy("book_id").orderBy("dom_index", "entry_id")
     e = numbered(entries).select("book_id", "entry_id", "dom_index", F.floor("p.order_token").cast("bigint").alias("t"))
-    e = e.withColumn("pos", F.row_number().over(base))
-    n = e.where("t IS NOT NULL").select("book_id", "pos", "t")
-    by = Window.partitionBy("book_id").orderBy("pos")
-    n = n.withColumn("prev_t", F.lag("t").over(by)).withColumn("up", (F.col("t") > F.col("prev_t")).cast("int"))
-    fore, aft = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(1, Window.unboundedFollowing)
-    n = n.select(
-        "book_id", "pos", "t", F.lead("pos").over(by).alias("next_pos"), F.lead("t").over(by).alias("next_t"), F.count("*").over(fore).alias("n1"), F.sum(F.coalesce("up", F.lit(0))).over(fore).alias("up1"), F.min("t").over(fore).alias("min1"),
-        F.count("*").over(aft).alias("n2"), F.sum("up").over(aft).alias("up2_all"), F.lead("up").over(by).alias("first_up"), F.max("t").over(aft).alias("max2"),
+    e = materialize(running(e, "book_id", ["dom_index", "entry_id"], {"pos": ("sum", F.lit(1))}).withColumn("pos", F.col("pos").cast("int")))
+    n = with_previous(e.where("t IS NOT NULL").select("book_id", "pos", "t"), ["book_id"], ["pos"], ["t"])
+    up = (F.col("t") > F.col("prev.t")).cast("int")
+    n = running(
+        n.withColumn("up", up).drop("prev"), "book_id", ["pos"], {"n1": ("sum", F.lit(1)), "up1": ("sum", F.coalesce("up", F.lit(0))), "min1": ("min", F.col("t"))},
+        {"n2": ("sum", F.lit(1)), "up2_all": ("sum", F.coalesce("up", F.lit(0))), "max2": ("max", F.col("t")), "next_pos": ("next", F.col("pos")), "next_t": ("next", F.col("t")), "first_up": ("next", F.col("up"))},
     )
     up2 = F.col("up2_all") - F.coalesce("first_up", F.lit(0))
     ok = (

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from folio.util import materialize, running_sum, with_previous
+from folio.util import materialize, running, running_sum, with_previous
 
 MAX_FAILURES = 5
 MIN_BLOCK = 60
@@ -136,10 +137,10 @@ def running_median(chapters: DataFrame, book: str, order: list[str], length: str
 
 def failure_cut(rows: DataFrame, key: str, order: list[str], bad: Column, most: int = MAX_FAILURES) -> DataFrame:
     """(key, cut_pos): position of the row that completes the first run of ``most`` failures; keys without one have no row."""
-    w = Window.partitionBy(key).orderBy(*order)
-    r = rows.select(key, *order, bad.cast("int").alias("bad"), F.row_number().over(w).alias("pos"))
-    r = r.withColumn("run", F.sum("bad").over(Window.partitionBy(key).orderBy("pos").rowsBetween(-(most - 1), 0)))
-    return r.where(F.col("run") == most).groupBy(key).agg(F.min("pos").alias("cut_pos"))
+    r = running(rows.select(key, *order, F.coalesce(bad, F.lit(False)).alias("bad")), key, order, {"pos": ("sum", F.lit(1)), "good": ("sum", (~F.col("bad")).cast("int"))})
+    # failures with as many good rows before them are one run
+    runs = r.where("bad").groupBy(key, "good").agg(F.count("*").alias("n"), F.min("pos").alias("first")).where(F.col("n") >= most)
+    return runs.groupBy(key).agg((F.min("first") + most - 1).cast("int").alias("cut_pos"))
 
 
 # -- pacing ------------------------------------------------------------------------------------------
@@ -154,33 +155,71 @@ def pace(state: tuple[float, int, int], shell: bool, base: float, top: float, fa
     return (max(base, interval / factor), 0, backoffs) if streak >= recover else (interval, streak, backoffs)
 
 
+def pacing_states(base: float, top: float, factor: float, recover: int) -> list[tuple[float, int]]:
+    """Every (interval, streak) that outcomes can lead to from the start, which is the first: a few dozen."""
+    out = [(max(0.0, base), 0)]
+    seen = set(out)
+    for interval, streak in out:
+        for shell in (True, False):
+            x = pace((interval, streak, 0), shell, base, top, factor, recover)[:2]
+            if x not in seen:
+                if len(out) >= 100_000:
+                    raise ValueError("these settings of pacing lead to too many intervals")
+                seen.add(x)
+                out.append(x)
+    return out
+
+
 def pacing(rows: DataFrame, key: str, order: list[str], shell: Column, base: float = 0.3, top: float = 5.0, factor: float = 2.0, recover: int = 6) -> DataFrame:
     """(key, interval, streak, backoffs) after all outcomes of a key in their order.
 
-    Rows are partitioned and sorted by the engine (which spills), then streamed:
-    a task holds one state, never a key's rows.
+    A key's rows are parted into shares of consecutive positions. What a share
+    does to each state it may begin in is worked out at once, for states soon meet;
+    a key's shares, one row each, are then followed from the start. Null keys have no row.
     """
+    states = pacing_states(base, top, factor, recover)
+    number = {x: i for i, x in enumerate(states)}
     kind = rows.schema[key].dataType.simpleString()
-    src = rows.select(F.col(key).alias("k"), *order, shell.alias("shell")).where("k IS NOT NULL").repartition("k").sortWithinPartitions("k", *order).select("k", "shell")
+    src = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), *order, F.coalesce(shell, F.lit(False)).alias("shell"))
+    src = in_order(src, "k", order).withColumn("share", F.floor((F.col("pos") - 1) / SHARE).cast("int"))
+    src = src.repartition("k", "share").sortWithinPartitions("k", "share", "pos").select("k", "share", "shell")
+    pa_kind = to_arrow_type(rows.schema[key].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cur, state, started = None, (max(0.0, base), 0, 0), False
-        done: list[tuple] = []
+        cur, ends, back, done = None, {}, 0, []
+
+        def close() -> None:
+            to = [0] * len(states)
+            for x, starts in ends.items():
+                for i in starts:
+                    to[i] = number[x]
+            done.append((*cur, to, back))
+
         for b in batches:
-            for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if not started or k != cur:
-                    if started:
-                        done.append((cur, *state))
-                    cur, state, started = k, (max(0.0, base), 0, 0), True
-                state = pace(state, bool(s), base, top, factor, recover)
+            for k, share, s in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if cur != (k, share):
+                    if cur is not None:
+                        close()
+                    cur, back = (k, share), 0
+                    ends = {x: [i] for i, x in enumerate(states)} if share else {states[0]: [0]}
+                nxt: dict[tuple[float, int], list[int]] = {}
+                for x, starts in ends.items():
+                    nxt.setdefault(pace((*x, 0), s, base, top, factor, recover)[:2], []).extend(starts)
+                ends = nxt
+                back += bool(s) and base > 0
             if done:
                 yield _batch(done)
                 done = []
-        if started:
-            yield _batch([(cur, *state)])
+        if cur is not None:
+            close()
+            yield _batch(done)
 
     def _batch(rows_: list[tuple]) -> pa.RecordBatch:
         c = list(zip(*rows_, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1], pa.float64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32())], names=["k", "interval", "streak", "backoffs"])
+        return pa.RecordBatch.from_arrays([pa.array(c[0], pa_kind), pa.array(c[1], pa.int32()), pa.array(c[2], pa.list_(pa.int32())), pa.array(c[3], pa.int32())], names=["k", "share", "to", "backoffs"])
 
-    return src.mapInArrow(run, f"k {kind}, interval double, streak int, backoffs int").withColumnRenamed("k", key)
+    shares = src.mapInArrow(run, f"k {kind}, share int, to array<int>, backoffs int")
+    g = shares.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("share", "to"))).alias("s"), F.sum("backoffs").cast("int").alias("backoffs"))
+    last = F.aggregate("s", F.lit(0), lambda at, x: x["to"][at])
+    each = lambda i: F.array(*[F.lit(x[i]) for x in states])
+    return g.select(F.col("k").alias(key), "backoffs", last.alias("at")).select(key, each(0)[F.col("at")].alias("interval"), each(1)[F.col("at")].cast("int").alias("streak"), "backoffs")

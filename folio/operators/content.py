@@ -56,13 +56,18 @@ def density_score(n: Column, titled: Column) -> Column:
 def scored_nodes(d: DataFrame) -> DataFrame:
     """The page's candidates with score, link_ratio and whether a chapter title is among their headings."""
     def one(n: Column) -> Column:
-        titled = F.exists(n["headings"], strong_title)
+        titled = F.exists(F.slice("strong", n["head_from"] + 1, n["n_heads"]), lambda x: x)
         return let(titled, lambda t: F.struct(
             density_score(n, t).alias("score"), n["depth"].alias("depth"), (-n["node_id"]).alias("order"), t.alias("titled"),
-            F.when(n["text_len"] > 0, n["link_len"] / n["text_len"]).otherwise(F.lit(1.0)).alias("link_ratio"), (-F.size(n["headings"])).alias("fewer"), n.alias("n"),
+            F.when(n["text_len"] > 0, n["link_len"] / n["text_len"]).otherwise(F.lit(1.0)).alias("link_ratio"), (-n["n_heads"]).alias("fewer"), n.alias("n"),
         ))
 
-    return d.withColumn("scored", F.transform("nodes", one))
+    return d.withColumn("strong", F.transform("headings", lambda h: strong_title(h["text"]))).withColumn("scored", F.transform("nodes", one))
+
+
+def node_text(n: Column) -> Column:
+    """A node's lines as one text."""
+    return F.array_join(F.slice("lines", n["line_from"] + 1, n["n_lines"]), "\n")
 
 
 def _explain(n: Column, ratio: Column) -> tuple[Column, Column]:
@@ -103,11 +108,11 @@ def pick_content(d: DataFrame) -> DataFrame:
     good, bad = _explain(n, ratio)
     empty = F.coalesce(n["text_len"], F.lit(0)) == 0
     return s.select(
-        "page_id", n["node_id"].alias("node_id"), n["tag"].alias("tag"), F.coalesce(F.array_join(n["lines"], "\n"), F.lit("")).alias("text"), F.col("best.score").alias("score"),
+        "page_id", n["node_id"].alias("node_id"), n["tag"].alias("tag"), F.coalesce(node_text(n), F.lit("")).alias("text"), F.col("best.score").alias("score"),
         F.when(empty, 0.0).when(F.col("fallback"), 0.35).otherwise(0.40 + 0.55 * F.col("best.score")).alias("confidence"), ratio.alias("link_ratio"),
         F.col("by_depth").isNotNull().alias("anchored"), good.alias("positives"), bad.alias("penalties"), n["sibling_len"].alias("sibling_len"), n["near_h1"].alias("near_h1"), n["text_len"].alias("text_len"),
         F.when(F.col("again").isNotNull(), F.struct(
-            F.col("again.n.tag").alias("tag"), F.when(F.col("again.n.node_id") != n["node_id"], F.array_join(F.col("again.n.lines"), "\n")).alias("text"), F.col("again.score").alias("score"),
+            F.col("again.n.tag").alias("tag"), F.when(F.col("again.n.node_id") != n["node_id"], node_text(F.col("again.n"))).alias("text"), F.col("again.score").alias("score"),
             F.col("again.n.sibling_len").alias("sibling_len"), F.col("again.n.near_h1").alias("near_h1"), F.col("again.n.text_len").alias("text_len"),
         )).alias("deep"),
     )

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import html as _html
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, deque
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,18 +40,18 @@ HEADING = pa.struct([("idx", INT), ("level", INT), ("text", STRING)])
 META = pa.struct([("idx", INT), ("name", STRING), ("content", STRING)])
 NODE = pa.struct([
     ("node_id", INT), ("parent_id", INT), ("tag", STRING), ("depth", INT), ("text_len", INT), ("punct", INT), ("cjk", INT), ("paragraphs", pa.float64()),
-    ("link_len", INT), ("children", INT), ("breaks", INT), ("headings", pa.list_(STRING)), ("lines", pa.list_(STRING)), ("sibling_len", INT), ("near_h1", pa.bool_()),
+    ("link_len", INT), ("children", INT), ("breaks", INT), ("head_from", INT), ("n_heads", INT), ("line_from", INT), ("n_lines", INT), ("sibling_len", INT), ("near_h1", pa.bool_()),
 ])
 SCHEMA = pa.schema([
     ("page_id", pa.int64()), ("title", STRING), ("page_text", STRING), ("link_len", INT), ("anchors", pa.list_(ANCHOR)), ("headings", pa.list_(HEADING)),
-    ("metas", pa.list_(META)), ("json_ld", pa.list_(STRING)), ("nodes", pa.list_(NODE)), ("tags", pa.map_(STRING, INT)), ("breadcrumb", pa.list_(STRING)),
+    ("metas", pa.list_(META)), ("json_ld", pa.list_(STRING)), ("nodes", pa.list_(NODE)), ("lines", pa.list_(STRING)), ("tags", pa.map_(STRING, INT)), ("breadcrumb", pa.list_(STRING)),
 ])
 DDL = (
     "page_id bigint, title string, page_text string, link_len int, "
     "anchors array<struct<idx:int,text:string,href:string,onclick:string,p1:int,p2:int,p3:int,p4:int,nav:boolean>>, "
     "headings array<struct<idx:int,level:int,text:string>>, metas array<struct<idx:int,name:string,content:string>>, json_ld array<string>, "
-    "nodes array<struct<node_id:int,parent_id:int,tag:string,depth:int,text_len:int,punct:int,cjk:int,paragraphs:double,link_len:int,children:int,breaks:int,headings:array<string>,lines:array<string>,sibling_len:int,near_h1:boolean>>, "
-    "tags map<string,int>, breadcrumb array<string>"
+    "nodes array<struct<node_id:int,parent_id:int,tag:string,depth:int,text_len:int,punct:int,cjk:int,paragraphs:double,link_len:int,children:int,breaks:int,head_from:int,n_heads:int,line_from:int,n_lines:int,sibling_len:int,near_h1:boolean>>, "
+    "lines array<string>, tags map<string,int>, breadcrumb array<string>"
 )
 
 
@@ -114,10 +116,21 @@ def parse(html: str) -> list[Node]:
     return nodes
 
 
-def lines_of(node: Node) -> list[str]:
-    """Text as lines: breaks end a line, block tags stand on lines of their own, blank lines drop out."""
+def _body(nodes: list[Node]) -> Node | None:
+    """A page has one body: tags of further ones are elements as any."""
+    return next((n for n in nodes if n.tag == "body"), None)
+
+
+def page_lines(nodes: list[Node]) -> tuple[list[str], dict[int, tuple[int, int]]]:
+    """A page's text as lines, and of each candidate which of them are its own: (from, to).
+
+    Breaks end a line, block tags stand on lines of their own, blank lines drop
+    out. What is skipped is in no other node's lines; candidates inside it have
+    lines of their own behind those of the page. One walk over the tree.
+    """
     out: list[str] = []
     buf: list[str] = []
+    at: dict[int, tuple[int, int]] = {}
 
     def flush() -> None:
         t = "".join(buf).strip()
@@ -125,24 +138,37 @@ def lines_of(node: Node) -> list[str]:
         if t:
             out.append(t)
 
-    stack: list[Node | str | None] = [node]
-    while stack:
-        x = stack.pop()
-        if x is None:
-            flush()
-        elif isinstance(x, str):
-            buf.append(x)
-        elif x.tag in SKIPPED:
-            continue
-        elif x.tag == "br":
-            flush()
-        else:
-            if x.tag in BLOCKS:
+    body = _body(nodes)
+    later: deque[Node] = deque()
+    roots: deque[Node] = deque([nodes[0]])
+    while roots:
+        stack: list[Node | str | tuple[Node, int]] = [roots.popleft()]
+        while stack:
+            x = stack.pop()
+            if isinstance(x, tuple):
                 flush()
-                stack.append(None)
-            stack.extend(reversed(x.kids))
-    flush()
-    return out
+                at[x[0].id] = (x[1], len(out))
+            elif isinstance(x, str):
+                buf.append(x)
+            elif x.tag in SKIPPED:
+                later.extend(k for k in x.kids if isinstance(k, Node))
+            elif x.tag == "br":
+                flush()
+            else:
+                if x.tag in BLOCKS or x is body:
+                    flush()
+                    stack.append((x, len(out)))
+                stack.extend(reversed(x.kids))
+        flush()
+        # the candidates nearest to what was skipped
+        while later:
+            k = later.popleft()
+            if k.tag in CANDIDATES or k is body:
+                roots.append(k)
+            else:
+                later.extend(y for y in k.kids if isinstance(y, Node))
+    at[nodes[0].id] = (0, len(out))
+    return out, at
 
 
 def _strings(node: Node) -> Iterator[str]:
@@ -186,34 +212,35 @@ def record(page_id: int, html: str) -> dict:
         links = [k for k in n.kids if isinstance(k, Node) and k.tag == "a"]
         if len(links) >= 2 and len(links) > len(crumb) and _CRUMB.search("".join(k for k in n.kids if isinstance(k, str))):
             crumb = ["".join(_strings(k)) for k in links]
+    ls, at = page_lines(nodes)
+    # sums over lines, and over elements in document order, where an element's descendants follow it
+    sums = lambda values: list(accumulate(values, initial=0))
+    chars, puncts, cjks = sums(len(x) + 1 for x in ls), sums(len(PUNCT.findall(x)) for x in ls), sums(len(CJK.findall(x)) for x in ls)
+    paras, brs = sums(n.tag == "p" for n in nodes), sums(n.tag == "br" for n in nodes)
+    texts = iter(anchors)
+    links = sums(len(next(texts)["text"]) if n.tag == "a" else 0 for n in nodes)
+    heads, h1s = [n.id for n in nodes if n.tag in ("h1", "h2", "h3")], [n.id for n in nodes if n.tag == "h1"]
+    last = list(range(len(nodes)))
+    for n in reversed(nodes[1:]):
+        if n.parent is not None:
+            last[n.parent.id] = max(last[n.parent.id], last[n.id])
     made = []
-    h1_ids = {n.id for n in nodes if n.tag == "h1"}
-    cands = [n for n in nodes if n.tag in CANDIDATES or n.tag == "body"] or nodes[:1]
-    lens: dict[int, int] = {}
-    for n in cands:
-        ls = lines_of(n)
-        text = "\n".join(ls)
-        inner, stack, paras, brs, link = [], [n], 0, 0, 0
-        while stack:
-            x = stack.pop()
-            for k in x.kids:
-                if isinstance(k, Node):
-                    stack.append(k)
-                    if k.tag == "p":
-                        paras += 1
-                    elif k.tag == "br":
-                        brs += 1
-                    elif k.tag == "a":
-                        link += len("".join(_strings(k)))
-                    elif k.tag in ("h1", "h2", "h3"):
-                        inner.append((k.id, "".join(_strings(k))))
-        lens[n.id] = len(text)
-        made.append({"node_id": n.id, "parent_id": n.parent.id if n.parent else -1, "tag": n.tag, "depth": n.depth, "text_len": len(text), "punct": len(PUNCT.findall(text)), "cjk": len(CJK.findall(text)), "paragraphs": paras + brs / 2.0, "link_len": link, "children": len(n.kids), "breaks": brs, "headings": [t for _, t in sorted(inner)], "lines": ls, "sibling_len": 0, "near_h1": any(n.id - 4 <= h < n.id for h in h1_ids)})
+    top: dict[int, list[int]] = {}
+    body = _body(nodes)
+    for n in [n for n in nodes if n.tag in CANDIDATES or n is body] or nodes[:1]:
+        lo, hi = at[n.id]
+        i, j = n.id + 1, last[n.id] + 1
+        h = bisect_left(heads, i)
+        size, up = max(0, chars[hi] - chars[lo] - 1), n.parent.id if n.parent else -1
+        b = brs[j] - brs[i]
+        made.append({"node_id": n.id, "parent_id": up, "tag": n.tag, "depth": n.depth, "text_len": size, "punct": puncts[hi] - puncts[lo], "cjk": cjks[hi] - cjks[lo], "paragraphs": paras[j] - paras[i] + b / 2.0, "link_len": links[j] - links[i], "children": len(n.kids), "breaks": b, "head_from": h, "n_heads": bisect_left(heads, j) - h, "line_from": lo, "n_lines": hi - lo, "near_h1": bisect_left(h1s, n.id) > bisect_left(h1s, n.id - 4)})
+        top[up] = sorted([*top.get(up, []), size])[-2:]
     for x in made:
-        x["sibling_len"] = max((lens[y["node_id"]] for y in made if y["parent_id"] == x["parent_id"] and y["node_id"] != x["node_id"]), default=0)
+        two = top[x["parent_id"]]
+        x["sibling_len"] = 0 if len(two) < 2 else two[0] if two[1] == x["text_len"] else two[1]
     return {
         "page_id": page_id, "title": title, "page_text": " ".join(_strings(nodes[0])), "link_len": sum(len(a["text"]) for a in anchors), "anchors": anchors, "headings": headings,
-        "metas": metas, "json_ld": json_ld, "nodes": made, "tags": list(tags.items()), "breadcrumb": crumb,
+        "metas": metas, "json_ld": json_ld, "nodes": made, "lines": ls, "tags": list(tags.items()), "breadcrumb": crumb,
     }
 
 
@@ -232,8 +259,9 @@ def dom(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Da
 
 def lines(d: DataFrame) -> DataFrame:
     """(page_id, node_id, line_no, line) of every content candidate."""
-    n = d.select("page_id", F.explode("nodes").alias("n"))
-    return n.select("page_id", F.col("n.node_id").alias("node_id"), F.posexplode("n.lines").alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+    n = d.select("page_id", "lines", F.explode("nodes").alias("n"))
+    own = F.slice("lines", F.col("n.line_from") + 1, F.col("n.n_lines"))
+    return n.select("page_id", F.col("n.node_id").alias("node_id"), F.posexplode(own).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
 def anchors(d: DataFrame) -> DataFrame:

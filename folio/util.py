@@ -161,17 +161,42 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], cols: list[s
     return j.withColumn(name, F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__lag"))).drop("__part", "__lag", "__first", "__before")
 
 
-def running_sum(df: DataFrame, key: str, order: list[str], value: Column, name: str) -> DataFrame:
-    """Each row with the sum of a whole number over the rows of its key up to it.
+#: How running values of two shares become one.
+_TOGETHER = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest, "next": F.coalesce}
+_OVER = {"sum": F.sum, "min": F.min, "max": F.max}
+
+
+def running(df: DataFrame, key: str, order: list[str], fore: dict[str, tuple[str, Column]], aft: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
+    """Each row with aggregates over the rows of its key up to it (``fore``) and after it (``aft``), as name: (sum, min or max, value).
 
-    As a running window, but a key may hold a third of all rows: rows are
-    range-partitioned by key and order, and a task's share adds the sum of the
-    shares of its key before it, from one summary row per share.
+    In ``aft`` also next: the value of the row after it. As running windows, but a
+    key may hold a third of all rows: rows are range-partitioned by key and order,
+    and a task's share takes in what the shares of its key before (or after) it
+    add up to, from one summary row per share. Rows after a row are the rows
+    before it in reverse order, so that no frame is computed anew for each row.
     """
     from pyspark.sql import Window
 
-    r = materialize(df.withColumn("__v", value).repartitionByRange(key, *order).withColumn("__part", F.spark_partition_id()))
-    earlier = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    before = r.groupBy(key, "__part").agg(F.sum("__v").alias("__s")).select(key, "__part", F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__before"))
-    here = F.sum("__v").over(Window.partitionBy(key, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return _null_safe(r.withColumn(name, here), before, [key, "__part"], "inner").withColumn(name, (F.col(name) + F.col("__before")).cast("int")).drop("__v", "__part", "__before")
+    aft = aft or {}
+    cols = df.columns
+    values = {n: v for n, (_, v) in {**fore, **aft}.items()}
+    r = materialize(df.select("*", *[v.alias(f"__v_{n}") for n, v in values.items()]).repartitionByRange(key, *order).withColumn("__part", F.spark_partition_id()))
+    first = F.struct(*order)
+    sums = [(F.min_by(f"__v_{n}", first) if kind == "next" else _OVER[kind](f"__v_{n}")).alias(f"__s_{n}") for n, (kind, _) in {**fore, **aft}.items()]
+    shares = r.groupBy(key, "__part").agg(*sums)
+    lo = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    hi = Window.partitionBy(key).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    others = [_OVER[kind](f"__s_{n}").over(lo).alias(f"__o_{n}") for n, (kind, _) in fore.items()]
+    others += [(F.lead(f"__s_{n}").over(Window.partitionBy(key).orderBy("__part")) if kind == "next" else _OVER[kind](f"__s_{n}").over(hi)).alias(f"__o_{n}") for n, (kind, _) in aft.items()]
+    rest = shares.select(key, "__part", *others)
+    up = Window.partitionBy(key, "__part").orderBy(*order)
+    down = Window.partitionBy(key, "__part").orderBy(*[F.desc(c) for c in order])
+    own = [_OVER[kind](f"__v_{n}").over(up.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n, (kind, _) in fore.items()]
+    own += [(F.lead(f"__v_{n}").over(up) if kind == "next" else _OVER[kind](f"__v_{n}").over(down.rowsBetween(Window.unboundedPreceding, -1))).alias(n) for n, (kind, _) in aft.items()]
+    j = _null_safe(r.select(*cols, "__part", *own), rest, [key, "__part"], "inner")
+    return j.select(*cols, *[_TOGETHER[kind](F.col(n), F.col(f"__o_{n}")).alias(n) for n, (kind, _) in {**fore, **aft}.items()])
+
+
+def running_sum(df: DataFrame, key: str, order: list[str], value: Column, name: str) -> DataFrame:
+    """Each row with the sum of a whole number over the rows of its key up to it, see running."""
+    return running(df, key, order, {name: ("sum", value)}).withColumn(name, F.col(name).cast("int"))

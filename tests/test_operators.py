@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,11 +42,19 @@ def test_dom(d):
     assert set(got) == {1, 2, 3, 4, 6}
     assert got[2]["tags"]["li"] == 40 and len(got[2]["anchors"]) == 42
     assert len({a["p2"] for a in got[2]["anchors"][:40]}) == 1
-    assert got[6]["nodes"][0]["lines"] == ["x", "y", "z c"] and got[6]["page_text"] == "x y z"
+    assert got[6]["lines"] == ["x", "y", "z c"] and (got[6]["nodes"][0]["line_from"], got[6]["nodes"][0]["n_lines"]) == (0, 3) and got[6]["page_text"] == "x y z"
     assert got[1]["breadcrumb"] == ["首页", "书"]
     assert dom.lines(d).where("page_id = 6").count() == 3
 
 
+def test_parsing_is_linear():
+    for html in ("<body>" + "<div>some text here</div>" * 8000, "<body>" + "<div>x" * 8000):
+        t = time.time()
+        r = dom.record(1, html)
+        assert len(r["nodes"]) == 8001 and time.time() - t < 1
+    assert {x["sibling_len"] for x in dom.record(1, "<body><div>abcd</div><div>ab</div><div>abc</div></body>")["nodes"] if x["tag"] == "div"} == {3, 4}
+
+
 def test_implied_ends():
     nodes = dom.parse("<table><tr><td>a<td>b<tr><td>c</table><ul><li>x<ul><li>y</ul><li>z</ul><dl><dt>k<dd>v</dl>")
     tags = [(n.tag, n.parent.tag) for n in nodes[1:]]
@@ -176,7 +186,9 @@ def test_blocks(spark):
     assert [tuple(r)[2:] for r in chapters.duplicate_texts(dup, "h", "p", "t").collect()] == [(2, 1)]
 
 
-def test_pacing(spark):
+@pytest.mark.parametrize("share", [200_000, 3])
+def test_pacing(spark, monkeypatch, share):
+    monkeypatch.setattr(chapters, "SHARE", share)
     df = spark.createDataFrame([("a", i, x == "s") for i, x in enumerate("sssssoooooo")] + [("b", 0, False), (None, 0, True)], "k string, i int, s boolean")
     got = {r["k"]: r for r in chapters.pacing(df, "k", ["i"], F.col("s")).collect()}
     assert got["a"]["interval"] == 2.5 and got["a"]["backoffs"] == 5 and got["b"]["streak"] == 1 and len(got) == 2
