@@ -48,8 +48,14 @@ def page_number(url: Column) -> Column:
     return F.coalesce(*by_key, by_name, first).cast("int")
 
 
+def trimmed(url: Column) -> Column:
+    """Without the white space that may stand around an address in markup."""
+    return F.btrim(url, F.lit(" \t\r\n\f"))
+
+
 def resolve(base: Column, href: Column) -> Column:
     """Absolute form of a link: absolute, protocol-relative, root-relative, query-only and relative ones, with dot segments removed."""
+    base, href = trimmed(base), trimmed(href)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
     site = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     stem = F.regexp_extract(base, r"^([^?#]*)", 1)

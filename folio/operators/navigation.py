@@ -52,7 +52,7 @@ def link_scores(anchors: DataFrame, pages: DataFrame) -> DataFrame:
     """
     a = anchors.select("page_id", "idx", "text", "href").join(pages.select("page_id", "url").where("url IS NOT NULL"), "page_id").where(F.col("href").isNotNull() & urls.usable_href(F.col("href")))
     low = F.lower("text")
-    a = a.select("page_id", "idx", "url", low.alias("low"), urls.resolve(F.col("url"), F.col("href")).alias("target"))
+    a = a.select("page_id", "idx", urls.trimmed(F.col("url")).alias("url"), low.alias("low"), urls.resolve(F.col("url"), F.col("href")).alias("target"))
     t, u, w = F.col("target"), F.col("url"), F.col("low")
     short, brief = F.length(w).between(1, 30), F.length(w).between(1, 20)
     paging = _longest(w, PAGING)

@@ -11,7 +11,7 @@ from folio.functions import charset, textclean, titles, urls
 from folio.operators import catalog, chapters, content, dom, evaluate, graph, metadata, navigation, profiles, walks
 from folio.plans import pipeline
 from folio.sources import captures, export
-from folio.util import materialize, table
+from folio.util import materialize, running, table, with_previous
 
 Query = Callable[[SparkSession, str], DataFrame]
 ANCHOR = r"(?is)<a\b[^>]*>(.*?)</a>"
@@ -74,16 +74,21 @@ def _content_len(s: SparkSession, d: str) -> DataFrame:
 
 
 def content_status(s: SparkSession, d: str) -> DataFrame:
-    p = _pages(s, d).join(_content_len(s, d), "page_id", "left")
+    """Against the median length of the pages of the same host."""
+    p = _pages(s, d).join(_content_len(s, d), "page_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    per = p.where("host IS NOT NULL").groupBy(F.col("host").alias("h")).agg(F.floor(F.percentile("n", F.lit(0.5))).cast("int").alias("median"))
+    p = p.join(per, F.col("host") == F.col("h"), "left")
     server = F.try_element_at(F.coalesce("headers", F.create_map().cast("map<string,string>")), F.lit("server"))
-    st = content.access_status(F.coalesce("status_code", F.lit(200)), server, F.col("html"), F.col("html"), F.repeat(F.lit("x"), F.coalesce("n", F.lit(0))), F.lit(0.8), F.lit(None).cast("int"))
+    st = content.access_status(F.coalesce("status_code", F.lit(200)), server, F.col("html"), F.col("html"), F.repeat(F.lit("x"), F.col("n")), F.lit(0.8), F.col("median"))
     return p.select("page_id", st.alias("st")).select("page_id", "st.status", "st.confidence")
 
 
 def phrase_hits(s: SparkSession, d: str) -> DataFrame:
+    """Captured pages, and one made up of each phrase, as the captured ones hold none."""
     low = F.lower("html")
     hits = F.array_compact(F.array(*[F.when(content.contains_any(low, words), F.lit(k)) for k, _, words in content.PHRASES]))
-    return _pages(s, d).select("page_id", F.explode(hits).alias("category"))
+    made = s.createDataFrame([(-i, f"<p>- {w} -</p>") for i, w in enumerate((w for _, _, words in content.PHRASES for w in words), 1)], "page_id bigint, html string")
+    return _pages(s, d).select("page_id", "html").unionByName(made).select("page_id", F.explode(hits).alias("category"))
 
 
 def metadata_best(s: SparkSession, d: str) -> DataFrame:
@@ -122,13 +127,37 @@ def fingerprint_compare(s: SparkSession, d: str) -> DataFrame:
     return n.select(F.col("a.page_id").alias("a_id"), F.col("b.page_id").alias("b_id"), navigation.compare("a", "b").alias("c")).select("a_id", "b_id", "c.*")
 
 
+def _linked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Entries as pages (page_id, book_id, url, ...), and their anchors: to the neighbours in the list, to the list, and paging links of some.
+
+    The captured pages hold hardly any links between them; the lists say where those of a site would lead.
+    """
+    e = table(s, d, "catalog_entries").where("book_id IS NOT NULL AND url IS NOT NULL").select(F.col("entry_id").alias("page_id"), "book_id", "url", "source_page_url", "dom_index", "title")
+    n = running(with_previous(e, ["book_id"], ["dom_index", "page_id"], ["url"]), "book_id", ["dom_index", "page_id"], {}, {"next_url": ("next", F.col("url"))})
+    at = lambda i, text, href: F.struct(F.lit(i).alias("idx"), F.lit(text).alias("text"), href.alias("href"))
+    some = lambda k, x: F.when(F.col("page_id") % k == 0, x)
+    links = F.array_compact(F.array(
+        at(0, "下一章", F.col("next_url")), F.when(F.col("page_id") % 5 != 0, at(1, "上一章", F.col("prev.url"))), at(2, "目录", F.col("source_page_url")), some(4, at(3, "下一页", F.col("next_url"))), some(6, at(4, "2", F.col("next_url"))),
+    ))
+    return e, n.select("page_id", F.explode(links).alias("a")).select("page_id", "a.*")
+
+
+def _links(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    p, a = _linked(s, d)
+    return p, materialize(navigation.best_links(navigation.link_scores(a, p)))
+
+
 def relation_score(s: SparkSession, d: str) -> DataFrame:
+    """Neighbours of a list by their links, by links that answer each other, by the list and by their numbers."""
     e = catalog.numbered(table(s, d, "catalog_entries").where("book_id IS NOT NULL")).select("book_id", "entry_id", "dom_index", "url", F.col("p.order_token").alias("t"))
     n = navigation.neighbours(e, ["book_id"], ["dom_index", "entry_id"], ["entry_id", "url", "t", "dom_index"])
-    none = F.lit(None).cast("double")
+    p, links = _links(s, d)
+    nav = walks.by_url(links.where("relation = 'NEXT_CHAPTER'"), p).where("to_id IS NOT NULL").groupBy(F.col("page_id").alias("x"), F.col("to_id").alias("y")).agg(F.max("score").alias("nav"))
+    back = walks.reciprocal(links, p).select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(1.0).alias("back"))
+    n = n.withColumn("x", F.col("a.entry_id")).withColumn("y", F.col("b.entry_id")).join(nav, ["x", "y"], "left").join(back, ["x", "y"], "left")
     cat = F.when(F.col("b.dom_index") > F.col("a.dom_index"), 1.0).when(F.col("b.dom_index") < F.col("a.dom_index"), 0.0)
-    r = navigation.relation(none, none, cat, navigation.continuity(F.col("b.t") - F.col("a.t")), urls.url_similarity(F.col("a.url"), F.col("b.url")))
-    return n.select(F.col("a.entry_id").alias("a_id"), F.col("b.entry_id").alias("b_id"), r.alias("r")).select("a_id", "b_id", "r.*")
+    r = navigation.relation(F.col("nav"), F.col("back"), cat, navigation.continuity(F.col("b.t") - F.col("a.t")), urls.url_similarity(F.col("a.url"), F.col("b.url")))
+    return n.select(F.col("x").alias("a_id"), F.col("y").alias("b_id"), r.alias("r")).select("a_id", "b_id", "r.*")
 
 
 def catalog_dominant_dir(s: SparkSession, d: str) -> DataFrame:
@@ -147,13 +176,19 @@ def _kept(s: SparkSession, d: str) -> DataFrame:
     return materialize(catalog.keep_last(table(s, d, "catalog_entries")))
 
 
+def _blocks(s: SparkSession, d: str) -> DataFrame:
+    """Each page's text with a blank line after every line, so that its lines are its blocks."""
+    c = table(s, d, "content_extractions").groupBy("page_id").agg(F.max("text").alias("text"))
+    return c.join(_pages(s, d).select("page_id", "host"), "page_id").select("host", "page_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+
+
 def boilerplate_blocks(s: SparkSession, d: str) -> DataFrame:
-    return chapters.recurrent_blocks(table(s, d, "documents"), "book_id", "doc_id", "text").select(F.col("book").alias("book_id"), F.col("h").alias("block_md5"), "n_docs")
+    return chapters.recurrent_blocks(_blocks(s, d), "host", "page_id", "text").select(F.col("book").alias("host"), F.col("h").alias("block_md5"), "n_docs")
 
 
 def boilerplate_removed(s: SparkSession, d: str) -> DataFrame:
-    r = chapters.remove_recurrent(table(s, d, "documents"), "book_id", "doc_id", "text")
-    return r.select(F.col("doc").alias("doc_id"), F.length("text").cast("bigint").alias("n_left"), F.md5("text").alias("text_md5"), "emptied")
+    r = chapters.remove_recurrent(_blocks(s, d), "host", "page_id", "text")
+    return r.select(F.col("doc").alias("page_id"), F.length("text").cast("bigint").alias("n_left"), F.md5("text").alias("text_md5"), "emptied")
 
 
 def clean_lines(s: SparkSession, d: str) -> DataFrame:
@@ -298,12 +333,28 @@ def metadata_extract(s: SparkSession, d: str) -> DataFrame:
 
 
 def nav_best(s: SparkSession, d: str) -> DataFrame:
-    p = _pages(s, d)
-    return navigation.best_links(navigation.link_scores(dom.anchors(dom.dom(p)), p))
+    return _links(s, d)[1]
+
+
+def nav_captured(s: SparkSession, d: str) -> DataFrame:
+    """The links that the captured pages have."""
+    return _walk_inputs(s, d)[2]
+
+
+def _list_anchors(s: SparkSession, d: str) -> DataFrame:
+    """Entries as the anchors of the list page they were read from; volumes are the holders of their entries."""
+    e = table(s, d, "catalog_entries").where("source_page_url IS NOT NULL AND url IS NOT NULL")
+    ids = e.groupBy("source_page_url").agg(F.min("entry_id").alias("page_id"))
+    v = F.coalesce(F.length("volume"), F.lit(0))
+    return e.join(ids, "source_page_url").select("page_id", F.col("entry_id").cast("int").alias("idx"), F.col("title").alias("text"), F.col("url").alias("href"), F.lit(0).alias("p1"), v.alias("p2"), (v % 3).alias("p3"), F.lit(0).alias("p4"))
 
 
 def catalog_cluster(s: SparkSession, d: str) -> DataFrame:
-    return catalog.clusters(dom.anchors(materialize(dom.dom(_pages(s, d)))))
+    return catalog.clusters(_list_anchors(s, d))
+
+
+def catalog_detect(s: SparkSession, d: str) -> DataFrame:
+    return catalog.detect(_list_anchors(s, d)).select("page_id", "idx", "confidence")
 
 
 def collapsed_lists(s: SparkSession, d: str) -> DataFrame:
@@ -358,7 +409,7 @@ def table_violations(s: SparkSession, d: str) -> DataFrame:
 def page_walks(s: SparkSession, d: str) -> DataFrame:
     e = _kept(s, d).select("book_id", F.col("norm_url").alias("u"), urls.page_number(F.col("url")).alias("no"), urls.directory(F.col("url")).alias("dir")).where("no IS NOT NULL")
     st = e.alias("a").join(e.alias("b"), (F.col("a.book_id") == F.col("b.book_id")) & (F.col("a.dir") == F.col("b.dir")) & (F.col("b.no") == F.col("a.no") + 1)).select(F.col("a.u").alias("src"), F.col("b.u").alias("dst"))
-    return graph.walk_pages(_kept(s, d).select(F.col("norm_url").alias("page")).distinct(), st)
+    return graph.walk_pages(_kept(s, d).select(F.col("norm_url").alias("page")).distinct(), st, walks.MAX_CATALOG_PAGES)
 
 
 def _walk_inputs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -381,17 +432,17 @@ def catalog_page_find(s: SparkSession, d: str) -> DataFrame:
 
 
 def chapter_traversal(s: SparkSession, d: str) -> DataFrame:
-    p, _, links = _walk_inputs(s, d)
+    p, links = _links(s, d)
     return walks.traverse(links, p)
 
 
 def graph_cycles(s: SparkSession, d: str) -> DataFrame:
-    p, _, links = _walk_inputs(s, d)
+    p, links = _links(s, d)
     return graph.on_cycles(walks.chapter_edges(links, p))
 
 
 def reciprocal_links(s: SparkSession, d: str) -> DataFrame:
-    p, _, links = _walk_inputs(s, d)
+    p, links = _links(s, d)
     return walks.reciprocal(links, p)
 
 
@@ -408,8 +459,8 @@ def queries() -> dict[str, Query]:
         "profile_by_host": profile_by_host, "profile_check": profile_check, "graph_next_edges": graph_next_edges, "graph_ends": graph_ends, "graph_reading_order": graph_reading_order,
         "graph_cycles": graph_cycles, "catalog_precision_recall": catalog_precision_recall, "metric_rollup": metric_rollup, "confusion_matrix": confusion_matrix,
         "failure_distribution": failure_distribution, "safe_filenames": safe_filenames, "encoding_decision": encoding_decision, "text_agreement": text_agreement, "dom_lines": dom_lines,
-        "content_pick": content_pick, "content_deep": content_deep, "page_type_scores": page_type_scores, "metadata_extract": metadata_extract, "nav_best": nav_best,
-        "catalog_cluster": catalog_cluster, "collapsed_lists": collapsed_lists, "analyze_pages": analyze_pages, "book_chapters": book_chapters, "exported_books": exported_books,
+        "content_pick": content_pick, "content_deep": content_deep, "page_type_scores": page_type_scores, "metadata_extract": metadata_extract, "nav_best": nav_best, "nav_captured": nav_captured,
+        "catalog_cluster": catalog_cluster, "catalog_detect": catalog_detect, "collapsed_lists": collapsed_lists, "analyze_pages": analyze_pages, "book_chapters": book_chapters, "exported_books": exported_books,
         "book_diagnostics": book_diagnostics, "export_bodies": export_bodies, "capture_requests": capture_requests, "captures_latest": captures_latest,
         "capture_incomplete": capture_incomplete, "table_violations": table_violations, "page_walks": page_walks, "chapter_page_merge": chapter_page_merge,
         "catalog_page_find": catalog_page_find, "chapter_traversal": chapter_traversal, "reciprocal_links": reciprocal_links,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from folio.functions import titles
+import re
+
+from folio.functions import textclean, titles
 from folio.operators import content, evaluate, metadata
 
 _CN = "零〇一二两三四五六七八九十百千万亿"
@@ -116,12 +118,13 @@ def _status() -> str:
     rules = [
         ("code IN (404, 410)", "NOT_FOUND", 0.95), ("code = 401", "LOGIN_REQUIRED", 0.80),
         (f"code IN (403, 429, 503) AND (contains(server, 'cloudflare') OR {_contains('low', content.BOT_MARKS)})", "ANTI_BOT", 0.80), ("code IN (403, 429, 503)", "ACCESS_RESTRICTED", 0.70),
-        *[(f"n <= 500 AND {_contains('low', words)}", k, c) for k, c, words in content.PHRASES], ("n = 0", "EMPTY_CONTENT", 0.85), ("n < 200", "EMPTY_CONTENT", 0.60),
+        *[(f"n <= 500 AND {_contains('low', words)}", k, c) for k, c, words in content.PHRASES], ("n = 0", "EMPTY_CONTENT", 0.85), ("n < 200 AND starved", "EMPTY_CONTENT", 0.70), ("n < 200", "EMPTY_CONTENT", 0.60), ("starved", "EMPTY_CONTENT", 0.55),
     ]
     a = " ".join(f"WHEN {w} THEN '{k}'" for w, k, _ in rules)
     b = " ".join(f"WHEN {w} THEN {c}" for w, _, c in rules)
-    return f"""WITH {_LEN}, p AS (SELECT page_id, coalesce(status_code, 200) AS code, lower(html) AS low, lower(coalesce(headers['server'], '')) AS server, coalesce(n, 0) AS n FROM fetched_pages LEFT JOIN lens USING (page_id))
-SELECT page_id, CASE {a} ELSE 'CONTENT_OK' END AS status, CAST(CASE {b} ELSE 0.8 END AS DOUBLE) AS confidence FROM p"""
+    return f"""WITH {_LEN}, p AS (SELECT page_id, coalesce(status_code, 200) AS code, lower(html) AS low, lower(coalesce(headers['server'], '')) AS server, coalesce(n, 0) AS n, host FROM fetched_pages LEFT JOIN lens USING (page_id)),
+m AS (SELECT host, floor(median(n)) AS med FROM p WHERE host IS NOT NULL GROUP BY host), s AS (SELECT p.*, coalesce(med >= 1000 AND n < 0.2 * med, false) AS starved FROM p LEFT JOIN m USING (host))
+SELECT page_id, CASE {a} ELSE 'CONTENT_OK' END AS status, CAST(CASE {b} ELSE 0.8 END AS DOUBLE) AS confidence FROM s"""
 
 
 def _template(t: str) -> str:
@@ -143,12 +146,52 @@ _KEPT = f"""kept AS (SELECT book_id, norm_url, entry_id, title, url, dom_index F
   row_number() OVER (PARTITION BY book_id, {norm_url('url')} ORDER BY coalesce(dom_index, -1) DESC, entry_id DESC) AS rn FROM catalog_entries WHERE book_id IS NOT NULL AND url IS NOT NULL) WHERE rn = 1)"""
 _SQUEEZE = r"regexp_replace(x, '[\s\p{Z}]+', '', 'g')"
 _BLOCKS = r"list_filter(list_transform(regexp_split_to_array(text, '\r?\n[\s　]*\r?\n'), lambda x: trim(x, ' ')), lambda x: x <> '')"
-_REC = f"""d AS (SELECT book_id, doc_id, text FROM documents WHERE book_id IS NOT NULL AND text IS NOT NULL), n AS (SELECT book_id, count(DISTINCT doc_id) AS n FROM d GROUP BY book_id),
+_REC = f"""docs AS (SELECT host AS book_id, page_id AS doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM (SELECT page_id, max(text) AS text FROM content_extractions GROUP BY page_id) JOIN fetched_pages USING (page_id)),
+d AS (SELECT book_id, doc_id, text FROM docs WHERE book_id IS NOT NULL AND text IS NOT NULL), n AS (SELECT book_id, count(DISTINCT doc_id) AS n FROM d GROUP BY book_id),
 b AS (SELECT DISTINCT book_id, doc_id, unnest(list_transform(list_filter(list_transform({_BLOCKS}, lambda x: {_SQUEEZE}), lambda x: length(x) >= 60), lambda x: md5(x))) AS h FROM d),
 rec AS (SELECT book_id, h, count(*) AS n_docs FROM b GROUP BY book_id, h), r AS (SELECT book_id, h, n_docs FROM rec JOIN n USING (book_id) WHERE n >= 3 AND n_docs >= greatest(3, (n + 9) // 10))"""
-_EDGES = f"""{_KEPT}, o AS (SELECT book_id, entry_id, row_number() OVER (PARTITION BY book_id ORDER BY dom_index NULLS FIRST, entry_id) AS pos FROM kept), m AS (SELECT * FROM o WHERE pos <= 2000),
+_EDGES = f"""{_KEPT}, o AS (SELECT book_id, entry_id, row_number() OVER (PARTITION BY book_id ORDER BY dom_index NULLS FIRST, entry_id) AS pos FROM kept), m AS (SELECT * FROM o),
 e AS (SELECT book_id, entry_id AS src, lead(entry_id) OVER (PARTITION BY book_id ORDER BY pos) AS dst FROM m)"""
 
+
+# -- links and lists -------------------------------------------------------------------------------
+
+
+def _step(step: int) -> str:
+    hit = f"there = here + {step}" if step else "false"
+    return f"CASE WHEN self THEN 0.0 ELSE greatest(0.0, least(0.95, 0.62 + CASE WHEN same THEN 0.10 ELSE 0.0 END + CASE WHEN there IS NOT NULL AND here IS NOT NULL THEN CASE WHEN {hit} THEN 0.15 ELSE -0.10 END WHEN there IS NOT NULL AND same THEN -0.10 ELSE 0.0 END)) END"
+
+
+_WS = "' ' || chr(9) || chr(10) || chr(12) || chr(13)"
+_NAV = f"""e AS (SELECT entry_id AS page_id, book_id, url, source_page_url, lead(url) OVER w AS nu, lag(url) OVER w AS pu FROM catalog_entries WHERE book_id IS NOT NULL AND url IS NOT NULL WINDOW w AS (PARTITION BY book_id ORDER BY dom_index NULLS FIRST, entry_id)),
+a AS (SELECT page_id, url, 0 AS idx, 'NEXT_CHAPTER' AS relation, nu AS target FROM e UNION ALL SELECT page_id, url, 1, 'PREVIOUS_CHAPTER', pu FROM e WHERE page_id % 5 <> 0 UNION ALL SELECT page_id, url, 2, 'CATALOG_LINK', source_page_url FROM e
+  UNION ALL SELECT page_id, url, 3, 'NEXT_PAGE', nu FROM e WHERE page_id % 4 = 0 UNION ALL SELECT page_id, url, 4, 'NEXT_PAGE', nu FROM e WHERE page_id % 6 = 0),
+tr AS (SELECT page_id, idx, relation, trim(url, {_WS}) AS url, trim(target, {_WS}) AS target FROM a WHERE target IS NOT NULL AND target <> ''),
+f AS (SELECT *, {directory('url')} = {directory('target')} AS same, {page_no('url')} AS here, {page_no('target')} AS there, {norm_url('url')} = {norm_url('target')} AS self, rtrim(regexp_replace(url, '/+$', '')) = rtrim(regexp_replace(target, '/+$', '')) AS bare FROM tr),
+sc AS (SELECT page_id, idx, relation, target, CAST(CASE idx WHEN 0 THEN {_step(1)} WHEN 1 THEN {_step(-1)} WHEN 2 THEN {_step(0)}
+  WHEN 3 THEN CASE WHEN NOT same OR bare THEN 0.0 ELSE greatest(0.0, least(0.95, 0.62 + CASE WHEN here IS NOT NULL AND there IS NOT NULL THEN CASE WHEN there = here + 1 THEN 0.25 ELSE -0.15 END ELSE 0.0 END)) END
+  ELSE CASE WHEN same AND there - here = 1 THEN 0.62 ELSE 0.0 END END AS DOUBLE) AS score FROM f),
+ids AS (SELECT {norm_url('url')} AS norm, max(page_id) AS to_id FROM e GROUP BY 1),
+best AS (SELECT b.*, ids.to_id FROM (SELECT page_id, relation, target, score, row_number() OVER (PARTITION BY page_id, relation ORDER BY score DESC, idx) AS rn FROM sc WHERE score > 0) b LEFT JOIN ids ON ids.norm = {norm_url('b.target')} WHERE rn = 1),
+both_ways AS (SELECT n.page_id AS a, n.to_id AS b FROM best n JOIN best p ON n.relation = 'NEXT_CHAPTER' AND p.relation = 'PREVIOUS_CHAPTER' AND p.page_id = n.to_id AND p.to_id = n.page_id)"""
+_CHAIN = f"""{_NAV}, x AS (SELECT CASE WHEN relation = 'NEXT_CHAPTER' THEN page_id ELSE to_id END AS src, CASE WHEN relation = 'NEXT_CHAPTER' THEN to_id ELSE page_id END AS dst, score FROM best
+  WHERE relation IN ('NEXT_CHAPTER', 'PREVIOUS_CHAPTER') AND score >= 0.6 AND to_id <> page_id),
+ed AS (SELECT src, dst, max(score) + 0.1 * (count(*) - 1) AS confidence FROM x GROUP BY src, dst),
+fwd AS (SELECT src, dst, confidence FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY confidence DESC, dst) AS rn FROM ed) WHERE rn = 1),
+bk AS (SELECT dst, src FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY confidence DESC, src) AS rn FROM fwd) WHERE rn = 1),
+k AS (SELECT key, bk.src AS up FROM (SELECT src AS key FROM ed UNION SELECT dst FROM ed) LEFT JOIN bk ON bk.dst = key)"""
+_CLUSTERS = f"""z AS (SELECT *, min(entry_id) OVER (PARTITION BY source_page_url) AS page_id FROM catalog_entries WHERE source_page_url IS NOT NULL AND url IS NOT NULL), {parse('z', 'page_id, entry_id, title, url, volume', "url <> '' AND length(title) BETWEEN 1 AND 100")},
+c AS (SELECT page_id, entry_id AS idx, {directory('url')} AS dir, coalesce(length(volume), 0) AS p2, coalesce(length(volume), 0) % 3 AS p3, 0 AS p4 FROM t_parsed WHERE confidence >= 0.85),
+lv AS (SELECT page_id, min(lv) AS lv FROM (SELECT page_id, 1 AS lv FROM c GROUP BY page_id, p2 HAVING count(*) >= 5 UNION ALL SELECT page_id, 2 FROM c GROUP BY page_id, p3 HAVING count(*) >= 5 UNION ALL SELECT page_id, 3 FROM c GROUP BY page_id, p4 HAVING count(*) >= 5) GROUP BY page_id),
+kc AS (SELECT page_id, idx, dir, CASE lv WHEN 1 THEN p2 WHEN 2 THEN p3 WHEN 3 THEN p4 ELSE -1 END AS cluster FROM c LEFT JOIN lv USING (page_id)),
+dd AS (SELECT page_id, cluster, dir, count(*) AS n, min(idx) AS first FROM kc GROUP BY page_id, cluster, dir),
+dz AS (SELECT *, CAST(sum(n) OVER w AS BIGINT) AS size, min(first) OVER w AS first_idx, row_number() OVER (PARTITION BY page_id, cluster ORDER BY n DESC, first) AS rn FROM dd WINDOW w AS (PARTITION BY page_id, cluster)),
+cl AS (SELECT page_id, cluster, size, CAST(CASE WHEN size >= 30 THEN 0.55 WHEN size >= 15 THEN 0.45 WHEN size >= 8 THEN 0.30 WHEN size >= 5 THEN 0.20 ELSE 0 END + CASE WHEN dir <> '' AND n >= 0.8 * size THEN 0.10 ELSE 0 END AS DOUBLE) AS score, dir AS dominant_dir, CAST(n AS DOUBLE) / size AS dir_share, first_idx FROM dz WHERE rn = 1)"""
+_PHRASE_PAGES = ", ".join(f"({-i}, {q(f'<p>- {w} -</p>')})" for i, w in enumerate((w for _, _, words in content.PHRASES for w in words), 1))
+_NAV_SPLIT = q(textclean.NAV_SPLIT)
+_NAV_WORDS = "[" + ", ".join(map(q, textclean.NAV_TOKENS)) + "]"
+_NAV_GLUED = q("^(?:" + "|".join(sorted(map(re.escape, textclean.NAV_TOKENS), key=len, reverse=True)) + ")+$")
+
 SQL: dict[str, str] = {
     "host_link_density": f"SELECT host, count(*) AS n_pages, CAST(sum(len(a)) AS BIGINT) AS n_anchors, CAST(sum(coalesce(list_sum(list_transform(a, lambda x: length(x))), 0)) AS BIGINT) AS anchor_chars FROM (SELECT host, {_ATEXT} AS a FROM fetched_pages) GROUP BY host",
     "url_normalize": f"SELECT entry_id, {norm_url('url')} AS norm_url, {authority('url')} AS authority, {directory('url')} AS dir FROM catalog_entries",
@@ -163,7 +206,7 @@ SELECT page_id, CAST(dom_index AS INT) AS dom_index, t[dom_index + 1] AS text, h
 regexp_replace(trim(title), '^(第[\s　]*[0-9零〇一二两三四五六七八九十百千万]+[\s　]*[章节回话篇])[\s　:：\-—_(（]*[0-9]{1,4}[)）\s　:：\-—_]*$', '\1') AS no_part,
 regexp_matches(title, '[（(]\s*第\s*[0-9]+\s*页\s*[)）]|[（(]\s*[0-9]+\s*/\s*[0-9]+\s*[)）]') AS has_marker FROM chapter_title_matches""",
     "content_status": _status(),
-    "phrase_hits": " UNION ALL ".join(f"SELECT page_id, '{k}' AS category FROM fetched_pages WHERE {_contains('lower(html)', words)}" for k, _, words in content.PHRASES),
+    "phrase_hits": f"WITH p AS (SELECT page_id, html FROM fetched_pages UNION ALL SELECT * FROM (VALUES {_PHRASE_PAGES}) v(page_id, html)) " + " UNION ALL ".join(f"SELECT page_id, '{k}' AS category FROM p WHERE {_contains('lower(html)', words)}" for k, _, words in content.PHRASES),
     "metadata_best": f"""WITH p AS (SELECT page_id, {_value(_H1.format('([^<]*)'))} AS a, {_template(_TITLE.format('([^<]*)'))} AS b FROM fetched_pages)
 SELECT page_id, coalesce(a, b) AS title, CASE WHEN a IS NOT NULL THEN 'h1' WHEN b IS NOT NULL THEN 'title' END AS source, CAST(CASE WHEN a IS NOT NULL THEN 0.65 WHEN b IS NOT NULL THEN 0.45 END AS DOUBLE) AS confidence FROM p""",
     "fingerprint_jaccard": f"""WITH m AS (SELECT host, page_id, list_distinct(list_filter(list_transform({_ATEXT}, lambda x: {_NAME}), lambda x: x <> '')) AS m FROM fetched_pages WHERE host IS NOT NULL),
@@ -174,12 +217,35 @@ SELECT a_id, b_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE CAST(len(lis
         "n AS (SELECT page_id AS b_id, m AS b, lag(page_id) OVER w AS a_id, lag(m) OVER w AS a FROM m WINDOW w AS (PARTITION BY host ORDER BY page_id)) "
         "SELECT a_id, b_id, coalesce(CAST(list_sum(list_transform(list_zip(a, b), lambda x: least(x[1], x[2]))) AS DOUBLE) / nullif(list_sum(list_transform(list_zip(a, b), lambda x: greatest(x[1], x[2]))), 0), 0.0) AS sim FROM n WHERE a_id IS NOT NULL"
     ),
-    "relation_score": f"""WITH {parse('catalog_entries', 'book_id, entry_id, dom_index, url', 'book_id IS NOT NULL')},
+    "relation_score": f"""WITH {_NAV}, {parse('catalog_entries', 'book_id, entry_id, dom_index, url', 'book_id IS NOT NULL')},
 n AS (SELECT entry_id AS b_id, url AS b_url, order_token AS b_t, dom_index AS b_i, lag(entry_id) OVER w AS a_id, lag(url) OVER w AS a_url, lag(order_token) OVER w AS a_t, lag(dom_index) OVER w AS a_i FROM t_parsed WINDOW w AS (PARTITION BY book_id ORDER BY dom_index NULLS FIRST, entry_id)),
-x AS (SELECT a_id, b_id, CASE WHEN b_i > a_i THEN 1.0 WHEN b_i < a_i THEN 0.0 END AS cat, CASE WHEN b_t - a_t IS NULL THEN NULL WHEN b_t - a_t > 0 AND b_t - a_t <= 1 THEN 1.0 WHEN b_t - a_t > 1 THEN 0.4 WHEN b_t - a_t = 0 THEN 0.1 ELSE 0.0 END AS num, {url_sim('a_url', 'b_url')} AS same FROM n WHERE a_id IS NOT NULL),
-y AS (SELECT *, CAST(CASE WHEN cat IS NOT NULL THEN 0.15 ELSE 0 END + CASE WHEN num IS NOT NULL THEN 0.15 ELSE 0 END AS DOUBLE) AS w, CAST(coalesce(0.15 * cat, 0) + coalesce(0.15 * num, 0) AS DOUBLE) AS v FROM x), z AS (SELECT *, v / nullif(w, 0) AS s FROM y)
+nav AS (SELECT page_id AS a_id, to_id AS b_id, max(score) AS nav FROM best WHERE relation = 'NEXT_CHAPTER' AND to_id IS NOT NULL GROUP BY 1, 2), rec AS (SELECT DISTINCT a AS a_id, b AS b_id, 1.0 AS back FROM both_ways),
+x AS (SELECT a_id, b_id, CAST(nav AS DOUBLE) AS nav, CAST(back AS DOUBLE) AS back, CASE WHEN b_i > a_i THEN 1.0 WHEN b_i < a_i THEN 0.0 END AS cat, CASE WHEN b_t - a_t IS NULL THEN NULL WHEN b_t - a_t > 0 AND b_t - a_t <= 1 THEN 1.0 WHEN b_t - a_t > 1 THEN 0.4 WHEN b_t - a_t = 0 THEN 0.1 ELSE 0.0 END AS num,
+  {url_sim('a_url', 'b_url')} AS same FROM n LEFT JOIN nav USING (a_id, b_id) LEFT JOIN rec USING (a_id, b_id) WHERE a_id IS NOT NULL),
+y AS (SELECT *, CAST(CASE WHEN nav IS NOT NULL THEN 0.30 ELSE 0 END + CASE WHEN back IS NOT NULL THEN 0.20 ELSE 0 END + CASE WHEN cat IS NOT NULL THEN 0.15 ELSE 0 END + CASE WHEN num IS NOT NULL THEN 0.15 ELSE 0 END AS DOUBLE) AS w,
+  CAST(coalesce(0.30 * nav, 0) + coalesce(0.20 * back, 0) + coalesce(0.15 * cat, 0) + coalesce(0.15 * num, 0) AS DOUBLE) AS v FROM x), z AS (SELECT *, v / nullif(w, 0) AS s FROM y)
 SELECT a_id, b_id, coalesce(s, 0.0) AS score, CASE WHEN s >= 0.6 THEN 'A_BEFORE_B' WHEN s IS NULL OR s >= 0.4 THEN 'UNKNOWN' ELSE 'B_BEFORE_A' END AS direction,
 coalesce(s * (0.4 + 0.6 * (w / 0.8)) * CASE WHEN same IS NULL THEN 0.5 ELSE 0.6 + 0.4 * CAST(same AS DOUBLE) END, 0.0) AS confidence FROM z""",
+    "nav_best": f"WITH {_NAV} SELECT page_id, relation, target, score FROM best",
+    "reciprocal_links": f"WITH {_NAV} SELECT DISTINCT a, b FROM both_ways",
+    "chapter_traversal": f"""WITH RECURSIVE {_CHAIN}, w AS (SELECT key, key AS head, CAST(0 AS BIGINT) AS rank FROM k WHERE up IS NULL UNION ALL SELECT k.key, w.head, w.rank + 1 FROM w JOIN k ON k.up = w.key)
+SELECT k.key, w.head, w.rank, w.head IS NULL AS broken FROM k LEFT JOIN w USING (key)""",
+    "graph_cycles": f"""WITH RECURSIVE {_CHAIN}, w AS (SELECT src AS start, dst AS here FROM fwd UNION SELECT w.start, fwd.dst FROM w JOIN fwd ON fwd.src = w.here WHERE w.here <> w.start) SELECT DISTINCT start AS key FROM w WHERE here = start""",
+    "page_walks": f"""WITH RECURSIVE {_KEPT}, x AS (SELECT book_id, norm_url AS u, {page_no('url')} AS no, {directory('url')} AS dir FROM kept WHERE {page_no('url')} IS NOT NULL),
+st AS (SELECT a.u AS src, min(b.u) AS dst FROM x a JOIN x b ON a.book_id = b.book_id AND a.dir = b.dir AND b.no = a.no + 1 WHERE a.u <> b.u GROUP BY a.u),
+w AS (SELECT DISTINCT norm_url AS start, 1 AS pos, norm_url AS page, [norm_url] AS seen FROM kept UNION ALL SELECT w.start, pos + 1, st.dst, list_append(seen, st.dst) FROM w JOIN st ON st.src = w.page WHERE pos < 20 AND NOT list_contains(seen, st.dst))
+SELECT start, pos, page FROM w""",
+    "catalog_cluster": f"WITH {_CLUSTERS} SELECT page_id, cluster, size, score, dominant_dir, dir_share, first_idx FROM cl",
+    "catalog_detect": f"""WITH {_CLUSTERS}, best AS (SELECT page_id, score AS best, dominant_dir FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, size DESC, first_idx) AS rn FROM cl) WHERE rn = 1),
+kp AS (SELECT page_id, cluster, best, sum(size) OVER (PARTITION BY page_id) AS n FROM cl JOIN best USING (page_id, dominant_dir) WHERE score >= 0.20)
+SELECT page_id, idx, least(0.95, best + 0.15) AS confidence FROM kc JOIN kp USING (page_id, cluster) WHERE n >= 5""",
+    "book_diagnostics": f"""WITH {_KEPT}, {parse('kept', 'book_id')}, t AS (SELECT DISTINCT book_id, CAST(floor(order_token) AS BIGINT) AS n FROM t_parsed WHERE order_token >= 1),
+m AS (SELECT book_id, max(n) - min(n) + 1 - count(*) AS missing FROM t GROUP BY book_id), c AS (SELECT book_id, count(*) AS n FROM kept GROUP BY book_id)
+SELECT book_id, n, CAST(coalesce(missing, 0) AS BIGINT) AS missing, CASE WHEN n = 1 THEN 1 ELSE 0 END AS orphans, false AS broken FROM c LEFT JOIN m USING (book_id)""",
+    "line_kinds": f"""WITH c AS (SELECT DISTINCT page_id, text FROM content_extractions WHERE text IS NOT NULL), l AS (SELECT page_id, regexp_replace(unnest(string_split(text, chr(10))), '^[\\s\\x{{3000}}\\x{{A0}}]+|[\\s\\x{{3000}}\\x{{A0}}]+$', '', 'g') AS line FROM c),
+w AS (SELECT page_id, line, lower(line) AS low, list_filter(regexp_split_to_array(lower(line), {_NAV_SPLIT}), lambda x: x <> '') AS tokens FROM l WHERE line <> '')
+SELECT page_id, count(*) AS n_lines, count(*) FILTER (length(line) <= 30 AND (list_contains({_NAV_WORDS}, regexp_replace(low, '^' || {_NAV_SPLIT} || '|' || {_NAV_SPLIT} || '$', '', 'g')) OR regexp_matches(low, {_NAV_GLUED}) OR (len(tokens) > 0 AND len(list_filter(tokens, lambda x: NOT list_contains({_NAV_WORDS}, x))) = 0))) AS n_nav,
+  count(*) FILTER (length(line) <= 100 AND regexp_matches(line, {q("|".join(textclean.SITE_PROMPTS))})) AS n_prompt, count(*) FILTER (length(line) <= 12 AND regexp_matches(line, '^[0-9\\s　/页第\\-_（()）.]+$')) AS n_number FROM w GROUP BY page_id""",
     "catalog_dominant_dir": f"""WITH g AS (SELECT source_page_url, {directory('url')} AS dir, count(*) AS n, min(struct_pack(a := dom_index, b := entry_id)) AS first FROM catalog_entries WHERE source_page_url IS NOT NULL GROUP BY 1, 2),
 t AS (SELECT *, sum(n) OVER (PARTITION BY source_page_url) AS size, row_number() OVER (PARTITION BY source_page_url ORDER BY n DESC, first) AS rn FROM g)
 SELECT source_page_url, CAST(size AS BIGINT) AS size, dir AS dominant_dir, CAST(CASE WHEN size >= 30 THEN 0.55 WHEN size >= 15 THEN 0.45 WHEN size >= 8 THEN 0.30 WHEN size >= 5 THEN 0.20 ELSE 0 END + CASE WHEN dir <> '' AND n >= 0.8 * size THEN 0.10 ELSE 0 END AS DOUBLE) AS score FROM t WHERE rn = 1""",
@@ -199,13 +265,13 @@ f AS (SELECT book_id, min(pos) AS seam FROM s GROUP BY book_id), c AS (SELECT bo
 SELECT book_id, entry_id, CAST(pos AS INT) AS pos, CAST(seam AS INT) AS seam, CAST(CASE WHEN seam IS NULL THEN pos WHEN pos > seam THEN pos - seam ELSE pos + n - seam END AS INT) AS new_pos FROM e JOIN c USING (book_id) LEFT JOIN f USING (book_id)""",
     "catalog_gaps": f"""WITH {_KEPT}, {parse('kept', 'book_id')}, t AS (SELECT DISTINCT book_id, CAST(floor(order_token) AS BIGINT) AS n FROM t_parsed WHERE order_token >= 1),
 w AS (SELECT book_id, lag(n) OVER (PARTITION BY book_id ORDER BY n) + 1 AS lo, n - 1 AS hi FROM t) SELECT book_id, lo, hi FROM w WHERE lo <= hi""",
-    "boilerplate_blocks": f"WITH {_REC} SELECT book_id, h AS block_md5, n_docs FROM r",
+    "boilerplate_blocks": f"WITH {_REC} SELECT book_id AS host, h AS block_md5, n_docs FROM r",
     "boilerplate_removed": f"""WITH {_REC}, h AS (SELECT d.doc_id, list(DISTINCT r.h) AS cut FROM (SELECT book_id, doc_id, unnest(list_transform({_BLOCKS}, lambda x: md5({_SQUEEZE}))) AS h FROM d) d JOIN r USING (book_id, h) GROUP BY d.doc_id),
-k AS (SELECT o.doc_id, CASE WHEN cut IS NULL THEN text ELSE array_to_string(list_filter({_BLOCKS}, lambda x: NOT list_contains(cut, md5({_SQUEEZE}))), chr(10) || chr(10)) END AS text, cut FROM documents o LEFT JOIN h USING (doc_id))
-SELECT doc_id, length(text) AS n_left, md5(text) AS text_md5, cut IS NOT NULL AND text = '' AS emptied FROM k""",
+k AS (SELECT o.doc_id, CASE WHEN cut IS NULL THEN text ELSE array_to_string(list_filter({_BLOCKS}, lambda x: NOT list_contains(cut, md5({_SQUEEZE}))), chr(10) || chr(10)) END AS text, cut FROM docs o LEFT JOIN h USING (doc_id))
+SELECT doc_id AS page_id, length(text) AS n_left, md5(text) AS text_md5, cut IS NOT NULL AND text = '' AS emptied FROM k""",
     "duplicate_content_pages": r"""WITH p AS (SELECT host, page_id, regexp_replace(text, '[\s\p{Z}]+', '', 'g') AS t FROM content_extractions JOIN fetched_pages USING (page_id) WHERE host IS NOT NULL)
 SELECT host, md5(t) AS hash, count(DISTINCT page_id) AS n_pages, min(page_id) AS first_page FROM p WHERE length(t) >= 300 GROUP BY host, md5(t) HAVING count(DISTINCT page_id) > 1""",
-    "part_merge": """WITH c AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY order_token NULLS FIRST, match_id) AS pos FROM chapter_title_matches WHERE book_id IS NOT NULL), d AS (SELECT * FROM c WHERE pos <= 2000),
+    "part_merge": """WITH c AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY order_token NULLS FIRST, match_id) AS pos FROM chapter_title_matches WHERE book_id IS NOT NULL), d AS (SELECT * FROM c),
 e AS (SELECT *, CASE WHEN coalesce(sub_number IS NOT NULL AND lag(sub_number) OVER w IS NOT NULL AND floor(chapter_number) = lag(floor(chapter_number)) OVER w AND sub_number > lag(sub_number) OVER w, false) THEN 0 ELSE 1 END AS new FROM d WINDOW w AS (PARTITION BY book_id ORDER BY pos)),
 f AS (SELECT *, sum(new) OVER (PARTITION BY book_id ORDER BY pos) AS run FROM e)
 SELECT book_id, CAST(min(pos) AS INT) AS first_pos, count(*) AS n_parts, arg_min(title, pos) AS title, count(*) > 1 AS merged FROM f GROUP BY book_id, run""",
