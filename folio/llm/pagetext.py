@@ -49,17 +49,17 @@ def blocks(html: str) -> list[Block]:
             text, links = [], 0
 
     for m in _TOKEN.finditer(html):
-        t = m.group(4)
-        if t is not None:
+        kind = m.lastindex  # the last group that matched: 4 a text, 3 a tag
+        if kind == 4:
+            t = m[4]
             text.append(t)
             if in_link:
                 links += len(t)
             continue
-        name = m.group(3)
-        if name is None:
+        if kind != 3:
             continue
+        close, name = m.group(2, 3)
         name = name.lower()
-        close = m.group(2)
         if name == "a":
             in_link = 0 if close else 1
             continue
