@@ -16,9 +16,8 @@ _ODD = re.compile("[\x80-\x9f�ㄛ﹝偟傪]|[\xa0-\xff]{3}")
 _GB_UTF8 = re.compile(rb"(?:[\xe2-\xef][\x80-\xbf]{2}|[\xd0\xd1][\x80-\xbf]){3}")
 _CJK = re.compile("[぀-鿿]")
 _KOI = re.compile("[а-я][А-Я]{2}")
-_COMMON = re.compile("[、-〠぀-ヿ！-？一-鿿А-яёà-öø-ü‘’“”–—…«»·À-É]")
-_CYRILLIC = re.compile("[Ѐ-ӿ]")
-_HIGH = re.compile(r"[^\x00-\x7f]")
+_COMMON = re.compile("[、-〠぀-ヿ！-？一-鿿А-яёà-öø-ü‘’“”–—…«»·À-É]+")
+_CYRILLIC = re.compile("[Ѐ-ӿ]+")
 
 
 _RUN = re.compile(r"[^\x00-\x7f]+")
@@ -39,16 +38,17 @@ def damaged(text: str) -> bool:
 @lru_cache(20_000)
 def fix(line: str) -> str:
     """The line as it was, if a reading makes its characters common; else the line."""
-    high = len(_HIGH.findall(line))
+    high = _high(line)
     if not high:
         return line
-    cyrillic = 2 * len(_CYRILLIC.findall(line)) > high
-    best, key, fewest = line, _share(line), high
+    cyrillic = 2 * _length(_CYRILLIC, line) > high
+    best, key, fewest = line, _share(line, high), high
     for r, chain in candidates(line, 2):
-        k, n = _share(r), len(_HIGH.findall(r))
         utf8 = "utf-8" in chain
         if cyrillic and not chain.endswith(("utf-8", "utf-8*", "koi8_r", "cp1251")):
             continue  # any Cyrillic word is also pairs of bytes of some East Asian encoding
+        n = _high(r)
+        k = _share(r, n)
         # bytes of a multi-byte encoding that happen to be strict UTF-8 are hardly chance in four characters
         sure = utf8 and chain.split(">")[0] in MULTI and chain.endswith("utf-8") and high >= 4 and " " not in chain
         if k > key + 0.05 or (utf8 and k >= key - 0.2 and n < 0.8 * fewest) or (sure and best is line):
@@ -56,7 +56,15 @@ def fix(line: str) -> str:
     return best
 
 
-def _share(s: str) -> float:
+def _high(s: str) -> int:
+    """Characters beyond ASCII."""
+    return len(s) - len(s.encode("ascii", "ignore"))
+
+
+def _length(p: re.Pattern, s: str) -> int:
+    return sum(map(len, p.findall(s)))
+
+
+def _share(s: str, high: int) -> float:
     """Share of common characters among those beyond ASCII; words with the case turned over are uncommon."""
-    high = len(_HIGH.findall(s))
-    return 1.0 if not high else (len(_COMMON.findall(s)) - 3 * len(_KOI.findall(s))) / high
+    return 1.0 if not high else (_length(_COMMON, s) - 3 * len(_KOI.findall(s))) / high
