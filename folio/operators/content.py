@@ -80,7 +80,14 @@ def _explain(n: Column, ratio: Column) -> tuple[Column, Column]:
 
 
 def pick_content(d: DataFrame) -> DataFrame:
-    """(page_id, node_id, tag, text, score, confidence, link_ratio, anchored, positives, penalties, deep) of each page's content.
+    """(page_id, node_id, ...): each page's content, see with_pick."""
+    return with_pick(d, []).select("page_id", "pick.*")
+
+
+def with_pick(d: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Pages as ``d`` has them (or its columns ``keep``) with their content as a struct pick, without a shuffle.
+
+    (node_id, tag, text, score, confidence, link_ratio, anchored, positives, penalties, deep).
 
     The deepest container of a chapter title with prose wins; else the densest
     candidate, a deeper one among the next five within 0.02; else the whole body
@@ -88,6 +95,7 @@ def pick_content(d: DataFrame) -> DataFrame:
     deep is the densest of the first containers over looser thresholds, null if there
     is none; its text is null if it is the picked node.
     """
+    keep = [c for c in (d.columns if keep is None else keep) if c != "page_id"]
     s = scored_nodes(d)
     cand = F.filter("scored", lambda x: x["n"]["tag"].isin("div", "article", "main", "section") & (x["n"]["text_len"] >= 50) & (x["score"] > 0.15))
     s = s.withColumn("cand", cand)
@@ -107,15 +115,16 @@ def pick_content(d: DataFrame) -> DataFrame:
     n, ratio = F.col("best.n"), F.col("best.link_ratio")
     good, bad = _explain(n, ratio)
     empty = F.coalesce(n["text_len"], F.lit(0)) == 0
-    return s.select(
-        "page_id", n["node_id"].alias("node_id"), n["tag"].alias("tag"), F.coalesce(node_text(n), F.lit("")).alias("text"), F.col("best.score").alias("score"),
+    # let: a struct that is only bound would be taken apart and computed again for each use of a field
+    return s.select("page_id", *keep, let(F.struct(
+        n["node_id"].alias("node_id"), n["tag"].alias("tag"), F.coalesce(node_text(n), F.lit("")).alias("text"), F.col("best.score").alias("score"),
         F.when(empty, 0.0).when(F.col("fallback"), 0.35).otherwise(0.40 + 0.55 * F.col("best.score")).alias("confidence"), ratio.alias("link_ratio"),
         F.col("by_depth").isNotNull().alias("anchored"), good.alias("positives"), bad.alias("penalties"), n["sibling_len"].alias("sibling_len"), n["near_h1"].alias("near_h1"), n["text_len"].alias("text_len"),
         F.when(F.col("again").isNotNull(), F.struct(
             F.col("again.n.tag").alias("tag"), F.when(F.col("again.n.node_id") != n["node_id"], node_text(F.col("again.n"))).alias("text"), F.col("again.score").alias("score"),
             F.col("again.n.sibling_len").alias("sibling_len"), F.col("again.n.near_h1").alias("near_h1"), F.col("again.n.text_len").alias("text_len"),
         )).alias("deep"),
-    )
+    ), lambda x: x).alias("pick"))
 
 
 def deep_confidence(picked: DataFrame) -> DataFrame:
@@ -155,8 +164,11 @@ def _longest_run(ids: Column) -> Column:
     return F.aggregate(F.array_sort(ids), zero, step, lambda a: a["m"])
 
 
-def page_features(d: DataFrame, picked: DataFrame) -> DataFrame:
-    """The features page types are scored by."""
+def page_features(d: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The features page types are scored by, and the columns ``keep``, without a shuffle; picks content first if ``d`` has no pick."""
+    keep = keep or []
+    if "pick" not in d.columns:
+        d = with_pick(d)
     texts = F.filter("anchors", lambda a: a["text"] != "")
     like = F.filter("anchors", lambda a: strong_title(a["text"]))
     h1 = F.coalesce(F.try_element_at(F.filter("headings", lambda h: h["level"] == 1), F.lit(1))["text"], F.lit(""))
@@ -166,18 +178,17 @@ def page_features(d: DataFrame, picked: DataFrame) -> DataFrame:
         F.exists(texts, lambda a: a["text"].contains(CATALOG_WORD)).alias("catalog_marker"), like.alias("like"), h1.alias("h1_text"), strong_title(h1).alias("h1_is_chapter"),
         (F.exists("metas", lambda m: (m["name"] == "description") & (m["content"] != "")) | contains_any(F.left("page_text", F.lit(3000)), INTRO_WORDS)).alias("has_intro"),
         contains_any(F.left("page_text", F.lit(5000)), AUTHOR_LABELS).alias("has_author_label"),
+        F.length("pick.text").alias("content_len"), F.col("pick.confidence").alias("content_conf"), *keep,
     )
     p1, p2 = F.transform("like", lambda a: a["p1"]), F.transform("like", lambda a: a["p2"])
-    base = base.select(
+    return base.select(
         "*", F.size("like").alias("chapter_links"), F.greatest(_longest_run(p1), _longest_run(p2)).alias("cluster"),
         F.when(F.col("total_len") > 0, F.col("link_len") / F.col("total_len")).otherwise(F.lit(0.0)).alias("link_ratio"),
     ).drop("like")
-    c = picked.select("page_id", F.length("text").alias("content_len"), F.col("confidence").alias("content_conf"))
-    return base.join(c, "page_id")
 
 
-def page_types(features: DataFrame) -> DataFrame:
-    """(page_id, chapter, catalog, book, page_type, confidence): argmax of three scores, UNKNOWN below 0.5 or with a lead below 0.05."""
+def page_types(features: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(page_id, chapter, catalog, book, page_type, confidence, ``keep``): argmax of three scores, UNKNOWN below 0.5 or with a lead below 0.05."""
     def pts(*rules: tuple[Column, float]) -> Column:
         out = F.lit(None)
         for cond, v in reversed(rules):
@@ -200,24 +211,29 @@ def page_types(features: DataFrame) -> DataFrame:
         + pts((c("chapter_links") <= 5, 0.10)) + pts((c("content_len").between(200, 2500), 0.10))
     )
     clamp = lambda x, top: F.greatest(F.lit(0.0), F.least(F.lit(top), x))
-    s = features.select("page_id", clamp(chapter, 0.95).alias("chapter"), clamp(catalog, 0.95).alias("catalog"), clamp(book, 0.85).alias("book"))
+    keep = keep or []
+    s = features.select("page_id", *keep, clamp(chapter, 0.95).alias("chapter"), clamp(catalog, 0.95).alias("catalog"), clamp(book, 0.85).alias("book"))
     order = F.reverse(F.array_sort(F.array(*[
         F.struct(F.col(n).alias("s"), F.lit(k).alias("k"), F.lit(t).alias("t")) for n, k, t in (("chapter", 3, "CHAPTER_PAGE"), ("catalog", 2, "CATALOG_PAGE"), ("book", 1, "BOOK_PAGE"))
     ])))
     s = s.withColumn("o", order)
     unsure = (F.col("o")[0]["s"] < 0.5) | (F.col("o")[0]["s"] - F.col("o")[1]["s"] < 0.05)
-    return s.select("page_id", "chapter", "catalog", "book", F.when(unsure, F.lit("UNKNOWN")).otherwise(F.col("o")[0]["t"]).alias("page_type"), F.col("o")[0]["s"].alias("confidence"))
+    return s.select("page_id", "chapter", "catalog", "book", F.when(unsure, F.lit("UNKNOWN")).otherwise(F.col("o")[0]["t"]).alias("page_type"), F.col("o")[0]["s"].alias("confidence"), *keep)
 
 
 def trimmed_length(text: Column) -> Column:
     return F.length(F.btrim(text, F.lit(" \t\r\n　")))
 
 
-def access_status(status_code: Column, server: Column, html: Column, page_text: Column, content: Column, content_conf: Column, neighbours: Column) -> Column:
-    """Struct (status, confidence): HTTP verdict, then phrases of short pages, then length, also against the neighbours' median."""
-    n = trimmed_length(content)
-    low = F.lower(html)
+def access_marks(server: Column, html: Column, page_text: Column) -> Column:
+    """Struct (bot, phrases): what a page itself says on its access; all that access_from needs of it."""
+    low, text = F.lower(html), F.lower(page_text)
     bot = F.lower(F.coalesce(server, F.lit(""))).contains("cloudflare") | contains_any(low, BOT_MARKS)
+    return F.struct(F.coalesce(bot, F.lit(False)).alias("bot"), F.array(*[F.coalesce(contains_any(text, words), F.lit(False)) for _, _, words in PHRASES]).alias("phrases"))
+
+
+def access_from(status_code: Column, marks: Column, n: Column, content_conf: Column, neighbours: Column) -> Column:
+    """Struct (status, confidence): HTTP verdict, then phrases of short pages, then the length n, also against the neighbours' median."""
     starved = F.coalesce((neighbours >= 1000) & (n < 0.2 * neighbours), F.lit(False))
 
     def v(status: str, conf: Column | float) -> Column:
@@ -225,12 +241,16 @@ def access_status(status_code: Column, server: Column, html: Column, page_text:
 
     out = (
         F.when(status_code.isin(404, 410), v("NOT_FOUND", 0.95)).when(status_code == 401, v("LOGIN_REQUIRED", 0.80))
-        .when(status_code.isin(403, 429, 503) & bot, v("ANTI_BOT", 0.80)).when(status_code.isin(403, 429, 503), v("ACCESS_RESTRICTED", 0.70))
+        .when(status_code.isin(403, 429, 503) & marks["bot"], v("ANTI_BOT", 0.80)).when(status_code.isin(403, 429, 503), v("ACCESS_RESTRICTED", 0.70))
     )
-    text = F.lower(page_text)
-    for status, conf, words in PHRASES:
-        out = out.when((n <= 500) & contains_any(text, words), v(status, conf))
+    for i, (status, conf, _) in enumerate(PHRASES):
+        out = out.when((n <= 500) & marks["phrases"][i], v(status, conf))
     return (
         out.when(n == 0, v("EMPTY_CONTENT", 0.85)).when((n < 200) & starved, v("EMPTY_CONTENT", 0.70)).when(n < 200, v("EMPTY_CONTENT", 0.60))
         .when(starved, v("EMPTY_CONTENT", 0.55)).otherwise(v("CONTENT_OK", F.greatest(F.lit(0.60), F.least(F.lit(0.95), content_conf))))
     )
+
+
+def access_status(status_code: Column, server: Column, html: Column, page_text: Column, content: Column, content_conf: Column, neighbours: Column) -> Column:
+    """As access_from, from the page and its content themselves."""
+    return access_from(status_code, access_marks(server, html, page_text), trimmed_length(content), content_conf, neighbours)

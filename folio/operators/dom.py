@@ -244,17 +244,20 @@ def record(page_id: int, html: str) -> dict:
     }
 
 
-def dom(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """One row per page with html; see DDL. Null html or id: no row."""
-    src = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(html_col).alias("html")).where("page_id IS NOT NULL AND html IS NOT NULL")
+def dom(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
+    """One row per page with html; see DDL. Columns ``keep`` of the pages pass through as they are. Null html or id: no row."""
+    keep = keep or []
+    src = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(html_col).alias("html"), *[F.col(c).alias(f"__{c}") for c in keep]).where("page_id IS NOT NULL AND html IS NOT NULL")
+    kinds = "".join(f", `{f.name.removeprefix('__')}` {f.dataType.simpleString()}" for f in src.schema.fields[2:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 100):
                 part = b.slice(at, 100)
-                yield pa.RecordBatch.from_pylist([record(i, h) for i, h in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)], schema=SCHEMA)
+                made = pa.RecordBatch.from_pylist([record(i, h) for i, h in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)], schema=SCHEMA)
+                yield pa.RecordBatch.from_arrays([*made.columns, *part.columns[2:]], names=[*SCHEMA.names, *keep])
 
-    return src.mapInArrow(run, DDL)
+    return src.mapInArrow(run, DDL + kinds)
 
 
 def lines(d: DataFrame) -> DataFrame:

@@ -42,8 +42,8 @@ def _ld(path: str) -> Column:
     return F.try_element_at(F.filter(F.transform("json_ld", pick), lambda x: x.isNotNull()), F.lit(1))
 
 
-def metadata(d: DataFrame) -> DataFrame:
-    """(page_id, book_title, title_source, title_confidence, author, author_source, author_confidence, description, cover_url, volume_title)."""
+def metadata(d: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(page_id, ``keep``, book_title, title_source, title_confidence, author, author_source, author_confidence, description, cover_url, volume_title)."""
     h1 = F.try_element_at(F.filter("headings", lambda h: (h["level"] == 1) & (h["text"] != "")), F.lit(1))["text"]
     label = F.nullif(F.regexp_extract("page_text", r"作\s*者\s*[:：]\s*([^\s，。；;，|\n]{1,30})", 1), F.lit(""))
     english = F.nullif(F.regexp_extract("page_text", r"(?i)author\s*[:：]\s*([^，。；;，|\n]{1,40})", 1), F.lit(""))
@@ -60,8 +60,9 @@ def metadata(d: DataFrame) -> DataFrame:
         (clean_author_value(_ld("author")), "json_ld", 0.90), (clean_author_value(_meta("og:novel:author")), "og:novel", 0.85), (clean_author_value(label), "label", 0.80),
         (clean_author_value(english), "label_en", 0.75), (clean_author_value(_meta("author")), "meta", 0.70),
     ])
-    return d.select("page_id", "metas", titles.alias("t"), authors.alias("a")).select(
-        "page_id", F.col("t.value").alias("book_title"), F.col("t.source").alias("title_source"), F.col("t.confidence").alias("title_confidence"),
+    keep = keep or []
+    return d.select("page_id", *[c for c in keep if c != "metas"], "metas", titles.alias("t"), authors.alias("a")).select(
+        "page_id", *keep, F.col("t.value").alias("book_title"), F.col("t.source").alias("title_source"), F.col("t.confidence").alias("title_confidence"),
         F.col("a.value").alias("author"), F.col("a.source").alias("author_source"), F.col("a.confidence").alias("author_confidence"),
         F.left(F.coalesce(_meta("og:description"), _meta("description")), F.lit(300)).alias("description"), F.coalesce(_meta("og:image"), _meta("image_src")).alias("cover_url"),
         _meta("og:novel:volume").alias("volume_title"),
@@ -69,9 +70,14 @@ def metadata(d: DataFrame) -> DataFrame:
 
 
 def page_title(d: DataFrame) -> DataFrame:
-    """(page_id, page_title): the first heading that is a chapter title, else the first heading, else the title."""
+    """(page_id, page_title): see title_of."""
+    return d.select("page_id", title_of().alias("page_title"))
+
+
+def title_of() -> Column:
+    """Of a parsed page the first heading that is a chapter title, else the first heading, else the title."""
     from folio.operators.content import strong_title
 
     heads = F.filter("headings", lambda h: h["text"] != "")
     strong = F.try_element_at(F.filter(heads, lambda h: strong_title(h["text"])), F.lit(1))["text"]
-    return d.select("page_id", F.coalesce(strong, F.try_element_at(heads, F.lit(1))["text"], F.nullif(F.col("title"), F.lit(""))).alias("page_title"))
+    return F.coalesce(strong, F.try_element_at(heads, F.lit(1))["text"], F.nullif(F.col("title"), F.lit("")))

@@ -18,6 +18,7 @@ from folio.functions import urls
 from folio.functions.titles import has_page_marker, parse_title, strip_page_suffix
 from folio.operators import graph, navigation
 from folio.operators.content import contains_any
+from folio.util import materialize
 
 MAX_CATALOG_PAGES, MAX_CONTENT_PAGES, MAX_GAP_STEPS, EXPLORE_BUDGET, CATALOG_TRIES = 20, 10, 50, 8, 3
 # Words of links to a table of contents, from a book's page and when exploring.
@@ -77,7 +78,8 @@ def find_catalog(anchors: DataFrame, pages: DataFrame, types: DataFrame, entries
     c = c.select("page_id", "idx", urls.resolve(F.col("url"), F.col("href")).alias("target")).groupBy("page_id", "target").agg(F.min("idx").alias("idx"))
     c = c.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy("idx"))).where(F.col("rank") <= tries)
     x = by_url(c, pages).where("to_id IS NOT NULL AND to_id <> page_id")
-    lists = types.where("page_type = 'CATALOG_PAGE' AND confidence >= 0.5").select(F.col("page_id").alias("to_id")).union(entries.select(F.col("page_id").alias("to_id"))).distinct()
+    # written first: a filter pushed into the scores would compute them over and over
+    lists = materialize(types.select("page_id", "page_type", "confidence")).where("page_type = 'CATALOG_PAGE' AND confidence >= 0.5").select(F.col("page_id").alias("to_id")).union(entries.select(F.col("page_id").alias("to_id"))).distinct()
     return x.join(lists, "to_id").groupBy("page_id").agg(F.min_by(F.struct(F.col("to_id").alias("catalog_id"), "rank"), "rank").alias("b")).select("page_id", "b.catalog_id", "b.rank")
 
 

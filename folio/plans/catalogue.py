@@ -324,8 +324,7 @@ def content_deep(s: SparkSession, d: str) -> DataFrame:
 
 
 def page_type_scores(s: SparkSession, d: str) -> DataFrame:
-    dm = materialize(dom.dom(_pages(s, d)))
-    return content.page_types(content.page_features(dm, content.pick_content(dm)))
+    return content.page_types(content.page_features(dom.dom(_pages(s, d))))
 
 
 def metadata_extract(s: SparkSession, d: str) -> DataFrame:
@@ -428,7 +427,7 @@ def chapter_page_merge(s: SparkSession, d: str) -> DataFrame:
 def catalog_page_find(s: SparkSession, d: str) -> DataFrame:
     p, dm, _ = _walk_inputs(s, d)
     a = dom.anchors(dm)
-    return walks.explore(a, p, content.page_types(content.page_features(dm, content.pick_content(dm))), catalog.detect(a))
+    return walks.explore(a, p, content.page_types(content.page_features(dm)), catalog.detect(a))
 
 
 def chapter_traversal(s: SparkSession, d: str) -> DataFrame:
@@ -441,6 +440,25 @@ def graph_cycles(s: SparkSession, d: str) -> DataFrame:
     return graph.on_cycles(walks.chapter_edges(links, p))
 
 
+def graph_cycles_captured(s: SparkSession, d: str) -> DataFrame:
+    """Over the links that the captured pages have."""
+    p, _, links = _walk_inputs(s, d)
+    return graph.on_cycles(walks.chapter_edges(links, p))
+
+
+def evaluated_pages(s: SparkSession, d: str) -> DataFrame:
+    """Every page scored against what the tables say of it: the longest extraction is the reference of its main text, and no page is an access page."""
+    p = _pages(s, d)
+    t = table(s, d, "content_extractions").groupBy("page_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("reference"))
+    lab = p.join(t, "page_id", "left").select(
+        F.col("host").alias("case_id"), evaluate.sample_type(F.lit(None).cast("string"), F.lit(None).cast("array<string>"), F.array("input_kind"), F.lit("real_capture")).alias("sample_type"), "page_id",
+        F.lit("CHAPTER_PAGE").alias("page_type"), F.when(F.col("status_code") == 200, "CONTENT_OK").alias("content_status"), F.when(F.col("status_code") == 404, "NOT_FOUND").alias("access_status"), F.lit(None).cast("boolean").alias("has_metadata"),
+        F.lit(None).cast("string").alias("book_title"), F.lit(None).cast("string").alias("author"), (F.length("reference") > 0).alias("has_content"), "reference", F.array(F.lit("{{")).alias("forbidden"),
+        F.lit(None).cast("array<struct<title:string,target_url:string>>").alias("entries"), F.lit(None).cast("string").alias("direction"), F.lit(None).cast("array<struct<type:string,target_url:string>>").alias("relations"), F.lit(False).alias("encoding_sensitive"),
+    )
+    return evaluate.score_pages(lab, pipeline.predictions(p)).groupBy("metric", "sample_type").agg(F.sum("numerator").alias("numerator"), F.sum("denominator").alias("denominator"), F.count("*").alias("n"))
+
+
 def reciprocal_links(s: SparkSession, d: str) -> DataFrame:
     p, links = _links(s, d)
     return walks.reciprocal(links, p)
@@ -457,7 +475,7 @@ def queries() -> dict[str, Query]:
         "boilerplate_removed": boilerplate_removed, "clean_lines": clean_lines, "line_kinds": line_kinds, "duplicate_content_pages": duplicate_content_pages, "part_merge": part_merge,
         "running_median_ok": running_median_ok, "consecutive_failure_cut": consecutive_failure_cut, "adaptive_pacing": adaptive_pacing, "status_counts": status_counts,
         "profile_by_host": profile_by_host, "profile_check": profile_check, "graph_next_edges": graph_next_edges, "graph_ends": graph_ends, "graph_reading_order": graph_reading_order,
-        "graph_cycles": graph_cycles, "catalog_precision_recall": catalog_precision_recall, "metric_rollup": metric_rollup, "confusion_matrix": confusion_matrix,
+        "graph_cycles": graph_cycles, "graph_cycles_captured": graph_cycles_captured, "evaluated_pages": evaluated_pages, "catalog_precision_recall": catalog_precision_recall, "metric_rollup": metric_rollup, "confusion_matrix": confusion_matrix,
         "failure_distribution": failure_distribution, "safe_filenames": safe_filenames, "encoding_decision": encoding_decision, "text_agreement": text_agreement, "dom_lines": dom_lines,
         "content_pick": content_pick, "content_deep": content_deep, "page_type_scores": page_type_scores, "metadata_extract": metadata_extract, "nav_best": nav_best, "nav_captured": nav_captured,
         "catalog_cluster": catalog_cluster, "catalog_detect": catalog_detect, "collapsed_lists": collapsed_lists, "analyze_pages": analyze_pages, "book_chapters": book_chapters, "exported_books": exported_books,

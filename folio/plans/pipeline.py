@@ -14,25 +14,57 @@ from folio.functions.titles import has_page_marker, parse_title, strip_sub_numbe
 from folio.operators import catalog, chapters, content, dom, graph, metadata, navigation, walks
 from folio.sources import captures as cap
 from folio.sources import export
-from folio.util import build_session, discard, materialize, ship, table
+from folio.util import build_session, cleanup, materialize, ship, table
+
+
+META = ("book_title", "title_source", "title_confidence", "author", "author_source", "author_confidence", "description", "cover_url", "volume_title")
+
+
+def judged(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(page_id, anchors, headings, title, page_text, pick, metadata, type, ``keep`` of pages): each page parsed once and judged, all in one pass.
+
+    Nodes and lines are used up here: what is left is about as large as the page's text.
+    """
+    keep = keep or []
+    d = content.with_pick(dom.dom(pages, keep=keep))
+    own = ["anchors", "headings", "title", "page_text", "pick", *keep]
+    m = metadata.metadata(d, [*own, "metas", "link_len"])
+    m = m.select("page_id", *own, "metas", "link_len", F.struct(*META).alias("metadata"))
+    t = content.page_types(content.page_features(m, ["anchors", "headings", "title", "page_text", "pick", "metadata", *keep]), [*own, "metadata"])
+    return t.select("page_id", *own, "metadata", F.struct("page_type", "confidence", "chapter", "catalog", "book").alias("type"))
 
 
 def analyze(pages: DataFrame, preview: int = 300) -> DataFrame:
     """One nested row per page: type, metadata, content with a preview, links, and the first titles of a table of contents."""
-    d = materialize(dom.dom(pages))
-    picked = materialize(content.pick_content(d))
-    types = content.page_types(content.page_features(d, picked))
-    meta = metadata.metadata(d)
-    links = navigation.best_links(navigation.link_scores(dom.anchors(d), pages))
+    j = materialize(judged(pages))
+    links = navigation.best_links(navigation.link_scores(dom.anchors(j), pages))
     nav = links.groupBy("page_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("relation", "target")))).alias("links"))
-    toc = catalog.detect(dom.anchors(d)).groupBy("page_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("idx", "text"))), 1, 20), lambda x: x["text"]).alias("toc"))
-    c = picked.select("page_id", F.struct(F.length("text").alias("chars"), F.left("text", F.lit(preview)).alias("preview"), "tag", "confidence", "positives", "penalties").alias("content"))
-    m = meta.select("page_id", F.struct(*[x for x in meta.columns if x != "page_id"]).alias("metadata"))
-    t = types.select("page_id", F.struct("page_type", "confidence", "chapter", "catalog", "book").alias("type"))
-    out = t.join(m, "page_id").join(c, "page_id").join(nav, "page_id", "left").join(toc, "page_id", "left")
+    toc = catalog.detect(dom.anchors(j)).groupBy("page_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("idx", "text"))), 1, 20), lambda x: x["text"]).alias("toc"))
+    c = F.struct(F.length("pick.text").alias("chars"), F.left("pick.text", F.lit(preview)).alias("preview"), F.col("pick.tag").alias("tag"), F.col("pick.confidence").alias("confidence"), F.col("pick.positives").alias("positives"), F.col("pick.penalties").alias("penalties"))
+    out = j.select("page_id", "type", "metadata", c.alias("content")).join(nav, "page_id", "left").join(toc, "page_id", "left")
     return out.select("page_id", "type", "metadata", "content", "links", F.when(F.col("type.page_type") == "CATALOG_PAGE", F.col("toc")).alias("toc"))
 
 
+def predictions(pages: DataFrame) -> DataFrame:
+    """What each page is found to be, as evaluate.PREDICTION: the input of evaluate.score_pages. No label is read."""
+    server = F.try_element_at(F.coalesce("headers", F.create_map().cast("map<string,string>")), F.lit("server"))
+    j = judged(pages.withColumn("server", server), ["status_code", "server", "html"])
+    marks = content.access_marks(F.col("server"), F.col("html"), F.col("page_text"))
+    j = materialize(j.select("page_id", "status_code", "anchors", "pick", "metadata", "type", marks.alias("marks")))
+    st = content.access_from(F.coalesce("status_code", F.lit(200)), F.col("marks"), content.trimmed_length(F.col("pick.text")), F.col("pick.confidence"), F.lit(None).cast("int"))
+    links = navigation.best_links(navigation.link_scores(dom.anchors(j), pages)).where(F.col("score") >= navigation.MIN_CONFIDENCE)
+    nav = links.groupBy("page_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("relation", "target")))).alias("links"), F.max("score").alias("link_confidence"))
+    e = catalog.detect(dom.anchors(j)).join(pages.select("page_id", "url"), "page_id").select("page_id", "idx", "text", urls.resolve(F.col("url"), F.col("href")).alias("target_url"), "confidence")
+    toc = e.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.col("text").alias("title"), "target_url"))), lambda x: F.struct(x["title"].alias("title"), x["target_url"].alias("target_url"))).alias("entries"), F.max("confidence").alias("catalog_confidence"))
+    way = catalog.direction(e.select(F.col("page_id").alias("book_id"), F.col("idx").alias("dom_index"), F.col("idx").alias("entry_id"), F.col("text").alias("title"))).select(F.col("book_id").alias("page_id"), "direction")
+    p = j.withColumn("st", st).join(nav, "page_id", "left").join(toc, "page_id", "left").join(way, "page_id", "left")
+    return p.select(
+        "page_id", F.col("type.page_type").alias("page_type"), F.col("type.confidence").alias("page_type_confidence"), F.col("st.status").alias("content_status"), F.col("st.confidence").alias("content_status_confidence"),
+        F.col("pick.text").alias("content"), F.col("pick.confidence").alias("content_confidence"), *[F.col(f"metadata.{x}").alias(x) for x in ("book_title", "title_confidence", "author", "author_confidence")],
+        "links", "link_confidence", "entries", F.coalesce("catalog_confidence", F.lit(0.0)).alias("catalog_confidence"), F.coalesce("direction", F.lit("UNKNOWN")).alias("direction"),
+    )
+
+
 def ordered_entries(entries: DataFrame) -> DataFrame:
     """A book's entries in reading order: last one per url, turned round if the list descends, rotated if it begins with its later part."""
     e = materialize(catalog.keep_last(entries))
@@ -146,14 +178,21 @@ def book_chapters(entries: DataFrame, pages: DataFrame, texts: DataFrame, max_ch
     one chapter become one. With max_chapters only so many chapters of a book are
     read, and what is left out is warned of. What recurs across a book is left to finished_chapters.
     """
-    c = materialize(cap.latest(pages.select("page_id", "url", "status_code", "html", "headers", "received_at", "captured_at")).select("norm_url", "page_id", "url", "status_code", "html", "headers"))
-    d = materialize(dom.dom(c))
-    picked = materialize(content.pick_content(d))
+    # which capture of an address counts is decided on keys alone, so that pages are not aggregated
+    last = cap.latest(pages.select("page_id", "url", "received_at", "captured_at")).select("page_id", "norm_url")
+    raw = pages.join(last.select("page_id"), "page_id", "left_semi")
+    server = F.try_element_at(F.coalesce("headers", F.create_map().cast("map<string,string>")), F.lit("server"))
+    d = judged(raw.select("page_id", "url", "status_code", server.alias("server"), "html"), ["url", "status_code", "server", "html"])
+    marks = content.access_marks(F.col("server"), F.col("html"), F.col("page_text"))
+    d = d.select("page_id", "url", "status_code", marks.alias("marks"), "anchors", metadata.title_of().alias("page_title"), "pick", F.col("type.page_type").alias("page_type"), urls.normalize_url(F.col("url")).alias("norm_url"))
+    d = materialize(d)
+    c = d.select("page_id", "url", "norm_url", "status_code", "marks")
+    picked = d.select("page_id", "pick.*")
     links = materialize(navigation.best_links(navigation.link_scores(dom.anchors(d), c)))
-    titles = materialize(metadata.page_title(d))
+    titles = d.select("page_id", "page_title")
     steps = materialize(walks.chapter_steps(links, c, titles))
-    e = materialize(filled_entries(materialize(ordered_entries(expanded_entries(entries, d, c))), links, c, titles))
-    e = e.unionByName(walked_entries(e, steps, links, c, titles, content.page_types(content.page_features(d, picked))))
+    e = materialize(filled_entries(materialize(ordered_entries(expanded_entries(entries, d, raw.select("page_id", "url", "html", urls.normalize_url(F.col("url")).alias("norm_url"))))), links, c, titles))
+    e = e.unionByName(walked_entries(e, steps, links, c, titles, d.select("page_id", "page_type")))
     e = materialize(e.join(c.select("norm_url", "page_id"), "norm_url", "left"))
     if max_chapters:
         n = e.where(F.col("pos") > max_chapters).agg(F.count("*"), F.countDistinct("book_id")).first()
@@ -162,20 +201,15 @@ def book_chapters(entries: DataFrame, pages: DataFrame, texts: DataFrame, max_ch
         e = e.where(F.col("pos") <= max_chapters)
     starts = e.where("page_id IS NOT NULL").select("page_id").distinct()
     x = materialize(page_extractions(d, picked, texts, starts.union(steps.select(F.col("dst").alias("page_id"))).distinct()))
-    discard(d)
-    discard(picked)
     m = walks.merge_pages(starts, steps, x).select(F.col("start").alias("page_id"), F.col("text").alias("raw"), "repeats")
     j = e.join(m, "page_id", "left").join(x.select("page_id", "judged", F.col("confidence").alias("own")), "page_id", "left").join(titles, "page_id", "left")
     marked = has_page_marker(F.col("page_title")) & F.col("title").isNotNull()
     j = j.withColumn("title", F.when(F.coalesce(marked, F.lit(False)), F.col("title")).when(content.strong_title(F.col("page_title")), F.col("page_title")).otherwise(F.coalesce("title", "page_title")))
     j = materialize(j.select("book_id", "pos", "title", "url", "page_id", "repeats", "judged", "own", clean_text(F.col("raw"), F.col("title")).alias("content")))
     med = chapters.running_median(j.select("book_id", "pos", F.length(F.coalesce("content", F.lit(""))).alias("n")).withColumnRenamed("pos", "p0"), "book_id", ["p0"], "n", F.col("n") >= 200).select("book_id", F.col("pos"), "median_prev")
-    j = j.join(med, ["book_id", "pos"], "left").join(c.select("page_id", "status_code", "html", "headers"), "page_id", "left")
+    j = j.join(med, ["book_id", "pos"], "left").join(c.select("page_id", "status_code", "marks"), "page_id", "left")
     own = F.coalesce("own", F.lit(0.0))
-    st = content.access_status(
-        F.coalesce("status_code", F.lit(200)), F.try_element_at(F.coalesce("headers", F.create_map().cast("map<string,string>")), F.lit("server")), F.coalesce("html", F.lit("")),
-        F.coalesce("html", F.lit("")), F.repeat(F.lit("x"), F.coalesce("judged", F.lit(0))), own, F.col("median_prev"),
-    )
+    st = content.access_from(F.coalesce("status_code", F.lit(200)), F.col("marks"), F.coalesce("judged", F.lit(0)), own, F.col("median_prev"))
     none, twice = F.col("page_id").isNull(), F.coalesce("repeats", F.lit(False))
     s = j.withColumn("st", st).select(
         "book_id", "pos", "title", "url", "page_id", F.when(none, "NOT_CAPTURED").when(twice, "UNKNOWN_FAILURE").otherwise(F.col("st.status")).alias("status"),
@@ -219,14 +253,18 @@ def main(argv: list[str] | None = None) -> int:
     pages = table(spark, a.tables, "fetched_pages")
     if a.command == "analyze":
         analyze(pages).write.mode("overwrite").parquet(a.out)
+        cleanup(spark)
         return 0
     entries = table(spark, a.tables, "catalog_entries")
     if a.command == "inspect":
         diagnose(entries).write.mode("overwrite").parquet(a.out)
+        cleanup(spark)
         return 0
     chs = materialize(finished_chapters(entries, pages, table(spark, a.tables, "content_extractions"), a.max_chapters))
     export.write_books(export_books(chs), a.out)
-    return int(bool(chs.where("status <> 'CONTENT_OK'").limit(1).count()))
+    flagged = bool(chs.where("status <> 'CONTENT_OK'").limit(1).count())
+    cleanup(spark)
+    return int(flagged)
 
 
 def authority_of(pages: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def test_content_and_types(d):
     assert got[1]["anchored"] and got[1]["tag"] == "div" and got[1]["text"].startswith("第3章 风\n他走进") and "下一章" not in got[1]["text"]
     assert got[4]["text"] == "" and got[4]["confidence"] == 0.0
     assert got[6]["confidence"] == 0.35
-    types = by_id(content.page_types(content.page_features(d, picked)))
+    types = by_id(content.page_types(content.page_features(d)))
     assert {i: types[i]["page_type"] for i in (1, 2, 3, 4)} == {1: "CHAPTER_PAGE", 2: "CATALOG_PAGE", 3: "BOOK_PAGE", 4: "UNKNOWN"}
     deep = by_id(content.deep_confidence(picked))
     assert 0.2 <= deep[6]["confidence"] <= 0.95

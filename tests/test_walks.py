@@ -40,7 +40,7 @@ def test_lists(t):
     p, d, links, _ = t
     assert [tuple(r) for r in walks.list_steps(links, p).collect() if r["src"] == 6] == [(6, 7)]
     a = dom.anchors(d)
-    types = content.page_types(content.page_features(d, content.pick_content(d)))
+    types = content.page_types(content.page_features(d))
     assert {(r["page_id"], r["catalog_id"], r["rank"]) for r in walks.find_catalog(a, p, types, catalog.detect(a)).collect()} == {(1, 6, 1)}
     assert walks.explore(a, p, types, catalog.detect(a)).count() == 1
 
