@@ -71,6 +71,25 @@ def on_cycles(edges: DataFrame) -> DataFrame:
     return step.select(F.col("dst").alias("key")).distinct()
 
 
+def cycle_paths(edges: DataFrame) -> DataFrame:
+    """(cycle, step, key): every cycle of the strongest edges as a path from its smallest node, which names it."""
+    fwd = strongest(edges).select("src", "dst")
+    on = on_cycles(edges)
+    ring = materialize(fwd.join(on.withColumnRenamed("key", "src"), "src", "left_semi"))
+    state = ring.select(F.col("src").alias("key"), "dst", F.least("src", "dst").alias("low"))
+    for _ in range(max(1, ring.count().bit_length())):
+        t = state.select(F.col("key").alias("dst"), F.col("dst").alias("far"), F.col("low").alias("low2"))
+        state = materialize(state.join(t, "dst").select("key", F.col("far").alias("dst"), F.least("low", "low2").alias("low")))
+    named = state.select("key", "low")
+    cut = ring.join(named.withColumnRenamed("key", "src"), "src").where("dst <> low").select("src", "dst", F.lit(1.0).alias("confidence"))
+    return reading_order(named.select("key"), cut).select(F.col("head").alias("cycle"), F.col("rank").alias("step"), "key")
+
+
+def linear_order(order: DataFrame) -> DataFrame:
+    """Rows of reading_order in one line: chain after chain, and behind them the nodes that no head leads to."""
+    return order.orderBy(F.col("head").isNull(), "head", "rank", "key")
+
+
 def duplicates(chapters: DataFrame, seq: str = "seq", pages: str = "source_pages") -> DataFrame:
     """(seq, first_seq): chapters that share a source page with an earlier one."""
     p = chapters.select(seq, F.explode(pages).alias("page")).distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folio.functions import urls
 
 MAX_SEGMENTS, MAX_NAV = 8, 40
+KINDS = ("hits", "misses", "invalidations")
 
 
 def _most_frequent(rows: DataFrame, key: str, value: str, most: int, out: str) -> DataFrame:
@@ -47,3 +48,20 @@ def signature_holds(stored: Column, now: Column) -> Column:
 def upsert(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """Profiles with fresh ones in place of those of the same host; both have the same columns."""
     return stored.join(fresh.select("host"), "host", "left_anti").unionByName(fresh)
+
+
+def record(stored: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Profiles with their counters hits, misses and invalidations raised by outcomes (host, kind); other kinds count nowhere, and hosts without a profile neither."""
+    n = outcomes.groupBy("host").agg(*[F.count_if(F.col("kind") == k).alias(f"__{k}") for k in KINDS])
+    j = stored.join(n, "host", "left")
+    return j.select(*[(F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(f"__{c}"), F.lit(0))).cast("int").alias(c) if c in KINDS else F.col(c) for c in stored.columns])
+
+
+def invalidate(stored: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+    """Profiles without those of ``hosts``; without any if none are given."""
+    return stored.limit(0) if hosts is None else stored.join(hosts.select("host").distinct(), "host", "left_anti")
+
+
+def safe_host(host: Column) -> Column:
+    """A file name for a host's profile."""
+    return F.regexp_replace(host, "[^A-Za-z0-9._-]", "_")

@@ -18,7 +18,7 @@ from folio.functions import urls
 from folio.functions.titles import has_page_marker, parse_title, strip_page_suffix
 from folio.operators import graph, navigation
 from folio.operators.content import contains_any
-from folio.util import materialize
+from folio.util import materialize, running
 
 MAX_CATALOG_PAGES, MAX_CONTENT_PAGES, MAX_GAP_STEPS, EXPLORE_BUDGET, CATALOG_TRIES = 20, 10, 50, 8, 3
 # Words of links to a table of contents, from a book's page and when exploring.
@@ -38,6 +38,37 @@ def list_steps(links: DataFrame, pages: DataFrame) -> DataFrame:
     return x.where("to_id IS NOT NULL AND to_id <> page_id").select(F.col("page_id").alias("src"), F.col("to_id").alias("dst"))
 
 
+def list_walks(starts: DataFrame, links: DataFrame, pages: DataFrame, most: int = MAX_CATALOG_PAGES) -> DataFrame:
+    """(start, pos, page, stopped_by): pages of each list in order; stopped_by, on the last one: no_next, loop, not_captured or max_pages."""
+    x = by_url(links.where((F.col("relation") == "NEXT_PAGE") & (F.col("score") >= navigation.MIN_CONFIDENCE)), pages)
+    nxt = materialize(x.select(F.col("page_id").alias("src"), F.col("to_id").alias("dst")))
+    w = materialize(graph.walk_pages(starts.select(F.col("page_id").alias("page")).distinct(), nxt.where("dst IS NOT NULL AND src <> dst"), most))
+    end = w.groupBy("start").agg(F.max("pos").alias("last"))
+    why = F.when(F.col("pos") >= most, "max_pages").when(F.col("src").isNull(), "no_next").when(F.col("dst").isNull(), "not_captured").otherwise("loop")
+    j = w.join(end, "start").join(nxt, w["page"] == nxt["src"], "left")
+    return j.select("start", "pos", "page", F.when(F.col("pos") == F.col("last"), why).alias("stopped_by"))
+
+
+def resolved_lists(anchors: DataFrame, pages: DataFrame, links: DataFrame) -> DataFrame:
+    """(book_id, entry_id, title, url, source_page_url, dom_index, confidence): tables of contents of captured list pages and of the pages they go on over.
+
+    book_id is the first page of a list: one with entries that no other page with
+    entries goes on to. dom_index runs over all pages of a list in their order.
+    Confidence below 0.5 is low: such entries are given all the same.
+    """
+    from folio.operators import catalog
+
+    found = materialize(catalog.detect(anchors))
+    have = found.select("page_id").distinct()
+    steps = list_steps(links, pages).join(have.select(F.col("page_id").alias("src")), "src", "left_semi")
+    starts = have.join(steps.select(F.col("dst").alias("page_id")), "page_id", "left_anti")
+    w = list_walks(starts, links, pages).select(F.col("start").alias("book_id"), F.col("pos").alias("page_no"), F.col("page").alias("page_id"))
+    e = found.join(w, "page_id").join(pages.select("page_id", F.col("url").alias("source_page_url")), "page_id")
+    e = e.select("book_id", "page_no", "idx", F.col("text").alias("title"), urls.resolve(F.col("source_page_url"), F.col("href")).alias("url"), "source_page_url", "confidence")
+    r = running(e, "book_id", ["page_no", "idx"], {"dom_index": ("sum", F.lit(1))}).withColumn("dom_index", F.col("dom_index").cast("int"))
+    return r.select("book_id", F.col("dom_index").cast("bigint").alias("entry_id"), "title", "url", "source_page_url", "dom_index", "confidence")
+
+
 def chapter_steps(links: DataFrame, pages: DataFrame, titles: DataFrame) -> DataFrame:
     """(src, dst, why): each chapter page to its continuation.
 

@@ -245,6 +245,12 @@ def profile_check(s: SparkSession, d: str) -> DataFrame:
     return j.select("page_id", profiles.check(F.col("title"), F.col("url"), F.col("p.title_template"), F.col("p.chapter_dir")).alias("passed"))
 
 
+def profile_counters(s: SparkSession, d: str) -> DataFrame:
+    """Profiles with a hit or a miss more for each page of their host that is checked against them."""
+    ok = profile_check(s, d).where("passed IS NOT NULL").join(_pages(s, d).select("page_id", "host"), "page_id").select("host", F.when(F.col("passed") >= 0.5, "hits").otherwise("misses").alias("kind"))
+    return profiles.record(table(s, d, "site_profiles"), ok).select("host", "hits", "misses", "invalidations")
+
+
 def _edges(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = chapters.in_order(_kept(s, d), "book_id", ["dom_index", "entry_id"])
     k = materialize(e.withColumn("key", F.col("entry_id")))
@@ -440,6 +446,11 @@ def graph_cycles(s: SparkSession, d: str) -> DataFrame:
     return graph.on_cycles(walks.chapter_edges(links, p))
 
 
+def graph_cycle_paths(s: SparkSession, d: str) -> DataFrame:
+    p, links = _links(s, d)
+    return graph.cycle_paths(walks.chapter_edges(links, p))
+
+
 def graph_cycles_captured(s: SparkSession, d: str) -> DataFrame:
     """Over the links that the captured pages have."""
     p, _, links = _walk_inputs(s, d)
@@ -475,7 +486,7 @@ def queries() -> dict[str, Query]:
         "boilerplate_removed": boilerplate_removed, "clean_lines": clean_lines, "line_kinds": line_kinds, "duplicate_content_pages": duplicate_content_pages, "part_merge": part_merge,
         "running_median_ok": running_median_ok, "consecutive_failure_cut": consecutive_failure_cut, "adaptive_pacing": adaptive_pacing, "status_counts": status_counts,
         "profile_by_host": profile_by_host, "profile_check": profile_check, "graph_next_edges": graph_next_edges, "graph_ends": graph_ends, "graph_reading_order": graph_reading_order,
-        "graph_cycles": graph_cycles, "graph_cycles_captured": graph_cycles_captured, "evaluated_pages": evaluated_pages, "catalog_precision_recall": catalog_precision_recall, "metric_rollup": metric_rollup, "confusion_matrix": confusion_matrix,
+        "graph_cycles": graph_cycles, "graph_cycle_paths": graph_cycle_paths, "profile_counters": profile_counters, "graph_cycles_captured": graph_cycles_captured, "evaluated_pages": evaluated_pages, "catalog_precision_recall": catalog_precision_recall, "metric_rollup": metric_rollup, "confusion_matrix": confusion_matrix,
         "failure_distribution": failure_distribution, "safe_filenames": safe_filenames, "encoding_decision": encoding_decision, "text_agreement": text_agreement, "dom_lines": dom_lines,
         "content_pick": content_pick, "content_deep": content_deep, "page_type_scores": page_type_scores, "metadata_extract": metadata_extract, "nav_best": nav_best, "nav_captured": nav_captured,
         "catalog_cluster": catalog_cluster, "catalog_detect": catalog_detect, "collapsed_lists": collapsed_lists, "analyze_pages": analyze_pages, "book_chapters": book_chapters, "exported_books": exported_books,

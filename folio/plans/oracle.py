@@ -231,6 +231,14 @@ coalesce(s * (0.4 + 0.6 * (w / 0.8)) * CASE WHEN same IS NULL THEN 0.5 ELSE 0.6
     "chapter_traversal": f"""WITH RECURSIVE {_CHAIN}, w AS (SELECT key, key AS head, CAST(0 AS BIGINT) AS rank FROM k WHERE up IS NULL UNION ALL SELECT k.key, w.head, w.rank + 1 FROM w JOIN k ON k.up = w.key)
 SELECT k.key, w.head, w.rank, w.head IS NULL AS broken FROM k LEFT JOIN w USING (key)""",
     "graph_cycles": f"""WITH RECURSIVE {_CHAIN}, w AS (SELECT src AS start, dst AS here FROM fwd UNION SELECT w.start, fwd.dst FROM w JOIN fwd ON fwd.src = w.here WHERE w.here <> w.start) SELECT DISTINCT start AS key FROM w WHERE here = start""",
+    "graph_cycle_paths": f"""WITH RECURSIVE {_CHAIN}, w AS (SELECT src AS start, dst AS here FROM fwd UNION SELECT w.start, fwd.dst FROM w JOIN fwd ON fwd.src = w.here WHERE w.here <> w.start),
+ring AS (SELECT DISTINCT start AS key FROM w WHERE here = start), low AS (SELECT key, least(key, min(w.here)) AS cycle FROM ring JOIN w ON w.start = ring.key GROUP BY key),
+st AS (SELECT key AS cycle, 0 AS step, key FROM low WHERE key = cycle UNION ALL SELECT st.cycle, step + 1, fwd.dst FROM st JOIN fwd ON fwd.src = st.key WHERE fwd.dst <> st.cycle) SELECT cycle, CAST(step AS BIGINT) AS step, key FROM st""",
+    "profile_counters": f"""WITH s AS (SELECT host, arg_max(struct_pack(t := title_template, d := chapter_dir), version) AS p FROM site_profiles GROUP BY host),
+x AS (SELECT f.host, CASE WHEN len(p.t) > 0 THEN CAST(len(list_intersect({_SEG.format(_TITLE.format('([^<]*)'))}, p.t)) > 0 AS INT) END AS a, CASE WHEN p.d IS NOT NULL THEN CAST({directory('url')} = p.d AS INT) END AS b FROM fetched_pages f JOIN s USING (host)),
+y AS (SELECT host, (coalesce(a, 0) + coalesce(b, 0)) / nullif((CASE WHEN a IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN b IS NOT NULL THEN 1 ELSE 0 END), 0) >= 0.5 AS ok FROM x),
+n AS (SELECT host, count(*) FILTER (ok) AS h, count(*) FILTER (NOT ok) AS m FROM y GROUP BY host)
+SELECT p.host, CAST(coalesce(p.hits, 0) + coalesce(h, 0) AS INT) AS hits, CAST(coalesce(p.misses, 0) + coalesce(m, 0) AS INT) AS misses, coalesce(p.invalidations, 0) AS invalidations FROM site_profiles p LEFT JOIN n USING (host)""",
     "page_walks": f"""WITH RECURSIVE {_KEPT}, x AS (SELECT book_id, norm_url AS u, {page_no('url')} AS no, {directory('url')} AS dir FROM kept WHERE {page_no('url')} IS NOT NULL),
 st AS (SELECT a.u AS src, min(b.u) AS dst FROM x a JOIN x b ON a.book_id = b.book_id AND a.dir = b.dir AND b.no = a.no + 1 WHERE a.u <> b.u GROUP BY a.u),
 w AS (SELECT DISTINCT norm_url AS start, 1 AS pos, norm_url AS page, [norm_url] AS seen FROM kept UNION ALL SELECT w.start, pos + 1, st.dst, list_append(seen, st.dst) FROM w JOIN st ON st.src = w.page WHERE pos < 20 AND NOT list_contains(seen, st.dst))
@@ -240,8 +248,8 @@ SELECT start, pos, page FROM w""",
 kp AS (SELECT page_id, cluster, best, sum(size) OVER (PARTITION BY page_id) AS n FROM cl JOIN best USING (page_id, dominant_dir) WHERE score >= 0.20)
 SELECT page_id, idx, least(0.95, best + 0.15) AS confidence FROM kc JOIN kp USING (page_id, cluster) WHERE n >= 5""",
     "book_diagnostics": f"""WITH {_KEPT}, {parse('kept', 'book_id')}, t AS (SELECT DISTINCT book_id, CAST(floor(order_token) AS BIGINT) AS n FROM t_parsed WHERE order_token >= 1),
-m AS (SELECT book_id, max(n) - min(n) + 1 - count(*) AS missing FROM t GROUP BY book_id), c AS (SELECT book_id, count(*) AS n FROM kept GROUP BY book_id)
-SELECT book_id, n, CAST(coalesce(missing, 0) AS BIGINT) AS missing, CASE WHEN n = 1 THEN 1 ELSE 0 END AS orphans, false AS broken FROM c LEFT JOIN m USING (book_id)""",
+m AS (SELECT book_id, max(n) - min(n) + 1 - count(*) AS missing FROM t GROUP BY book_id), c AS (SELECT book_id, count(*) AS n FROM kept GROUP BY book_id), raw AS (SELECT book_id, count(*) AS raw FROM catalog_entries WHERE book_id IS NOT NULL AND url IS NOT NULL GROUP BY book_id)
+SELECT book_id, n, raw - n AS duplicates, CAST(coalesce(missing, 0) AS BIGINT) AS missing, CASE WHEN n = 1 THEN 1 ELSE 0 END AS orphans, false AS broken FROM c JOIN raw USING (book_id) LEFT JOIN m USING (book_id)""",
     "line_kinds": f"""WITH c AS (SELECT DISTINCT page_id, text FROM content_extractions WHERE text IS NOT NULL), l AS (SELECT page_id, regexp_replace(unnest(string_split(text, chr(10))), '^[\\s\\x{{3000}}\\x{{A0}}]+|[\\s\\x{{3000}}\\x{{A0}}]+$', '', 'g') AS line FROM c),
 w AS (SELECT page_id, line, lower(line) AS low, list_filter(regexp_split_to_array(lower(line), {_NAV_SPLIT}), lambda x: x <> '') AS tokens FROM l WHERE line <> '')
 SELECT page_id, count(*) AS n_lines, count(*) FILTER (length(line) <= 30 AND (list_contains({_NAV_WORDS}, regexp_replace(low, '^' || {_NAV_SPLIT} || '|' || {_NAV_SPLIT} || '$', '', 'g')) OR regexp_matches(low, {_NAV_GLUED}) OR (len(tokens) > 0 AND len(list_filter(tokens, lambda x: NOT list_contains({_NAV_WORDS}, x))) = 0))) AS n_nav,

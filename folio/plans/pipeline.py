@@ -65,6 +65,14 @@ def predictions(pages: DataFrame) -> DataFrame:
     )
 
 
+def captured_entries(pages: DataFrame) -> DataFrame:
+    """Entries as book_chapters takes them, from the list pages among the captures themselves, see walks.resolved_lists."""
+    p = pages.join(cap.latest(pages.select("page_id", "url", "received_at", "captured_at")).select("page_id"), "page_id", "left_semi").select("page_id", "url", "html")
+    d = materialize(dom.dom(p).select("page_id", "anchors"))
+    a = dom.anchors(d)
+    return walks.resolved_lists(a, p, materialize(navigation.best_links(navigation.link_scores(a, p))))
+
+
 def ordered_entries(entries: DataFrame) -> DataFrame:
     """A book's entries in reading order: last one per url, turned round if the list descends, rotated if it begins with its later part."""
     e = materialize(catalog.keep_last(entries))
@@ -230,14 +238,15 @@ def export_books(chs: DataFrame) -> DataFrame:
 
 
 def diagnose(entries: DataFrame) -> DataFrame:
-    """(book_id, n, missing, orphans, broken): gaps in numbers, chapters without neighbours, and whether the order breaks."""
+    """(book_id, n, duplicates, missing, orphans, broken): entries of a url that another has, gaps in numbers, chapters without neighbours, and whether the order breaks."""
     e = materialize(ordered_entries(entries))
     keyed = e.withColumn("key", F.concat_ws("|", F.col("book_id").cast("string"), "norm_url"))
     edges = graph.consecutive_edges(keyed, "book_id", "key", F.col("direction") == "ASCENDING")
     end = graph.ends(keyed, edges)
     per = keyed.join(end, "key").groupBy("book_id").agg(F.count("*").alias("n"), F.count_if("is_orphan").alias("orphans"), (F.count_if("is_head") > 1).alias("broken"))
     miss = catalog.gaps(e).groupBy("book_id").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("missing"))
-    return per.join(miss, "book_id", "left").select("book_id", "n", F.coalesce("missing", F.lit(0)).alias("missing"), "orphans", "broken")
+    raw = entries.where("url IS NOT NULL AND book_id IS NOT NULL").groupBy("book_id").agg(F.count("*").alias("raw"))
+    return per.join(miss, "book_id", "left").join(raw, "book_id").select("book_id", "n", (F.col("raw") - F.col("n")).alias("duplicates"), F.coalesce("missing", F.lit(0)).alias("missing"), "orphans", "broken")
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -246,6 +255,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("command", choices=("analyze", "download", "inspect"))
     p.add_argument("tables", help="folder with fetched_pages, content_extractions and catalog_entries")
     p.add_argument("--out", required=True)
+    p.add_argument("--find-lists", action="store_true", help="take entries from the captured list pages, not from catalog_entries")
     p.add_argument("--max-chapters", type=int, help="read a book only so far, with a warning; else all of it")
     a = p.parse_args(argv)
     spark = build_session("folio")
@@ -255,7 +265,7 @@ def main(argv: list[str] | None = None) -> int:
         analyze(pages).write.mode("overwrite").parquet(a.out)
         cleanup(spark)
         return 0
-    entries = table(spark, a.tables, "catalog_entries")
+    entries = materialize(captured_entries(pages)) if a.find_lists else table(spark, a.tables, "catalog_entries")
     if a.command == "inspect":
         diagnose(entries).write.mode("overwrite").parquet(a.out)
         cleanup(spark)

@@ -1,6 +1,6 @@
 import pytest
 
-from folio.operators import catalog, content, dom, metadata, navigation, walks
+from folio.operators import catalog, content, dom, graph, metadata, navigation, walks
 
 STORY = "风吹过原野，他听见声音。" * 40
 
@@ -68,3 +68,29 @@ def test_literal_loaders(spark):
     pay = spark.createDataFrame([("http://h/data/x/7.js", "cb({\"h\":\"<a href='/2'>第2章</a>\"})")], "url string, text string")
     got = walks.expand(catalog.collapsed_markers(dom.dom(p)), p, pay).collect()
     assert [(r["after_href"], r["title"], r["url"]) for r in got] == [("/1", "第2章", "http://h/2")]
+
+
+def test_resolved_lists(spark):
+    item = lambda i: f"<li><a href='c{i}.html'>第{i}章 风{i}</a></li>"
+    body = lambda a, b, nxt: "<html><body><ul>" + "".join(item(i) for i in range(a, b)) + "</ul>" + (f"<a href='{nxt}'>下一页</a>" if nxt else "") + "</body></html>"
+    html = {"index_1.html": body(1, 8, "index_2.html"), "index_2.html": body(8, 15, "index_3.html"), "index_3.html": body(15, 20, "index_1.html"), "other/index_1.html": body(1, 7, "index_2.html")}
+    pages = spark.createDataFrame([(i, f"http://h/b/{u}", h) for i, (u, h) in enumerate(html.items(), 1)], "page_id bigint, url string, html string")
+    a = dom.anchors(dom.dom(pages)).cache()
+    links = navigation.best_links(navigation.link_scores(a, pages)).cache()
+    starts = pages.where("page_id IN (1, 4)").select("page_id")
+    # back to the first page on better evidence than a falling page number
+    round_ = links.where("page_id <> 3").unionByName(spark.createDataFrame([(3, "NEXT_PAGE", "http://h/b/index_1.html", 0.9)], "page_id bigint, relation string, target string, score double"))
+    assert {r["stopped_by"] for r in walks.list_walks(starts, links, pages).where("pos = 3").collect()} == {"no_next"}
+    w = {(r["start"], r["pos"]): (r["page"], r["stopped_by"]) for r in walks.list_walks(starts, round_, pages).collect()}
+    assert w == {(1, 1): (1, None), (1, 2): (2, None), (1, 3): (3, "loop"), (4, 1): (4, "not_captured")}
+    assert {r["stopped_by"] for r in walks.list_walks(starts, links, pages, 2).where("pos = 2").collect()} == {"max_pages"}
+    cut = links.where("page_id <> 3")
+    e = walks.resolved_lists(a, pages, cut).collect()
+    assert [r["title"] for r in sorted(e, key=lambda r: r["dom_index"]) if r["book_id"] == 1] == [f"第{i}章 风{i}" for i in range(1, 20)]
+    assert sum(r["book_id"] == 4 for r in e) == 6 and {r["book_id"] for r in e} == {1, 4}
+    assert walks.resolved_lists(a.limit(0), pages, cut).count() == 0
+
+
+def test_cycle_paths(spark):
+    e = spark.createDataFrame([(5, 3, 1.0), (3, 9, 1.0), (9, 5, 1.0), (1, 3, 1.0), (20, 21, 1.0), (21, 20, 1.0), (7, 8, 1.0)], "src bigint, dst bigint, confidence double")
+    assert sorted(map(tuple, graph.cycle_paths(e).collect())) == [(3, 0, 3), (3, 1, 9), (3, 2, 5), (20, 0, 20), (20, 1, 21)]
