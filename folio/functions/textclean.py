@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from folio.functions.titles import parse_title, strip_page_suffix
+from folio.functions.titles import let, parse_title, strip_page_suffix
 
 # Words of navigation lines.
 NAV_TOKENS = (
@@ -51,14 +51,24 @@ def is_page_number_line(line: Column) -> Column:
     return (F.length(line).between(1, 12)) & line.rlike(r"^[0-9\s　/页第\-_（()）.]+$")
 
 
-def is_duplicate_title(line: Column, title: Column) -> Column:
-    """The chapter's own title again: equal but for white space and page marks, or the same number in the grammar."""
-    def squeeze(c: Column) -> Column:
-        return F.regexp_replace(strip_page_suffix(c), r"[\s　]+", "")
+def _squeeze(c: Column) -> Column:
+    return F.regexp_replace(strip_page_suffix(c), r"[\s　]+", "")
 
-    a, b = parse_title(line), parse_title(title)
-    same = (a["confidence"] >= 0.85) & (b["confidence"] >= 0.85) & (a["order_token"] == b["order_token"]) & a["sub_number"].eqNullSafe(b["sub_number"]) & (F.length(line) <= 80)
-    return (title != "") & ((squeeze(line) == squeeze(title)) | F.coalesce(same, F.lit(False)))
+
+def known_title(title: Column) -> Column:
+    """What is_duplicate_title needs of a title, for many lines at once."""
+    p = parse_title(title)
+    return F.struct(title.alias("title"), _squeeze(title).alias("squeezed"), (p["confidence"] >= 0.85).alias("strong"), p["order_token"].alias("order"), p["sub_number"].alias("sub"))
+
+
+def is_duplicate_title(line: Column, known: Column) -> Column:
+    """The chapter's own title (see known_title) again: equal but for white space and page marks, or the same number in the grammar."""
+    def same(a: Column) -> Column:
+        return (a["confidence"] >= 0.85) & (a["order_token"] == known["order"]) & a["sub_number"].eqNullSafe(known["sub"])
+
+    # the grammar is tried on short lines only, and only against a title that it reads
+    again = F.when(F.coalesce(known["strong"], F.lit(False)) & (F.length(line) <= 80), let(parse_title(line), same))
+    return (known["title"] != "") & ((_squeeze(line) == known["squeezed"]) | F.coalesce(again, F.lit(False)))
 
 
 @F.pandas_udf(StringType())
@@ -76,8 +86,8 @@ def tidy(text: Column) -> Column:
 def clean_lines(text: Column, title: Column) -> Column:
     """Lines that stay: stripped, not empty, and neither navigation, prompt, page number nor the title again."""
     lines = F.transform(F.split(tidy(text), "\n"), lambda x: F.regexp_replace(x, r"^[\s　 ]+|[\s　 ]+$", ""))
-    t = F.coalesce(title, F.lit(""))
-    return F.filter(lines, lambda x: (x != "") & ~is_nav_line(x) & ~is_site_prompt(x) & ~is_page_number_line(x) & ~is_duplicate_title(x, t))
+    both = F.struct(lines.alias("lines"), known_title(F.coalesce(title, F.lit(""))).alias("title"))
+    return let(both, lambda b: F.filter(b["lines"], lambda x: (x != "") & ~is_nav_line(x) & ~is_site_prompt(x) & ~is_page_number_line(x) & ~is_duplicate_title(x, b["title"])))
 
 
 def clean_text(text: Column, title: Column) -> Column:

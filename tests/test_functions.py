@@ -61,7 +61,7 @@ def test_line_rules(spark):
     assert apply(spark, lines, textclean.is_nav_line) == [True, True, True, False, False, False, False, False, False]
     assert apply(spark, lines, textclean.is_site_prompt)[4] is True
     assert apply(spark, lines, textclean.is_page_number_line) == [False] * 5 + [True, True, False, False]
-    assert apply(spark, lines, lambda t: textclean.is_duplicate_title(t, F.lit("第3章 风（1/2）")))[7] is True
+    assert apply(spark, lines, lambda t: textclean.is_duplicate_title(t, textclean.known_title(F.lit("第3章 风（1/2）"))))[7] is True
 
 
 def test_clean_text(spark):
