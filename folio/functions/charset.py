@@ -67,9 +67,7 @@ def decide(raw: bytes | None, http_label: str | None) -> tuple[str, str, float,
         return equiv, "meta_http_equiv", 0.80, False
     best = from_bytes(raw).best()
     if best is not None and best.encoding:
-        found = normalize_charset(best.encoding)
-        if found:
-            return found, "statistical", 0.70, False
+        return normalize_charset(best.encoding) or best.encoding, "charset_normalizer", 0.70, False
     return "utf-8", "utf8_fallback", 0.30, False
 
 

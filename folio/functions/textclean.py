@@ -21,6 +21,7 @@ NAV_TOKENS = (
     "返回书页", "回目录", "上一卷", "下一卷",
     "prev", "previous", "next", "contents", "table of contents", "chapter list",
 )
+# Fixed value: symbols that part the words of a navigation line.
 NAV_SPLIT = r"[\s　→←\-—=~·、,，。;；:：|/\\»«‹›➤➜►▸★☆\[\]()（）【】\"'“”]+"
 # Prompts of sites between the lines of a text.
 SITE_PROMPTS = (
@@ -48,6 +49,7 @@ def is_site_prompt(line: Column) -> Column:
 
 
 def is_page_number_line(line: Column) -> Column:
+    # fixed value: the pattern of a line that only numbers a page
     return (F.length(line).between(1, 12)) & line.rlike(r"^[0-9\s　/页第\-_（()）.]+$")
 
 
@@ -79,6 +81,7 @@ def unescape_and_compose(s: pd.Series) -> pd.Series:
 
 def tidy(text: Column) -> Column:
     """Line feeds only, without invisible and control characters."""
+    # fixed value: invisible and control characters
     t = F.regexp_replace(text, r"\r\n?", "\n")
     return F.regexp_replace(t, "[​‌‍⁠﻿­\u0000-\u0008\u000b\u000c\u000e-\u001f\u007f]", "")
 
@@ -97,6 +100,7 @@ def clean_text(text: Column, title: Column) -> Column:
 
 def safe_filename(name: Column) -> Column:
     """A file name any system takes: no illegal characters, at most 80 long, no device name."""
+    # fixed values: characters and names that file systems refuse
     x = F.regexp_replace(F.regexp_replace(name, r'[<>:"/\\|?*\x00-\x1f]', "_"), r"^[\s　]+|[\s　]+$", "")
     x = F.regexp_replace(x, r"[. ]+$", "")
     x = F.regexp_replace(F.left(x, F.lit(80)), r"[. ]+$", "")

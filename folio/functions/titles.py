@@ -21,6 +21,7 @@ SPECIAL = {
 }
 # Characters trimmed from the ends of a title.
 TRIMMED = " \t\r\n　【】〔］[]「」『』《》〈〉\"'“”‘’（）()"
+# The grammar of numbered titles.
 NUM = r"(?:[0-9]+(?:\.[0-9]+)?|[零〇一二两三四五六七八九十百千万亿]+)"
 GAP = r"[:：\-—_\s　]*"
 SP = r"[\s　]*"
@@ -140,6 +141,7 @@ def strip_sub_number(title: Column) -> Column:
     return F.regexp_replace(t, r"^(第[\s　]*[0-9零〇一二两三四五六七八九十百千万]+[\s　]*[章节回话篇])[\s　:：\-—_(（]*[0-9]{1,4}[)）\s　:：\-—_]*$", "$1")
 
 
+# Marks of the pages of a chapter in its title.
 PAGE_MARK = r"[（(]\s*第\s*[0-9]+\s*页\s*[)）]|[（(]\s*[0-9]+\s*/\s*[0-9]+\s*[)）]"
 PAGE_SUFFIX = r"(?:\s*(?:[（(]\s*(?:第\s*[0-9]+\s*页|[0-9]+\s*/\s*[0-9]+|[0-9]+)\s*[)）]|[_\-][0-9]{1,3}|第\s*[0-9]+\s*页))+\s*$"
 

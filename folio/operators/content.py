@@ -45,6 +45,7 @@ def density_score(n: Column, titled: Column) -> Column:
     """Weighted text, punctuation, paragraphs, links and ideographs of a candidate node, in [0, 1]."""
     ratio = F.when(n["text_len"] > 0, n["link_len"] / n["text_len"]).otherwise(F.lit(1.0))
     cjk = F.when(n["text_len"] > 0, n["cjk"] / n["text_len"]).otherwise(F.lit(0.0))
+    # fixed values: the weights of the score
     s = (
         0.30 * F.least(F.lit(1.0), n["text_len"] / 500.0) + 0.20 * F.least(F.lit(1.0), n["punct"] / 20.0) + 0.15 * F.least(F.lit(1.0), n["paragraphs"] / 5.0)
         + 0.20 * F.greatest(F.lit(0.0), 1.0 - ratio * 2.0) + 0.15 * cjk

@@ -171,29 +171,38 @@ def fill_gaps(ordered: DataFrame, links: DataFrame, pages: DataFrame, titles: Da
 # -- lists behind scripts --------------------------------------------------------------------------
 
 _FUNC = r"function\s+{}\s*\(\s*(\w*)[^)]*\)\s*\{{(.*?)\}}"
-_CONCAT = re.compile(r"((?:[\"'][^\"']*[\"']|[\w.$]+(?:\([\"'][^\"']*[\"']\))?)(?:\s*\+\s*(?:[\"'][^\"']*[\"']|[\w.$]+(?:\([\"'][^\"']*[\"']\))?))+)")
+_TERM = r"(?:[\"'][^\"']*[\"']|[\w.$]+(?:\((?:[\"'][^\"']*[\"']|\s*[\w$]+\s*)\))?)"
+_CONCAT = re.compile(rf"({_TERM}(?:\s*\+\s*{_TERM})+)")
 
 
 def resolve_literal(html: str | None, fn: str | None, arg: str | None) -> str | None:
-    """The address a simple loader function builds from its argument by joining literals, globals and base64 literals; null if it is not that simple."""
+    """The address a simple loader function builds from its argument by joining literals, globals, and either in base64; null if it is not that simple."""
     if not html or not fn:
         return None
     m = re.search(_FUNC.format(re.escape(fn)), html, re.S)
     if not m:
         return None
     param, body = m.group(1), m.group(2)
+
+    def named(name: str) -> str | None:
+        if param and name == param:
+            return arg or ""
+        g = re.search(rf"(?:var|let|const)?\s*\b{re.escape(name)}\s*=\s*[\"']([^\"']*)[\"']", html)
+        return g.group(1) if g else None
+
     for e in _CONCAT.finditer(body):
         out, used = [], False
         for t in re.split(r"\s*\+\s*", e.group(1)):
             if t[0] in "\"'":
                 out.append(t[1:-1])
-            elif param and t == param:
-                out.append(arg or "")
-                used = True
             elif (b := re.fullmatch(r"(?:window\.)?atob\([\"']([^\"']*)[\"']\)", t)):
                 out.append(base64.b64decode(b.group(1)).decode("utf-8", "replace"))
-            elif (g := re.search(rf"(?:var|let|const)?\s*\b{re.escape(t)}\s*=\s*[\"']([^\"']*)[\"']", html)):
-                out.append(g.group(1))
+            elif (b := re.fullmatch(r"base64\(\s*([\w$]+)\s*\)", t)) and (v := named(b.group(1))) is not None:
+                out.append(base64.b64encode(v.encode()).decode())
+                used = used or b.group(1) == param
+            elif re.fullmatch(r"[\w.$]+", t) and (v := named(t)) is not None:
+                out.append(v)
+                used = used or t == param
             else:
                 break
         else:

@@ -98,4 +98,4 @@ def test_charset_sees_the_whole_page():
     raw = b"<script>" + b"var a = 1;\n" * 6500 + b"</script>" + story.encode()
     assert len(raw) > 65536 + 10000
     text, name, source = charset.decode_page(raw, None)[:3]
-    assert source == "statistical" and name == "utf-8" and "\ufffd" not in text and story in text
+    assert source == "charset_normalizer" and name == "utf-8" and "\ufffd" not in text and story in text

@@ -94,3 +94,10 @@ def test_resolved_lists(spark):
 def test_cycle_paths(spark):
     e = spark.createDataFrame([(5, 3, 1.0), (3, 9, 1.0), (9, 5, 1.0), (1, 3, 1.0), (20, 21, 1.0), (21, 20, 1.0), (7, 8, 1.0)], "src bigint, dst bigint, confidence double")
     assert sorted(map(tuple, graph.cycle_paths(e).collect())) == [(3, 0, 3), (3, 1, 9), (3, 2, 5), (20, 0, 20), (20, 1, 21)]
+
+
+def test_literal_addresses():
+    html = "<script>var cb = 'x'; function load(id){ s.src = '/d/' + base64(id) + '?c=' + cb; } function other(id){ get(window.atob('L2Qv') + id + '.js') } function hard(id){ go(f(id) + g) }</script>"
+    assert walks.resolve_literal(html, "load", "7") == "/d/Nw==?c=x"
+    assert walks.resolve_literal(html, "other", "7") == "/d/7.js"
+    assert walks.resolve_literal(html, "hard", "7") is None and walks.resolve_literal(html, "none", "7") is None and walks.resolve_literal(None, "load", "7") is None
