@@ -17,6 +17,20 @@ def test_with_previous_is_lag(spark):
     assert util.with_previous(df.limit(0), ["k"], ["o", "i"], ["i"]).count() == 0
 
 
+def test_running_is_a_running_window(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), i, rng.choice([None, *range(9)])) for i in range(500)] + [("z", 1000, None)]
+    df = spark.createDataFrame(rows, "k string, o int, v int").repartition(7)
+    w = Window.partitionBy("k").orderBy("o")
+    up, down = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    v = F.col("v")
+    want = df.select("k", "o", F.coalesce(F.sum("v").over(up), F.lit(0)), F.min("v").over(up), F.coalesce(F.sum("v").over(down), F.lit(0)), F.max("v").over(down), F.lead("o").over(w))
+    got = util.running(df, "k", ["o"], {"s": ("sum", v), "m": ("min", v)}, {"t": ("sum", v), "x": ("max", v), "n": ("next", F.col("o"))}).select("k", "o", "s", "m", "t", "x", "n")
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+    assert util.running(df.limit(0), "k", ["o"], {"s": ("sum", v)}).count() == 0
+
+
 def test_skew_safe_join_matches_plain_join(spark):
     rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit(7)).otherwise(F.col("id") % 500).cast("bigint").alias("k"), "id")
     groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("m"))
