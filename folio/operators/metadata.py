@@ -33,13 +33,17 @@ def _meta(name: str) -> Column:
 
 
 def _ld(path: str) -> Column:
-    """A member of the first JSON-LD object of a book; null for broken JSON. A name may be a string, an object or a list."""
+    """A member of the first JSON-LD object of a book, in a list or graph of them as well; null for broken JSON. A name may be a string, an object or a list."""
     def pick(x: Column) -> Column:
         kind = F.lower(F.coalesce(F.get_json_object(x, "$['@type']"), F.lit("")))
         ok = kind.contains("book") | kind.contains("creativecontent")
         return F.when(ok, F.coalesce(F.get_json_object(x, f"$.{path}.name"), F.get_json_object(x, f"$.{path}[0].name"), F.get_json_object(x, f"$.{path}[0]"), F.get_json_object(x, f"$.{path}")))
 
-    return F.try_element_at(F.filter(F.transform("json_ld", pick), lambda x: x.isNotNull()), F.lit(1))
+    def each(x: Column) -> Column:
+        many = lambda j: F.coalesce(F.from_json(j, "array<string>"), F.array().cast("array<string>"))
+        return F.concat(F.array(x), many(x), many(F.get_json_object(x, "$['@graph']")))
+
+    return F.try_element_at(F.filter(F.transform(F.flatten(F.transform("json_ld", each)), pick), lambda x: x.isNotNull()), F.lit(1))
 
 
 def metadata(d: DataFrame, keep: list[str] | None = None) -> DataFrame:

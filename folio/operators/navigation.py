@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions import urls
-from folio.util import with_previous
+from folio.util import materialize, skew_safe_join, with_previous
 
 # Words of links, by relation.
 NEXT_CHAPTER = ("下一章", "下一节", "下一回", "下一话", "next chapter", "next")
@@ -141,6 +141,45 @@ def compare(a: str, b: str) -> Column:
     )
 
 
+def classes(sets: DataFrame, key: str, doc: str, items: str) -> DataFrame:
+    """(key, class_id, items, n_members, doc): each document with the class of those of its key that have the same set; class_id is the smallest document.
+
+    Null documents, keys and sets have no row; an empty set is a set.
+    """
+    d = sets.where(F.col(key).isNotNull() & F.col(doc).isNotNull() & F.col(items).isNotNull()).select(F.col(key).alias("key"), F.col(doc).alias("doc"), F.array_sort(F.array_distinct(items)).alias("items"))
+    d = materialize(d.withColumn("h", F.md5(F.to_json(F.struct("key", "items")))))
+    g = d.groupBy("h").agg(F.min("doc").alias("class_id"), F.count("*").alias("n_members"))
+    # a class may hold a third of all documents
+    return skew_safe_join(d, g.withColumn("n", F.col("n_members")), ["h"], "n", d.count()).select("key", "class_id", "items", "n_members", "doc")
+
+
+def alike(of: DataFrame, least: float = 0.8) -> DataFrame:
+    """(key, a_id, b_id, jaccard): pairs of classes of one key whose sets have at least so much in common; empty sets are like none.
+
+    Exact: the rarest items of a set, so many that two sets alike must share one
+    of them, are joined, and only what they bring together is compared.
+    """
+    c = materialize(of.select("key", "class_id", "items").distinct().where(F.size("items") > 0))
+    t = materialize(c.select("key", "class_id", F.size("items").alias("n"), F.explode("items").alias("item")))
+    f = t.groupBy("key", "item").agg(F.count("*").alias("f"))
+    w = skew_safe_join(t, f.withColumn("c", F.col("f")), ["key", "item"], "c", t.count())
+    rare = w.groupBy("key", "class_id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "item"))).alias("s"))
+    # whole-number arithmetic: 0.8 * n may come out just above a whole number
+    need = F.ceil(F.round(F.col("n") * F.lit(least), 6)).cast("int")
+    head = materialize(rare.select("key", "class_id", "n", F.explode(F.slice("s", F.lit(1), F.col("n") - need + 1)).alias("x")).select("key", "class_id", "n", F.col("x.item").alias("item")))
+    a, b = head.select("key", "item", F.col("class_id").alias("a_id"), F.col("n").alias("a_n")), head.select("key", "item", F.col("class_id").alias("b_id"), F.col("n").alias("b_n"))
+    near = (F.col("a_id") < F.col("b_id")) & (F.round(F.greatest("a_n", "b_n") * F.lit(least), 6) <= F.least("a_n", "b_n"))
+    p = a.join(b, ["key", "item"]).where(near).select("key", "a_id", "b_id").distinct()
+    j = p.join(c.select("key", F.col("class_id").alias("a_id"), F.col("items").alias("a")), ["key", "a_id"]).join(c.select("key", F.col("class_id").alias("b_id"), F.col("items").alias("b")), ["key", "b_id"])
+    return j.select("key", "a_id", "b_id", jaccard(F.col("a"), F.col("b")).alias("jaccard")).where(F.round("jaccard", 9) >= least)
+
+
+def linked_classes(of: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc, class_id, n_members, n_links): each document with its class and the number of other classes that are alike."""
+    n = pairs.select(F.col("a_id").alias("class_id")).unionByName(pairs.select(F.col("b_id").alias("class_id"))).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    return of.join(n, "class_id", "left").select("doc", "class_id", "n_members", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def continuity(delta: Column) -> Column:
     return F.when(delta.isNull(), None).when((delta > 0) & (delta <= 1), 1.0).when(delta > 1, 0.4).when(delta == 0, 0.1).otherwise(0.0)
 

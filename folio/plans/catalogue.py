@@ -147,6 +147,28 @@ def _links(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return p, materialize(navigation.best_links(navigation.link_scores(a, p)))
 
 
+def fingerprint_classes(s: SparkSession, d: str) -> DataFrame:
+    """Each page with the class of its host's pages that have the same link texts in the same furniture, and how many other classes are alike."""
+    dm = dom.dom(_pages(s, d)).select("page_id", "anchors")
+    made = F.array_distinct(F.filter(F.transform(F.filter("anchors", lambda a: a["nav"]), lambda a: navigation.digit_free(navigation.normalize_name(a["text"]))), lambda x: x != ""))
+    c = materialize(navigation.classes(dm.select("page_id", made.alias("m")).join(_pages(s, d).select("page_id", "host"), "page_id"), "host", "page_id", "m"))
+    return navigation.linked_classes(c, navigation.alike(c))
+
+
+def _list_sets(s: SparkSession, d: str) -> DataFrame:
+    """The distinct first words of the titles of each list, by host: sets that SQL can make too."""
+    e = table(s, d, "catalog_entries").where("source_page_url IS NOT NULL AND host IS NOT NULL")
+    return e.groupBy("host", "source_page_url").agg(F.collect_set(F.left("title", F.lit(2))).alias("m"))
+
+
+def list_classes(s: SparkSession, d: str) -> DataFrame:
+    return navigation.classes(_list_sets(s, d), "host", "source_page_url", "m").select("doc", "class_id", "n_members")
+
+
+def lists_alike(s: SparkSession, d: str) -> DataFrame:
+    return navigation.alike(materialize(navigation.classes(_list_sets(s, d), "host", "source_page_url", "m")), 0.3)
+
+
 def relation_score(s: SparkSession, d: str) -> DataFrame:
     """Neighbours of a list by their links, by links that answer each other, by the list and by their numbers."""
     e = catalog.numbered(table(s, d, "catalog_entries").where("book_id IS NOT NULL")).select("book_id", "entry_id", "dom_index", "url", F.col("p.order_token").alias("t"))
@@ -481,7 +503,7 @@ def queries() -> dict[str, Query]:
         "host_link_density": host_link_density, "url_normalize": url_normalize, "url_page_number": url_page_number, "url_pair_similarity": url_pair_similarity,
         "anchor_inventory": anchor_inventory, "page_title_pick": page_title_pick, "title_parse": title_parse, "strip_suffixes": strip_suffixes, "content_status": content_status,
         "phrase_hits": phrase_hits, "metadata_best": metadata_best, "fingerprint_jaccard": fingerprint_jaccard, "tag_signature_similarity": tag_signature_similarity,
-        "fingerprint_compare": fingerprint_compare, "relation_score": relation_score, "catalog_dominant_dir": catalog_dominant_dir, "catalog_keep_last": catalog_keep_last,
+        "fingerprint_compare": fingerprint_compare, "fingerprint_classes": fingerprint_classes, "list_classes": list_classes, "lists_alike": lists_alike, "relation_score": relation_score, "catalog_dominant_dir": catalog_dominant_dir, "catalog_keep_last": catalog_keep_last,
         "catalog_direction": k(catalog.direction), "catalog_segment_rotate": k(catalog.rotate), "catalog_gaps": k(catalog.gaps), "boilerplate_blocks": boilerplate_blocks,
         "boilerplate_removed": boilerplate_removed, "clean_lines": clean_lines, "line_kinds": line_kinds, "duplicate_content_pages": duplicate_content_pages, "part_merge": part_merge,
         "running_median_ok": running_median_ok, "consecutive_failure_cut": consecutive_failure_cut, "adaptive_pacing": adaptive_pacing, "status_counts": status_counts,

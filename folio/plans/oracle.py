@@ -187,6 +187,8 @@ kc AS (SELECT page_id, idx, dir, CASE lv WHEN 1 THEN p2 WHEN 2 THEN p3 WHEN 3 TH
 dd AS (SELECT page_id, cluster, dir, count(*) AS n, min(idx) AS first FROM kc GROUP BY page_id, cluster, dir),
 dz AS (SELECT *, CAST(sum(n) OVER w AS BIGINT) AS size, min(first) OVER w AS first_idx, row_number() OVER (PARTITION BY page_id, cluster ORDER BY n DESC, first) AS rn FROM dd WINDOW w AS (PARTITION BY page_id, cluster)),
 cl AS (SELECT page_id, cluster, size, CAST(CASE WHEN size >= 30 THEN 0.55 WHEN size >= 15 THEN 0.45 WHEN size >= 8 THEN 0.30 WHEN size >= 5 THEN 0.20 ELSE 0 END + CASE WHEN dir <> '' AND n >= 0.8 * size THEN 0.10 ELSE 0 END AS DOUBLE) AS score, dir AS dominant_dir, CAST(n AS DOUBLE) / size AS dir_share, first_idx FROM dz WHERE rn = 1)"""
+_SETS = """s AS (SELECT host, source_page_url AS doc, list_sort(list(DISTINCT left(title, 2))) AS m FROM catalog_entries WHERE source_page_url IS NOT NULL AND host IS NOT NULL GROUP BY host, source_page_url),
+c AS (SELECT *, min(doc) OVER w AS class_id, count(*) OVER w AS n_members FROM s WINDOW w AS (PARTITION BY host, m))"""
 _PHRASE_PAGES = ", ".join(f"({-i}, {q(f'<p>- {w} -</p>')})" for i, w in enumerate((w for _, _, words in content.PHRASES for w in words), 1))
 _NAV_SPLIT = q(textclean.NAV_SPLIT)
 _NAV_WORDS = "[" + ", ".join(map(q, textclean.NAV_TOKENS)) + "]"
@@ -217,6 +219,9 @@ SELECT a_id, b_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE CAST(len(lis
         "n AS (SELECT page_id AS b_id, m AS b, lag(page_id) OVER w AS a_id, lag(m) OVER w AS a FROM m WINDOW w AS (PARTITION BY host ORDER BY page_id)) "
         "SELECT a_id, b_id, coalesce(CAST(list_sum(list_transform(list_zip(a, b), lambda x: least(x[1], x[2]))) AS DOUBLE) / nullif(list_sum(list_transform(list_zip(a, b), lambda x: greatest(x[1], x[2]))), 0), 0.0) AS sim FROM n WHERE a_id IS NOT NULL"
     ),
+    "list_classes": f"WITH {_SETS} SELECT doc, class_id, n_members FROM c",
+    "lists_alike": f"""WITH {_SETS}, r AS (SELECT DISTINCT host, class_id, m FROM c WHERE len(m) > 0), j AS (SELECT a.host AS key, a.class_id AS a_id, b.class_id AS b_id, CAST(len(list_intersect(a.m, b.m)) AS DOUBLE) / len(list_distinct(list_concat(a.m, b.m))) AS jaccard FROM r a JOIN r b ON a.host = b.host AND a.class_id < b.class_id)
+SELECT * FROM j WHERE round(jaccard, 9) >= 0.3""",
     "relation_score": f"""WITH {_NAV}, {parse('catalog_entries', 'book_id, entry_id, dom_index, url', 'book_id IS NOT NULL')},
 n AS (SELECT entry_id AS b_id, url AS b_url, order_token AS b_t, dom_index AS b_i, lag(entry_id) OVER w AS a_id, lag(url) OVER w AS a_url, lag(order_token) OVER w AS a_t, lag(dom_index) OVER w AS a_i FROM t_parsed WINDOW w AS (PARTITION BY book_id ORDER BY dom_index NULLS FIRST, entry_id)),
 nav AS (SELECT page_id AS a_id, to_id AS b_id, max(score) AS nav FROM best WHERE relation = 'NEXT_CHAPTER' AND to_id IS NOT NULL GROUP BY 1, 2), rec AS (SELECT DISTINCT a AS a_id, b AS b_id, 1.0 AS back FROM both_ways),

@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -300,3 +301,34 @@ def test_deep_rescans(spark):
     got = {r["page_id"]: r for r in content.deep_confidence(content.pick_content(dom.dom(df))).collect()}
     assert (got[1]["tag"], got[1]["text"]) == ("div", story) and got[1]["confidence"] > 0.35
     assert got[2]["tag"] == "body" and got[2]["confidence"] == 0.35
+
+
+def test_classes_and_alike(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("gh"), i, sorted(rng.sample("abcdefgh", rng.randint(0, 8)))) for i in range(160)] + [("h", 500 + i, ["x", "y"]) for i in range(80)] + [(None, 1000, ["a"]), ("h", None, ["a"]), ("h", 1001, None)]
+    df = spark.createDataFrame(rows, "k string, i bigint, m array<string>")
+    sets = {}
+    for k, i, m in rows:
+        if k and i is not None and m is not None:
+            sets.setdefault((k, tuple(m)), []).append(i)
+    c = navigation.classes(df, "k", "i", "m").cache()
+    assert {(r["doc"], r["class_id"], r["n_members"]) for r in c.collect()} == {(i, min(v), len(v)) for v in sets.values() for i in v}
+    for least in (0.5, 0.8, 1.0):
+        want = set()
+        for (k, m), v in sets.items():
+            for (k2, m2), v2 in sets.items():
+                if k == k2 and min(v) < min(v2) and m and m2 and len({*m} & {*m2}) / len({*m} | {*m2}) >= least:
+                    want.add((k, min(v), min(v2)))
+        p = navigation.alike(c, least)
+        assert {(r["key"], r["a_id"], r["b_id"]) for r in p.collect()} == want
+    n = {r["doc"]: r["n_links"] for r in navigation.linked_classes(c, navigation.alike(c)).collect()}
+    assert len(n) == 240 and n[500] == 0
+    assert navigation.alike(c.limit(0)).count() == 0
+
+
+def test_json_ld_in_lists_and_graphs(spark):
+    ld = lambda x: f"<script type='application/ld+json'>{x}</script>"
+    book = '{"@type":"Book","name":"风书","author":[{"name":"李"}]}'
+    pages = spark.createDataFrame([(1, ld(f'[{{"@type":"WebSite","name":"站"}},{book}]')), (2, ld(f'{{"@graph":[{{"@type":"WebPage","name":"页"}},{book}]}}')), (3, ld("{broken") + ld(book)), (4, ld("[]"))], "page_id bigint, html string")
+    got = by_id(metadata.metadata(dom.dom(pages)))
+    assert [(got[i]["book_title"], got[i]["author"]) for i in (1, 2, 3, 4)] == [("风书", "李")] * 3 + [(None, None)]
