@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 from folio.llm.ngrams import points
 
-#: Hashed features; with the dense ones they bound the size of a model.
+#: Hashed features, a power of 2; with the dense ones they bound the size of a model.
 DIM = 1 << 17
 ORDERS = (1, 2, 3, 4)
 _SALT = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
@@ -18,31 +20,36 @@ def ngrams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a = points("\n" + "\n".join(lines) + "\n")
     nl = a == 10
-    row = np.cumsum(nl) - 1
+    row = np.cumsum(nl, dtype=np.int32) - 1
     x = np.where((a >= 48) & (a <= 57), np.uint32(48), a).astype(np.uint64)
     feats, rows = [], []
-    h = np.zeros(len(x), np.uint64)
+    h = (x + np.uint64(1)) * np.uint64(_SALT[1])
     for n in ORDERS:
         # the n-gram that begins at i; a line feed may only stand at its ends
         if n == 1:
-            h = (x + np.uint64(1)) * np.uint64(_SALT[1])
             ok = ~nl
         else:
             h = (h[:-1] ^ (x[n - 1:] * np.uint64(_SALT[n]))) * np.uint64(0xBF58476D1CE4E5B9)
-            ok = np.ones(len(h), bool)
-            for k in range(1, n - 1):
-                ok &= ~nl[k: k + len(h)]
             if n == 2:
-                ok &= ~(nl[:-1] & nl[1:])
-        i = np.flatnonzero(ok)
-        feats.append(((h[i] ^ (h[i] >> np.uint64(31))) >> np.uint64(3)) % np.uint64(DIM))
-        r = row[i]
-        if n > 1:  # one that begins with the line feed before a line belongs to that line
-            r = np.maximum(r, 0)
-        rows.append(r)
-    f, r = np.concatenate(feats).astype(np.int64), np.concatenate(rows).astype(np.int64)
+                ok = ~(nl[:-1] & nl[1:])
+            else:
+                inner = ~nl[1:-1] if n == 3 else inner[:-1] & ~nl[n - 2:-1]  # noqa: F821
+                ok = inner
+        v = h >> np.uint64(31)
+        v ^= h
+        v >>= np.uint64(3)
+        v &= np.uint64(DIM - 1)
+        feats.append(v[ok])
+        rows.append(row[: len(h)][ok])  # one that begins with the line feed before a line belongs to that line
+    f, r = np.concatenate(feats).view(np.int64), np.concatenate(rows).astype(np.int64)
     keep = r < len(lines)
-    return f[keep], r[keep]
+    return (f, r) if keep.all() else (f[keep], r[keep])
+
+
+def scaled(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ngrams() and the value of each: 1/sqrt(number of its line's n-grams)."""
+    f, r = ngrams(lines)
+    return f, r, (1 / np.sqrt(np.maximum(np.bincount(r, minlength=len(lines)), 1)))[r]
 
 
 class Logistic:
@@ -74,15 +81,25 @@ def fit(lines: list[str], dense: np.ndarray, y: np.ndarray, weight: np.ndarray |
     c = c / c.sum()
     u, k = len(used), dense.shape[1]
     theta = np.zeros(u + k + 1)
-    m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    for t in range(1, steps + 1):
+
+    def gradient(_: int, theta: np.ndarray) -> np.ndarray:
         z = np.bincount(r, weights=theta[f] * v, minlength=n) + dense @ theta[u:u + k] + theta[-1]
         e = c * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        g = np.concatenate([np.bincount(f, weights=e[r] * v, minlength=u), dense.T @ e, [e.sum()]])
-        g[:-1] += l2 / n * theta[:-1]
-        m1 = 0.9 * m1 + 0.1 * g
-        m2 = 0.99 * m2 + 0.01 * g * g
-        theta -= rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-9)
+        return np.concatenate([np.bincount(f, weights=e[r] * v, minlength=u), dense.T @ e, [e.sum()]])
+
+    theta = adam(theta, gradient, n, l2, steps, rate)
     w = np.zeros(DIM)
     w[used] = theta[:u]
     return Logistic(w, theta[u:u + k], theta[-1])
+
+
+def adam(theta: np.ndarray, gradient: Callable[[int, np.ndarray], np.ndarray], n: int | np.ndarray, l2: float, steps: int = 80, rate: float = 0.15) -> np.ndarray:
+    """Weights after the steps; the last of them, a classifier's constant, is not regularized. ``gradient``: of the loss in a step (from 1) at some weights."""
+    m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
+    for t in range(1, steps + 1):
+        g = gradient(t, theta)
+        g[..., :-1] += l2 / n * theta[..., :-1]
+        m1 = 0.9 * m1 + 0.1 * g
+        m2 = 0.99 * m2 + 0.01 * g * g
+        theta = theta - rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-9)
+    return theta

@@ -56,6 +56,25 @@ def test_found(spark):
     assert kept == {r[0] for r in rows} - got | {9001, 9002, 9003}
 
 
+def test_every_page_counts(spark):
+    """Two pages among thousands tell a message, and the lines of all pages are labelled: a sample would miss them."""
+    rare = "the lantern keeper has gone home early"
+    rows = [(i, f"h{i % 3}.example", 404 if i % 2 else 200, f"<p>Leaf {i} of {i * 7919 % 10007} lies here alone.</p><p>{rare if i in (17, 4321) else i}</p>", "x") for i in range(9000)]
+    df = rs.page_rows(spark.createDataFrame(rows, SCHEMA)).withColumn("rid", rs.F.monotonically_increasing_id()).persist()
+    assert rs._hash(rare) in {r["part"] for r in rs.learned(df).where("sets % 2 = 1").collect()}
+    got = {r["page_id"]: r["own"] for r in rs.weak_labels(df, 1).join(df.select("rid", "page_id"), "rid").select("page_id", "own").collect()}
+    assert len(got) == 9000 and rs.LABELS[got[17][1]] == rs.LABELS[got[4321][1]] == (1, 2.0)
+    df.unpersist()
+
+
+def test_steps_over_shares_of_the_pages(spark, monkeypatch):
+    monkeypatch.setattr(rs, "STEP_LINES", 1500)
+    monkeypatch.setattr(rs, "STEPS", 24)
+    rows, bad = make()
+    got = {r["page_id"] for r in rs.found(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got & bad) >= 0.97 * len(bad) and len(got - bad) <= 0.03 * len(bad), (sorted(bad - got)[:5], sorted(got - bad)[:5])
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert rs.found(df).count() == 0
