@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
+
 from folio.llm import residue as rs
-from folio.llm.patterns import PLACEHOLDER
+from folio.llm.patterns import FILLER, MESSAGE, PLACEHOLDER, may_tell
 
 WORDS = "river stone lantern bridge quiet morning letter garden tower window silver market barrel harbour meadow".split()
 
@@ -75,6 +77,40 @@ def test_steps_over_shares_of_the_pages(spark, monkeypatch):
     assert len(got & bad) >= 0.97 * len(bad) and len(got - bad) <= 0.03 * len(bad), (sorted(bad - got)[:5], sorted(got - bad)[:5])
 
 
+def test_long_lines_stay_with_the_tasks(spark, monkeypatch):
+    """Few lines of much text: the driver gets what is not 0 of the sums, a fraction of the weights, and the fit is the one of all lines in one place."""
+    monkeypatch.setattr(rs, "STEPS", 12)
+    rows, _ = make()
+    pages = rs.materialize(rs.page_rows(spark.createDataFrame(rows, SCHEMA)).withColumn("rid", rs.F.monotonically_increasing_id()))
+    taught = rs.materialize(rs.weak_labels(pages, 1))
+    whole, sent, add = rs.fit(taught, 1, rs.DRIVER_CHARACTERS), [], rs._add_packed
+    monkeypatch.setattr(rs, "_add_packed", lambda g, some, v: sent.append(len(some) + len(v)) or add(g, some, v))
+    monkeypatch.setattr(rs.linear, "fit", None)
+    parts = rs.fit(taught, 1, rs.DRIVER_CHARACTERS + 1)
+    assert 12 <= len(sent) <= 12 * rs.SUMS and max(sent) < 3 * 8 * rs.linear.DIM / 4
+    for a, b in zip(whole, parts, strict=True):
+        assert np.allclose(a.w, b.w, atol=1e-5) and np.allclose(a.d, b.d, atol=1e-6) and abs(a.b - b.b) < 1e-6
+
+
+def test_packed_sums_lose_nothing():
+    g = np.zeros((3, 21))
+    g[0, 3], g[1, 20], g[2, 0] = 1 / 3, -1e-300, np.inf
+    total = np.ones((3, 21))
+    rs._add_packed(total, *rs._packed(g))
+    assert (total == 1 + g).all()
+
+
+def test_cheap_look_for_phrases():
+    told = [
+        "we could not find it", "access is denied", "acceſs denied", "internal server error", "please turn on your javascript", "need js", "traceback", "introuvable.", "n'existe pas", "les scripts sont bloqués", "не найден",
+        "доступ запрещён", "禁用了js", "見つかりませんでした。", "lorem ipsum", "asdf asdf", "tbd tbd ", "dummy text", "текст-заполнитель", "ダミー", "sed quis, ut nulla", "ut ſit ut ut", "texte d'exemple", "our text will appear",
+    ]
+    for s in told:
+        assert FILLER.search(s) or MESSAGE.search(s), s
+        assert may_tell(s) and may_tell(f"a story\n{s}\nand more"), s
+    assert not may_tell("bela sed ut sit and copied the signs into the margin")
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert rs.found(df).count() == 0
