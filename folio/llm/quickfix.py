@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from folio.llm.encoding_repair import MULTI, SINGLE, _utf8_runs, candidates
+from folio.llm.encoding_repair import MULTI, SINGLE, _utf8_runs, _utf8_start, candidates
 
 _ODD = re.compile("[\x80-\x9f�ㄛ﹝偟傪]|[\xa0-\xff]{3}")
 _GB_UTF8 = re.compile(rb"(?:[\xe2-\xef][\x80-\xbf]{2}|[\xd0\xd1][\x80-\xbf]){3}")
@@ -32,7 +32,7 @@ def damaged(text: str) -> bool:
         return True
     if _CJK.search(high):
         return bool(_GB_UTF8.search(high.encode("gb18030", "ignore")))
-    return bool(_KOI.search(high)) or any(_utf8_runs(n).search(high) for n in ("cp1252", "cp1251", "mac_roman"))
+    return bool(_KOI.search(high)) or any(_utf8_start(n).search(high) and _utf8_runs(n).search(high) for n in ("cp1252", "cp1251", "mac_roman"))
 
 
 @lru_cache(20_000)
