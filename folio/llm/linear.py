@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -46,10 +46,65 @@ def ngrams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (f, r) if keep.all() else (f[keep], r[keep])
 
 
-def scaled(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ngrams() and the value of each: 1/sqrt(number of its line's n-grams)."""
-    f, r = ngrams(lines)
-    return f, r, (1 / np.sqrt(np.maximum(np.bincount(r, minlength=len(lines)), 1)))[r]
+class Hashed:
+    """n-grams of ngrams() in the order of the text: a number for each order and place, DIM where no n-gram begins, so that sums over lines need no line numbers."""
+
+    __slots__ = ("f", "at", "scale")
+
+    def __init__(self, lines: list[str]):
+        a = points("\n" + "\n".join(lines) + "\n")
+        nl, n = np.flatnonzero(a == 10), len(a) - 1
+        x = np.zeros(n + len(ORDERS), np.uint64)
+        x[: n + 1] = np.where((a >= 48) & (a <= 57), np.uint32(48), a)
+        f = np.empty((len(ORDERS), n), np.uint64)
+        h = (x[:n] + np.uint64(1)) * np.uint64(_SALT[1])
+        y = np.empty_like(h)
+        for k, v in zip(ORDERS, f, strict=True):
+            if k > 1:
+                np.multiply(x[k - 1: k - 1 + n], np.uint64(_SALT[k]), out=y)
+                h ^= y
+                h *= np.uint64(0xBF58476D1CE4E5B9)
+            np.right_shift(h, np.uint64(31), out=v)
+            v ^= h
+            v >>= np.uint64(3)
+            v &= np.uint64(DIM - 1)
+        self.f = f.view(np.int64)
+        #: A line's places begin at the line feed before it.
+        self.at = nl[:-1]
+        length = np.diff(nl) - 1
+        self.f[0, self.at] = DIM
+        self.f[1, self.at[length == 0]] = DIM
+        self.f[2:, nl[1:] - 1] = DIM
+        self.f[3, np.maximum(nl[1:] - 2, 0)] = DIM
+        #: 1/sqrt(number of a line's n-grams).
+        self.scale = 1 / np.sqrt(np.maximum(len(ORDERS) * length, 1))
+
+    def logits(self, w: np.ndarray) -> np.ndarray:
+        """Of each line by its n-grams; ``w`` has DIM + 1 weights, the last 0."""
+        s = w[self.f[0]]
+        for f in self.f[1:]:
+            s += w[f]
+        return np.add.reduceat(s, self.at) * self.scale
+
+    def gradient(self, e: np.ndarray) -> np.ndarray:
+        """Sums by n-gram of the lines' errors."""
+        x = np.repeat(e * self.scale, np.diff(self.at, append=self.f.shape[1]))
+        g = np.bincount(self.f[0], weights=x, minlength=DIM + 1)
+        for f in self.f[1:]:
+            g += np.bincount(f, weights=x, minlength=DIM + 1)
+        return g[:DIM]
+
+
+def pieces(lines: list[str], characters: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Where to cut lines so that no piece has more characters, but for single lines."""
+    at = n = 0
+    for i, x in enumerate(lines):
+        if n and n + len(x) + 1 > characters:
+            yield at, i
+            at, n = i, 0
+        n += len(x) + 1
+    if n:
+        yield at, len(lines)
 
 
 class Logistic:

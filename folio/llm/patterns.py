@@ -39,16 +39,35 @@ _PHRASES = (
     "|introuvable.|existe pas|accès refusé|erreur interne|trop de requêtes|bloqué|vérification de votre|não foi encontrad|acesso negado|erro interno|muitas requisições|bloqueia scripts|verificando seu"
     "|не найден|доступ запрещ|внутренняя ошибка|слишком много запросов|скрипты отключ|проверяем ваш|見つかりませんでした。|アクセスが拒否|内部エラー|スクリプトが無効|アクセスが集中|ブラウザを確認"
 ).split("|")
+_LOW, _HIGH = bytes(range(128)), bytes(range(128, 256))
+#: Bytes of these that a text holds if it does once all others are left out: those of ASCII if they tell enough, else those beyond.
+_LOW_PHRASES = [b for x in _PHRASES if len(b := x.encode().translate(None, _HIGH)) >= 5 or x.isascii()]
+_HIGH_PHRASES = [b.translate(None, _LOW) for x in _PHRASES if len((b := x.encode()).translate(None, _HIGH)) < 5 and not x.isascii()]
 #: ... of which there are four; letters that a pattern takes for i, s or Cyrillic ones whatever their case.
-_WORDS = frozenset("dolor dolore eiusmod tempor incididunt labore magna aliqua minim veniam nostrud ullamco laboris nisi commodo velit esse cillum fugiat nulla excepteur sint occaecat cupidatat proident culpa officia deserunt mollit anim laborum irure sed sit quis ut".split())
-_WORD, _OTHER_CASE = re.compile(r"\w+"), re.compile("[\u0131\u017f\u1c80-\u1c88]")
+_WORDS = frozenset(b"dolor dolore eiusmod tempor incididunt labore magna aliqua minim veniam nostrud ullamco laboris nisi commodo velit esse cillum fugiat nulla excepteur sint occaecat cupidatat proident culpa officia deserunt mollit anim laborum irure sed sit quis ut".split())
+_NO_LETTERS = bytes(c if 97 <= c <= 122 else 32 for c in range(256))
+_HIGH_PHRASES += [x.encode() for x in "\u0131\u017f"] + ["\u1c80".encode()[:2]]
 
 
 def may_tell(s: str) -> bool:
     """False only if neither FILLER nor MESSAGE has a match in any line of a text in lower case; far cheaper than both."""
-    if any(x in s for x in _PHRASES) or not s.isascii() and _OTHER_CASE.search(s):
-        return True
-    return sum(x in _WORDS for x in _WORD.findall(s)) >= 4
+    b = s.encode("utf-8", "surrogatepass")
+    low = b.translate(None, _HIGH)
+    for x in _LOW_PHRASES:
+        if x in low:
+            return True
+    if len(low) < len(b):
+        high = b.translate(None, _LOW)
+        for x in _HIGH_PHRASES:
+            if x in high:
+                return True
+    words = b.translate(_NO_LETTERS).split()
+    return not _WORDS.isdisjoint(words) and sum(x in _WORDS for x in words) >= 4
+
+
+def may_hold(s: str) -> bool:
+    """False only if mask() leaves every line of a text in lower case as it is, and none holds U+0002."""
+    return "{" in s or "%" in s or "[" in s or "@" in s or "<" in s or "__" in s or "null" in s or "undefined" in s or "nan /" in s or "\x02" in s
 
 
 def mask(s: str) -> str:

@@ -12,7 +12,8 @@ from functools import lru_cache
 
 from folio.llm.encoding_repair import MULTI, SINGLE, _utf8_runs, _utf8_start, candidates
 
-_ODD = re.compile("[\x80-\x9f�ㄛ﹝偟傪]|[\xa0-\xff]{3}")
+# one pattern for each: with both in one, every character would be tried twice
+_ODD, _LATIN_RUN = re.compile("[\x80-\x9f�ㄛ﹝偟傪]"), re.compile("[\xa0-\xff]{3}")
 _GB_UTF8 = re.compile(rb"(?:[\xe2-\xef][\x80-\xbf]{2}|[\xd0\xd1][\x80-\xbf]){3}")
 _CJK = re.compile("[぀-鿿]")
 _KOI = re.compile("[а-я][А-Я]{2}")
@@ -20,15 +21,15 @@ _COMMON = re.compile("[、-〠぀-ヿ！-？一-鿿А-яёà-öø-ü‘’“”
 _CYRILLIC = re.compile("[Ѐ-ӿ]+")
 
 
-_RUN = re.compile(r"[^\x00-\x7f]+")
+_ASCII = re.compile(r"[\x00-\x7f]+")
 
 
 def damaged(text: str) -> bool:
     """Whether any line may be damaged; cheap, and hardly ever false for a line that fix() changes alone."""
     if text.isascii():
         return False
-    high = " ".join(_RUN.findall(text))
-    if _ODD.search(high):
+    high = _ASCII.sub(" ", text).strip(" ")
+    if _ODD.search(high) or _LATIN_RUN.search(high):
         return True
     if _CJK.search(high):
         return bool(_GB_UTF8.search(high.encode("gb18030", "ignore")))
@@ -48,9 +49,11 @@ def fix(line: str) -> str:
         if cyrillic and not chain.endswith(("utf-8", "utf-8*", "koi8_r", "cp1251")):
             continue  # any Cyrillic word is also pairs of bytes of some East Asian encoding
         n = _high(r)
-        k = _share(r, n)
         # bytes of a multi-byte encoding that happen to be strict UTF-8 are hardly chance in four characters
         sure = utf8 and chain.split(">")[0] in MULTI and chain.endswith("utf-8") and high >= 4 and " " not in chain
+        if key + 0.05 >= 1 and not (utf8 and n < 0.8 * fewest) and not (sure and best is line):
+            continue  # whatever its share, which is 1 at most
+        k = _share(r, n)
         if k > key + 0.05 or (utf8 and k >= key - 0.2 and n < 0.8 * fewest) or (sure and best is line):
             best, key, fewest = r, k, n
     return best

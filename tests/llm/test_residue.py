@@ -123,3 +123,54 @@ def test_placeholder_grammar():
         assert PLACEHOLDER.search(s), s
     for s in ("{ ash; salt }", "[name withheld]", "#7, $5, 40% of the load", "a@b.example", "he was undefined by it", "50%", "{1}"):
         assert not PLACEHOLDER.search(s), s
+
+
+def test_title_on_two_lines_is_one_line_to_the_classifier(spark):
+    """A line feed in a title would give each later line the n-grams of the line before it."""
+    rows = [(1, "h", 404, page(["Gone."], "404\n12"), "x"), (2, "h", 200, page(["A story."], "Untitled"), "x")]
+    got = {r["page_id"]: r["tail"] for r in rs.page_rows(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: "\x03404 12", 2: "\x03untitled"}
+
+
+def test_few_tasks_a_step_and_modules_out_of_the_garbage_collection(spark, monkeypatch):
+    """A step of little text is one task, and its worker doesn't look through all modules for garbage after it: both took more CPU than the gradients."""
+    monkeypatch.setattr(rs, "STEPS", 3)
+    rows, _ = make()
+    pages = rs.materialize(rs.page_rows(spark.createDataFrame(rows, SCHEMA).repartition(4)).withColumn("rid", rs.F.monotonically_increasing_id()))
+    taught, sent, add = rs.materialize(rs.weak_labels(pages, 1)), [], rs._add_packed
+    monkeypatch.setattr(rs, "_add_packed", lambda g, some, v: sent.append(1) or add(g, some, v))
+    monkeypatch.setattr(rs.linear, "fit", None)
+    rs.fit(taught.repartition(4), 1, rs.DRIVER_CHARACTERS + 1)
+    assert len(sent) <= 3 * -(-rs.DRIVER_CHARACTERS // rs.TASK_CHARACTERS)
+
+    def frozen(batches):
+        import gc
+
+        rs._unwatched()
+        for b in batches:
+            yield b.select([0]).set_column(0, "n", rs.pa.array([gc.get_freeze_count()] * b.num_rows, rs.pa.int64()))
+
+    assert spark.range(1).mapInArrow(frozen, "n bigint").first()["n"] > 0
+
+
+def test_ngrams_in_the_order_of_the_text_give_the_same_sums():
+    rng = np.random.default_rng(3)
+    lines = ["", "a", "ab", "", "7 abc 19", "章节 目录", "x" * 300, "", *story(random.Random(2), 300)]
+    f, r = rs.linear.ngrams(lines)
+    v = (1 / np.sqrt(np.maximum(np.bincount(r, minlength=len(lines)), 1)))[r]
+    w, e = rng.normal(size=rs.linear.DIM), rng.normal(size=len(lines))
+    x = rs.linear.Hashed(lines)
+    assert np.allclose(x.logits(rs._weights(w)), np.bincount(r, weights=w[f] * v, minlength=len(lines)), atol=1e-12)
+    assert np.allclose(x.gradient(e), np.bincount(f, weights=e[r] * v, minlength=rs.linear.DIM), atol=1e-12)
+    cuts = list(rs.linear.pieces(lines, 500))
+    assert [i for i, _ in cuts] + [len(lines)] == [0] + [j for _, j in cuts] and all(j == i + 1 or sum(len(s) + 1 for s in lines[i:j]) <= 500 for i, j in cuts)
+
+
+def test_marks_of_lines():
+    html = page(["Bela {{x}} left.", "We could not find h.example", "{{y}}", "Short.", "Short."], "404")
+    lines, tail, bits, parts, text = rs.page_lines(html, "h.example")
+    assert lines == ["404", "bela {{x}} left.", "we could not find \x01", "{{y}}", "short.", "short."] and tail == "\x03404"
+    assert [k & 3 for k in bits] == [0, 1, 0, 3, 0, 0] and [bool(k & rs._MESSAGE) for k in bits] == [False, False, True, False, False, False]
+    assert [bool(k & rs._HEADING) for k in bits] == [True] + [False] * 5 and [bool(k & rs._HOSTED) for k in bits] == [False, False, True, False, False, False]
+    assert all(k & 1 << 10 for k in bits) and [k >> 2 & 31 for k in bits] == [1, 0, 1, 0, 1, 1] and text == 16 + 5 + 12
+    assert [len(p) for p in parts] == [0, 1, 1, 0, 0, 0] and rs.page_lines("", None) == ([], "", [], [], 0)
