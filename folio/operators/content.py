@@ -140,8 +140,8 @@ def deep_confidence(picked: DataFrame) -> DataFrame:
 
 @F.pandas_udf(DoubleType())
 def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching blocks of the first 5000 characters of two texts; null if one is null."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x[:5000], y[:5000]).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    """Ratio of matching blocks of two whole texts; null if one is null."""
+    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def combine(density: Column, density_conf: Column, baseline: Column, baseline_agrees: Column, anchored: Column) -> Column:

@@ -231,6 +231,14 @@ def test_evaluate(spark):
     assert [r[0] for r in k] == [None, "PAGE_TYPE_FALSE_POSITIVE", "PAGE_TYPE_FALSE_NEGATIVE", "PAGE_TYPE_WRONG_CLASS"]
 
 
+def test_agreement_of_whole_texts(spark):
+    """What follows the first 5000 characters counts."""
+    a = "".join(chr(0x4E00 + i * 7 % 6000) for i in range(5500))
+    b = a[:5200] + "".join(chr(0xAC00 + i) for i in range(300))
+    t = spark.createDataFrame([(a, b)], "a string, b string").select(content.agreement(F.col("a"), F.col("b"))).first()
+    assert t[0] == pytest.approx(5200 / 5500)
+
+
 def test_profiles(spark):
     p = spark.createDataFrame([("h", "http://h/b/1.html", "第1章 风_书", ["首页", "书"]), ("h", "http://h/b/2.html", "第2章 风_书", ["首页"]), (None, "u", "t", [])], "host string, url string, title string, nav array<string>")
     b = profiles.build(p).collect()
