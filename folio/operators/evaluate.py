@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import unicodedata
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from folio.functions.matching import matched_size
+
 #: Cases named with a kind of failure; all of them are rows of the failures themselves.
 FIRST_CASES = 100
 # Kinds of failure, in their order.
@@ -240,12 +241,7 @@ def matched_chars(a: pd.Series, b: pd.Series) -> pd.Series:
         return unicodedata.normalize("NFC", x.replace("\r\n", "\n").replace("\r", "\n")).strip()
 
     def one(x: str | None, y: str | None) -> int | None:
-        if x is None or y is None:
-            return None
-        u, v = norm(x), norm(y)
-        if u == v:  # what most labelled pages come to, without the quadratic comparison
-            return len(u)
-        return sum(m.size for m in difflib.SequenceMatcher(None, u, v, autojunk=False).get_matching_blocks())
+        return None if x is None or y is None else matched_size(norm(x), norm(y))
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 

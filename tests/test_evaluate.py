@@ -1,5 +1,12 @@
 """Scoring of pages and chapters against labels."""
 
+import difflib
+import random
+import time
+
+from pyspark.sql import functions as F
+
+from folio.functions.matching import matched_size
 from folio.operators import evaluate as ev
 from folio.plans import pipeline
 
@@ -74,3 +81,31 @@ def test_predictions(spark):
     assert [f.name for f in df.schema.fields] == [c.split(" ")[0] for c in ev.PREDICTION.replace("struct<title:string,target_url:string>", "x").replace("map<string,string>", "m").split(", ")]
     got = {r["page_id"]: r for r in df.collect()}
     assert set(got) == {1, 2} and got[1]["content_status"] == "CONTENT_OK" and got[1]["links"]["NEXT_CHAPTER"] == "http://h/b/2.html" and got[2]["content_status"] == "NOT_FOUND"
+
+
+def _edited(r, text, n):
+    for _ in range(n):
+        i, j = r.randrange(len(text) + 1), r.randrange(len(text) + 1)
+        text = r.choice([text[:i] + "　　" + text[i:], text[:i] + text[i + 5 :], text[:i] + text[j : j + 30] + text[i:], text[:i] + "é" + text[i + 1 :]])
+    return text
+
+
+def test_matched_size_is_that_of_difflib():
+    r = random.Random(5)
+    for letters in ("a", "ab", "abcdefgh ", "一二三四五六七八九十𠀀"):
+        for size in (0, 3, 40, 400):
+            for _ in range(8):
+                a = "".join(r.choices(letters, k=size))
+                b = r.choice([_edited(r, a, 8), "".join(r.choices(letters, k=size))])
+                assert matched_size(a, b) == sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()), (a, b)
+
+
+def test_matched_chars_of_long_texts_that_differ(spark):
+    """Pages whose text differs from the reference a little: a second or more each if every block is looked for among all pairs of characters."""
+    r = random.Random(6)
+    words = ["".join(r.choices("etaoinshrdlu", k=r.randint(2, 9))) for _ in range(900)]
+    texts = [" ".join(r.choices(words, k=1200)) for _ in range(40)]
+    d = spark.createDataFrame([(x, _edited(r, x, 30)) for x in texts], "a string, b string").select(ev.matched_chars("a", "b").alias("n"), F.length("a").alias("of"))
+    t = time.time()
+    assert d.where("n < 0.9 * of or n > of").count() == 0
+    assert time.time() - t < 20
