@@ -335,7 +335,8 @@ def encoding_decision(s: SparkSession, d: str) -> DataFrame:
 def text_agreement(s: SparkSession, d: str) -> DataFrame:
     p = content.pick_content(dom.dom(_pages(s, d)))
     t = table(s, d, "content_extractions").where("text IS NOT NULL").groupBy("page_id").agg(F.max("text").alias("b"))
-    return p.select("page_id", "text").join(t, "page_id").select("page_id", content.agreement(F.col("text"), F.col("b")).alias("ratio"))
+    # merge: the parsed side is taken for far smaller than it is, and the driver would gather its texts to broadcast them
+    return p.select("page_id", "text").join(t.hint("merge"), "page_id").select("page_id", content.agreement(F.col("text"), F.col("b")).alias("ratio"))
 
 
 def dom_lines(s: SparkSession, d: str) -> DataFrame:

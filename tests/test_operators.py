@@ -239,6 +239,18 @@ def test_agreement_of_whole_texts(spark):
     assert t[0] == pytest.approx(5200 / 5500)
 
 
+def test_text_agreement_broadcasts_no_texts(spark, tmp_path):
+    """The estimate of the parsed side says nothing of its texts: however small, they don't pass through the driver."""
+    from folio.plans import catalogue
+
+    spark.createDataFrame([(1, "<html><body><div>" + "他走进镇子，看见灯火。" * 10 + "</div></body></html>"), (2, None)], "page_id bigint, html string").write.parquet(f"{tmp_path}/fetched_pages.parquet")
+    spark.createDataFrame([(1, "他走进镇子，看见灯火。" * 10), (3, "x")], "page_id bigint, text string").write.parquet(f"{tmp_path}/content_extractions.parquet")
+    d = catalogue.text_agreement(spark, str(tmp_path))
+    assert [tuple(r) for r in d.collect()] == [(1, 1.0)]
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_profiles(spark):
     p = spark.createDataFrame([("h", "http://h/b/1.html", "第1章 风_书", ["首页", "书"]), ("h", "http://h/b/2.html", "第2章 风_书", ["首页"]), (None, "u", "t", [])], "host string, url string, title string, nav array<string>")
     b = profiles.build(p).collect()
